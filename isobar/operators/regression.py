@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from isobar.functions.tails import normal_two_sided
 from isobar.operators.moments import gram
@@ -66,8 +66,52 @@ def _level(factor: str, level) -> str:
     return f"C({factor})[T.{level}]"
 
 
-def _sum_columns(k: int) -> list[str]:
-    return ["n", *[f"s{i}" for i in range(k)], *[f"q{i}_{j}" for i in range(k) for j in range(i, k)]]
+@dataclass(frozen=True)
+class Cells:
+    """Sums of products per (cluster, factor level) of ``cols`` about ``origin``.
+
+    One scan of the facts makes this table; any model on a subset of its columns,
+    with or without the factor, is arithmetic on it.
+    """
+
+    df: DataFrame
+    x: tuple[str, ...]
+    y: str
+    origin: tuple[float, ...]
+    cluster: str
+    factor: str | None
+
+
+def _q(i: int, j: int) -> str:
+    return f"q{min(i, j)}_{max(i, j)}"
+
+
+def build_cells(
+    df: DataFrame, y: str, x: Sequence[str], cluster: str, factor: str | None = None, weight: str | None = None
+) -> Cells:
+    """Fold complete rows into sums per cluster and factor level.
+
+    ``weight`` counts how many observations a row stands for. Values are taken
+    relative to one row's values, which keeps the products well scaled (a year near
+    2000 squared would not be) and costs no pass.
+    """
+    cols = [*x, y]
+    k = len(cols)
+    keys = [cluster] + ([factor] if factor else [])
+    rows = present(df, [*cols, *keys]).select(
+        *keys,
+        *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)],
+        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
+    )
+    one = rows.select(*[f"v{i}" for i in range(k)]).first()
+    if one is None:
+        raise ValueError("no complete rows to fit")
+    origin = tuple(float(v) for v in one)
+    w = F.col("w")
+    d = [F.col(f"v{i}") - F.lit(o) for i, o in enumerate(origin)]
+    sums = [F.sum(w).alias("n"), *[F.sum(w * d[i]).alias(f"s{i}") for i in range(k)]]
+    sums += [F.sum(w * d[i] * d[j]).alias(_q(i, j)) for i in range(k) for j in range(i, k)]
+    return Cells(rows.groupBy(*keys).agg(*sums), tuple(x), y, origin, cluster, factor)
 
 
 def fit_clustered(
@@ -78,42 +122,45 @@ def fit_clustered(
     factor: str | None = None,
     weight: str | None = None,
 ) -> Fit:
-    """OLS of ``y`` on ``x`` (and treatment-coded ``factor``), errors clustered.
+    """OLS of ``y`` on ``x`` (and treatment-coded ``factor``), errors clustered."""
+    return fit_nested(df, y, {"m": (tuple(x), factor)}, cluster, weight)["m"]
 
-    ``weight`` counts how many observations a row stands for.
+
+def fit_nested(
+    df: DataFrame,
+    y: str,
+    specs: dict[str, tuple[Sequence[str], str | None]],
+    cluster: str,
+    weight: str | None = None,
+) -> dict[str, Fit]:
+    """Several models, each (regressors, factor or None), from one scan.
+
+    All are fitted on the rows that are complete for every listed column, so their
+    R-squared values compare like with like.
     """
-    cols = [*x, y]
-    k = len(cols)
-    keys = [cluster] + ([factor] if factor else [])
-    rows = present(df, [*cols, *keys]).select(
-        *keys, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)],
-        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
-    )
-    # Centring first keeps the products well scaled (a year near 2000 squared would not be).
-    v = [F.col(f"v{i}") for i in range(k)]
-    w = F.col("w")
-    means = rows.agg(*[F.try_divide(F.sum(w * c), F.sum(w)) for c in v]).first()
-    if means[0] is None:
-        raise ValueError("no complete rows to fit")
-    d = [c - F.lit(float(m)) for c, m in zip(v, means)]
-    products = [F.sum(w).alias("n"), *[F.sum(w * d[i]).alias(f"s{i}") for i in range(k)]]
-    products += [F.sum(w * d[i] * d[j]).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)]
-    cells = rows.groupBy(*keys).agg(*products).persist(StorageLevel.MEMORY_AND_DISK)
+    x = list(dict.fromkeys(c for regressors, _ in specs.values() for c in regressors))
+    factors = {f for _, f in specs.values() if f}
+    if len(factors) > 1:
+        raise ValueError("models fitted together share one factor")
+    cells = build_cells(df, y, x, cluster, next(iter(factors), None), weight)
+    kept = cells.df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _solve(cells, cols, means, cluster, factor)
+        return {label: _solve(cells, kept, tuple(xs), f) for label, (xs, f) in specs.items()}
     finally:
-        cells.unpersist()
+        kept.unpersist()
 
 
-def _solve(cells: DataFrame, cols: list[str], means, cluster: str, factor: str | None) -> Fit:
-    k = len(cols)
-    nx = k - 1
-    names = _sum_columns(k)
-    grouped = cells.groupBy(factor) if factor else cells.groupBy()
+def _solve(cells: Cells, kept: DataFrame, x: tuple[str, ...], factor: str | None) -> Fit:
+    nx = len(x)
+    at_col = [cells.x.index(c) for c in x] + [len(cells.x)]
+    k = nx + 1
+    names = ["n", *[f"s{i}" for i in at_col], *{_q(i, j) for i in at_col for j in at_col}]
+    grouped = kept.groupBy(factor) if factor else kept.groupBy()
     by_level = grouped.agg(*[F.sum(c).alias(c) for c in names])
-    blocks = sorted(by_level.limit(MAX_LEVELS + 1).collect(), key=lambda r: r[0])
+    blocks = by_level.limit(MAX_LEVELS + 1).collect()
     if len(blocks) > MAX_LEVELS:
         raise ValueError(f"{factor} has more than {MAX_LEVELS} levels")
+    blocks = sorted(blocks, key=lambda r: r[0])
     levels = tuple(r[0] for r in blocks) if factor else ()
     dummies = levels[1:]
     p = 1 + len(dummies) + nx
@@ -121,8 +168,8 @@ def _solve(cells: DataFrame, cols: list[str], means, cluster: str, factor: str |
     xtx, xty, yty, total, sum_y = np.zeros((p, p)), np.zeros(p), 0.0, 0.0, 0.0
     for at, r in enumerate(blocks):
         on = [0] + ([at] if factor and at > 0 else [])
-        s = np.array([r[f"s{i}"] for i in range(k)])
-        q = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        s = np.array([r[f"s{i}"] for i in at_col])
+        q = np.array([[r[_q(i, j)] for j in at_col] for i in at_col])
         for a in on:
             for b in on:
                 xtx[a, b] += r["n"]
@@ -139,27 +186,27 @@ def _solve(cells: DataFrame, cols: list[str], means, cluster: str, factor: str |
     rss = float(yty - 2 * beta @ xty + beta @ xtx @ beta)
     tss = float(yty - sum_y * sum_y / total)
 
-    scores = _cluster_scores(cells, cluster, factor, levels, beta, nx).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        clusters = scores.count()
-        meat = gram(scores, [f"e{i}" for i in range(p)])
-    finally:
-        scores.unpersist()
+    scores = _cluster_scores(kept, cells.cluster, factor, levels, beta, at_col)
+    terms = [f"e{i}" for i in range(p)]
+    # The cluster count rides along as the product of a column of ones.
+    products = gram(scores.withColumn("one", F.lit(1.0)), [*terms, "one"])
+    clusters, meat = int(round(products[p, p])), products[:p, :p]
     scale = clusters / max(clusters - 1, 1) * (total - 1) / (total - p)
     cov = scale * bread @ meat @ bread
 
-    # Undo the centring: only the intercept moves.
+    # Undo the shift of origin: only the intercept moves.
+    shift = np.array([cells.origin[i] for i in at_col])
     back = np.eye(p)
-    back[0, first_x:] = -np.array([float(m) for m in means[:nx]])
+    back[0, first_x:] = -shift[:nx]
     coef = back @ beta
-    coef[0] += float(means[nx])
+    coef[0] += shift[nx]
     r2 = 1.0 - rss / tss if tss > 0 else float("nan")
     return Fit(
-        outcome=cols[nx],
-        x=tuple(cols[:nx]),
+        outcome=cells.y,
+        x=x,
         factor=factor,
         levels=levels,
-        terms=("Intercept", *[_level(factor, v) for v in dummies], *cols[:nx]),
+        terms=("Intercept", *[_level(factor, v) for v in dummies], *x),
         coef=coef,
         covariance=back @ cov @ back.T,
         n=int(round(total)),
@@ -169,8 +216,11 @@ def _solve(cells: DataFrame, cols: list[str], means, cluster: str, factor: str |
     )
 
 
-def _cluster_scores(cells: DataFrame, cluster: str, factor, levels, beta: np.ndarray, nx: int) -> DataFrame:
+def _cluster_scores(
+    cells: DataFrame, cluster: str, factor: str | None, levels: tuple, beta: np.ndarray, at_col: list[int]
+) -> DataFrame:
     """Per cluster the sum of x times residual for every term, e0..e(p-1)."""
+    *xs, y = at_col
     dummies = levels[1:]
     first_x = 1 + len(dummies)
     base = F.lit(float(beta[0]))
@@ -180,18 +230,14 @@ def _cluster_scores(cells: DataFrame, cluster: str, factor, levels, beta: np.nda
             shift = F.when(F.col(factor) == F.lit(level), float(beta[1 + i])).otherwise(shift)
         base = base + shift
     slopes = [float(b) for b in beta[first_x:]]
-
-    def q(i: int, j: int) -> Column:
-        return F.col(f"q{min(i, j)}_{max(i, j)}")
-
-    plain = F.col(f"s{nx}") - F.col("n") * base
-    for j, b in enumerate(slopes):
+    plain = F.col(f"s{y}") - F.col("n") * base
+    for j, b in zip(xs, slopes):
         plain = plain - F.lit(b) * F.col(f"s{j}")
     moments = []
-    for i in range(nx):
-        e = q(i, nx) - base * F.col(f"s{i}")
-        for j, b in enumerate(slopes):
-            e = e - F.lit(b) * q(i, j)
+    for i in xs:
+        e = F.col(_q(i, y)) - base * F.col(f"s{i}")
+        for j, b in zip(xs, slopes):
+            e = e - F.lit(b) * F.col(_q(i, j))
         moments.append(e)
     parts = cells.select(
         cluster, *([factor] if factor else []), plain.alias("plain"), *[m.alias(f"m{i}") for i, m in enumerate(moments)]
@@ -199,7 +245,7 @@ def _cluster_scores(cells: DataFrame, cluster: str, factor, levels, beta: np.nda
     aggs = [F.sum("plain").alias("e0")]
     for i, level in enumerate(dummies):
         aggs.append(F.sum(F.when(F.col(factor) == F.lit(level), F.col("plain")).otherwise(0.0)).alias(f"e{1 + i}"))
-    aggs += [F.sum(f"m{i}").alias(f"e{first_x + i}") for i in range(nx)]
+    aggs += [F.sum(f"m{i}").alias(f"e{first_x + i}") for i in range(len(xs))]
     return parts.groupBy(cluster).agg(*aggs)
 
 

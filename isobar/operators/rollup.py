@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType
 
 from isobar.functions.null_safe import sum0
 from isobar.functions.scalars import half_even
@@ -146,7 +147,7 @@ def in_key_order(df: DataFrame, key: str, order: Sequence, rest: bool = True) ->
     With ``rest`` keys outside the list follow at the end instead of vanishing.
     """
     listed = df.sparkSession.createDataFrame(
-        [(k, i) for i, k in enumerate(order)], df.select(key).schema.add("_at", "int")
+        [(k, i) for i, k in enumerate(order)], df.select(key).schema.add("_at", IntegerType())
     )
     out = listed.join(df, key, "left")
     if rest:

@@ -11,6 +11,7 @@ from isobar.plans.registry import query
 from isobar.plans.rollups import station_aggregate
 from isobar.plans.shapes import _STATION_MEANS
 from isobar.plans.tables import observations, placed, rd, rounded, stations, table, with_views
+from isobar.session import settle
 
 _COLS = ["temperature", "rain", "wind", "pressure", "humidity", "elevation_m", "latitude", "longitude"]
 _PLACED = "p AS (SELECT obs.*, name, region, country, latitude, longitude, elevation_m FROM obs JOIN stations USING (station_id))"
@@ -150,7 +151,8 @@ def location_pairs(spark, sf_dir):
         + " UNION ALL ".join(
             f"""SELECT '{v}' AS variable, round(corr(elevation_m, {v}), 6) + 0.0 AS pearson_r, round(corr(r0, r1), 6) + 0.0 AS spearman_r, count(*) AS n_locations
                 FROM (SELECT elevation_m, {v}, rank() OVER (ORDER BY elevation_m) + (count(*) OVER (PARTITION BY elevation_m) - 1) / 2.0 AS r0,
-                             rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS r1 FROM a)"""
+                             rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS r1
+                      FROM (SELECT elevation_m, round(mean_temp, 6) + 0.0 AS mean_temp, round(mean_wind, 6) + 0.0 AS mean_wind FROM a))"""
             for v in ("mean_temp", "mean_wind")
         )
         + ")",
@@ -159,7 +161,8 @@ def location_pairs(spark, sf_dir):
 )
 def height_relationships(spark, sf_dir):
     """Pearson and Spearman of station means with elevation, and the span verdict."""
-    agg = station_aggregate(spark, sf_dir)
+    # Rounded first: the last bit of a mean must not make or break a tie in rank.
+    agg = settle(rounded(station_aggregate(spark, sf_dir), "mean_temp", "mean_wind"))
     status = span_gate(agg, "elevation_m").first().status
     out = c.height_relationships(agg, "elevation_m", ["mean_temp", "mean_wind"], status)
     return rounded(out.drop("pearson_p", "spearman_p"), "pearson_r", "spearman_r")
@@ -290,7 +293,7 @@ def hypothesis_battery(spark, sf_dir):
 )
 def location_correlations(spark, sf_dir):
     """The correlation rows of the battery."""
-    agg = station_aggregate(spark, sf_dir)
+    agg = settle(station_aggregate(spark, sf_dir))
     tests = [("H3", "elevation_m", "mean_temp"), ("H4", "elevation_m", "mean_rain"), ("H6", "latitude", "mean_temp")]
     first, *rest = [h.location_correlation(agg, x, y, n) for n, x, y in tests]
     for row in rest:
@@ -333,14 +336,13 @@ def ols_cluster(spark, sf_dir):
 @query("regression_comparison", "C18")
 def regression_comparison(spark, sf_dir):
     """R-squared, adjusted R-squared and the elevation term of three nested models."""
-    df = placed(spark, sf_dir)
-    fits = {
-        "1: Elevation only": regression.fit_clustered(df, "temperature", ["elevation_m"], "station_id"),
-        "2: + Lat/Lon": regression.fit_clustered(df, "temperature", ["elevation_m", "latitude", "longitude"], "station_id"),
-        "3: + Month + Year": regression.fit_clustered(
-            df, "temperature", ["elevation_m", "latitude", "longitude", "year"], "station_id", "month"
-        ),
+    place = ("elevation_m", "latitude", "longitude")
+    specs = {
+        "1: Elevation only": (place[:1], None),
+        "2: + Lat/Lon": (place, None),
+        "3: + Month + Year": ((*place, "year"), "month"),
     }
+    fits = regression.fit_nested(placed(spark, sf_dir), "temperature", specs, "station_id")
     return regression.comparison(spark, fits, "elevation_m")
 
 

@@ -18,26 +18,27 @@ YEARS = list(range(1995, 2002))
     "A1",
     with_views(
         """SELECT CASE WHEN grouping(year) = 1 THEN 'location' WHEN grouping(station_id) = 1 THEN 'year' ELSE 'location_year' END AS level,
-                  station_id, year, count(*) AS n_obs FROM obs
+                  coalesce(station_id, -1) AS station_id, coalesce(year, -1) AS year, count(*) AS n_obs FROM obs
            GROUP BY GROUPING SETS ((station_id), (year), (station_id, year))"""
     ),
 )
 def obs_counts(spark, sf_dir):
-    return rollup.obs_counts(observations(spark, sf_dir), "station_id", "year")
+    counts = rollup.obs_counts(observations(spark, sf_dir), "station_id", "year")
+    return counts.fillna(-1, ["station_id", "year"])
 
 
 @query(
     "group_means",
     "A2",
     with_views(
-        """SELECT station_id, year, month, round(avg(temperature), 6) + 0.0 AS temperature, round(avg(rain), 6) + 0.0 AS rain
-           FROM obs GROUP BY GROUPING SETS ((year, station_id), (month, station_id), (station_id))"""
+        """SELECT station_id, coalesce(year, -1) AS year, coalesce(month, -1) AS month, round(avg(temperature), 6) + 0.0 AS temperature,
+                  round(avg(rain), 6) + 0.0 AS rain FROM obs GROUP BY GROUPING SETS ((year, station_id), (month, station_id), (station_id))"""
     ),
 )
 def group_means(spark, sf_dir):
     """Means by (year, station), (month, station) and station."""
     obs = observations(spark, sf_dir)
-    blank = F.lit(None).cast("int")
+    blank = F.lit(-1)
     values = ["temperature", "rain"]
     yearly = rollup.group_means(obs, ["year", "station_id"], values).withColumn("month", blank)
     monthly = rollup.group_means(obs, ["month", "station_id"], values).withColumn("year", blank)

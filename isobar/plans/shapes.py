@@ -10,6 +10,7 @@ from isobar.operators import geo, regression
 from isobar.plans.registry import query
 from isobar.plans.rollups import station_aggregate
 from isobar.plans.tables import observations, placed, rounded, stations, table, with_views
+from isobar.session import settle
 
 _VARS = ["temperature", "rain", "wind", "pressure"]
 _TALL = "t AS (UNPIVOT (SELECT temperature, rain, wind, pressure FROM obs) ON temperature, rain, wind, pressure INTO NAME variable VALUE value)"
@@ -172,18 +173,18 @@ def span_gate(spark, sf_dir):
 )
 def tertile_means(spark, sf_dir):
     """Low / Medium / High elevation groups by interpolated thirds."""
-    out = geo.tertile_means(station_aggregate(spark, sf_dir), "elevation_m", ["mean_temp", "mean_wind"])
+    out = geo.tertile_means(settle(station_aggregate(spark, sf_dir)), "elevation_m", ["mean_temp", "mean_wind"])
     return out.withColumns({c: F.col(c) + F.lit(0.0) for c in ("mean_temp", "mean_wind")})
 
 
 _MARK = """m AS (SELECT *, min(mean_temp) OVER () AS lo, max(mean_temp) OVER () AS hi FROM (
-  SELECT station_id, name, elevation_m, latitude, longitude, round(mean_temp, 6) AS mean_temp, round(mean_wind, 6) AS mean_wind FROM a))"""
+  SELECT station_id, name, elevation_m, latitude, longitude, round(mean_temp, 6) + 0.0 AS mean_temp, round(mean_wind, 6) + 0.0 AS mean_wind FROM a))"""
 _POPUP_SQL = "printf('%s: %.0f m, %.3f C', name, round(elevation_m, 0), mean_temp)"
 _FRAC = "(mean_temp - lo) / (hi - lo)"
 
 
 def _markers(spark, sf_dir):
-    agg = rounded(station_aggregate(spark, sf_dir), "mean_temp", "mean_wind")
+    agg = settle(rounded(station_aggregate(spark, sf_dir), "mean_temp", "mean_wind"))
     popup = fixed_text("%s: %.0f m, %.3f C", F.col("name"), F.round("elevation_m", 0), F.col("mean_temp"))
     return geo.marker_table(agg, "mean_temp", "name", popup)
 

@@ -127,9 +127,9 @@ def _tree_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sidecar_flatten",
     "S7 F12 F11",
     f"""WITH {_ORDERS} SELECT status, CAST(year AS VARCHAR) AS year, 'orders' AS model,
-               '{{"location_id":"' || status || '","year":' || year || ',"hours":' || (count(*) + CASE WHEN year = 1999 THEN 1 ELSE 0 END) || '}}' AS request,
+               '{{"location_id":"' || status || '","year":' || year || ',"hours":' || (n + CASE WHEN year = 1999 THEN 1 ELSE 0 END) || '}}' AS request,
                '{{"o_totalprice":"USD","billed":"USD"}}' AS hourly_units
-        FROM o GROUP BY ALL""",
+        FROM (SELECT status, year, count(*) AS n FROM o GROUP BY ALL)""",
 )
 def sidecar_flatten(spark, sf_dir):
     """Nested documents flattened to one row per partition."""

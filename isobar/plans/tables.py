@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from isobar.operators.joins import join_checked
+from isobar.plans.registry import TIE_SHIFT
 
 # SQL twin of the views below; DuckDB runs it over the same files.
 _VIEWS = """
@@ -76,9 +77,9 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rd(col, digits: int = 6) -> Column:
-    """Half-away-from-zero rounding, as DuckDB rounds; -0.0 becomes 0.0."""
+    """Half-away-from-zero rounding just off the ties, as in ``registry.off_ties``; no -0.0."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.round(col, digits) + F.lit(0.0)
+    return F.round(col + F.lit(TIE_SHIFT * 10.0 ** -(digits + 3)), digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:

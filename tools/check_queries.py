@@ -38,7 +38,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
 
     def column(s):
         if s.dtype.kind in "iu":
-            return s.astype("int64")
+            return s.astype("Int64")
         return s
 
     cols = [[cell(v) for v in column(df[c]).tolist()] for c in df.columns]
