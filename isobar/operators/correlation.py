@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from isobar.functions.null_safe import guarded_corr, missing, safe_corr
 from isobar.functions.tails import pearson_p
-from isobar.operators.joins import BROADCAST_ROWS, salted_join
+from isobar.operators.joins import BROADCAST_ROWS, HOT_SHARE, salted_join
 from isobar.operators.moments import corr_of_sums, pair_sums
-from isobar.operators.ordered import SMALL_ROWS, measure, value_ranks
+from isobar.operators.ordered import SMALL_DISTINCT, value_ranks
+from isobar.session import settle
 
 Pair = tuple[str, str]
 
@@ -42,83 +43,68 @@ def matrix_form(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.orderBy(at).withColumnRenamed("x", "variable")
 
 
-def attach_ranks(df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+def attach_ranks(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
     """Append the average rank of every column as ``<column>__rank``.
 
-    Ranks come from a value table joined back on the value: broadcast while its
-    counted size allows, else a shuffle join with the frequent values salted.
+    One job makes the value tables of all columns. Each is joined back on its value:
+    broadcast while its counted size allows, which for measurements on a coarse grid
+    is always, else by a shuffle join with the frequent values salted.
     """
-    out = df
+    numbers = df.withColumns({c: F.col(c).cast("double") for c in columns})
+    tall = numbers.select(*columns).unpivot([], list(columns), "variable", "value").filter(F.col("value").isNotNull())
+    ranks = settle(value_ranks(tall, "value", ["variable"], small=small))
+    sizes = dict(ranks.groupBy("variable").agg(F.count(F.lit(1))).collect())
+    # A value is frequent above a fiftieth of the rows, so there are at most 50 per column.
+    often = ranks.filter(F.col("c") > F.col("n") * HOT_SHARE).select("variable", "value").collect()
+    out = numbers
     for c in columns:
-        ranks = value_ranks(df, c, small_rows=small_rows).select(c, "c", "n", F.col("avg_rank").alias(f"{c}__rank"))
-        lookup = ranks.drop("c", "n")
-        if ranks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        own = ranks.filter(F.col("variable") == c)
+        lookup = own.select(F.col("value").alias(c), F.col("avg_rank").alias(f"{c}__rank"))
+        if sizes.get(c, 0) <= BROADCAST_ROWS:
             out = out.join(F.broadcast(lookup), c, "left")
         else:
-            hot = [r[0] for r in ranks.filter(F.col("c") > F.col("n") * 0.02).select(c).collect()]
-            out = salted_join(out, lookup, c, hot, "left")
+            out = salted_join(out, lookup, c, [r.value for r in often if r.variable == c], "left")
     return out
 
 
-def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], small_rows: int = SMALL_ROWS) -> DataFrame:
+def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], small: int = SMALL_DISTINCT) -> DataFrame:
     """(x, y, n, rho): Pearson of average ranks over the complete rows of each pair.
 
-    Rows fold to (pair, x value, y value, count) first, so ranks and products are
-    taken on the distinct cells.
+    Pairs without gaps share one set of ranks. Pairs that touch columns with gaps are
+    ranked on the rows where those columns are set, one pass per combination of them.
     """
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    each = [
-        F.struct(F.lit(i).alias("pair"), F.col(x).alias("vx"), F.col(y).alias("vy"))
-        for i, (x, y) in enumerate(pairs)
-    ]
-    tall = numbers.select(F.explode(F.array(*each)).alias("p")).select("p.*")
-    tall = tall.filter("vx IS NOT NULL AND vy IS NOT NULL AND NOT isnan(vx) AND NOT isnan(vy)")
-    cells = tall.groupBy("pair", "vx", "vy").agg(F.count(F.lit(1)).alias("c"))
-    out = cells
-    for v in ("vx", "vy"):
-        cut = measure(tall, v, small_rows)
-        ranks = value_ranks(cells, v, ["pair"], weight="c", cut=cut)
-        picked = ranks.select("pair", v, F.col("avg_rank").alias(f"r{v}"), F.col("n").alias(f"n{v}"))
-        out = out.join(picked, ["pair", v])
-    middle = (F.col("nvx") + 1) / F.lit(2.0)
-    a, b, c = F.col("rvx") - middle, F.col("rvy") - middle, F.col("c")
-    sums = out.groupBy("pair").agg(
-        F.sum("c").alias("n"),
-        F.sum(c * a * b).alias("ab"),
-        F.sum(c * a * a).alias("aa"),
-        F.sum(c * b * b).alias("bb"),
-    )
-    return sums.select(
-        _names([p[0] for p in pairs], F.col("pair")).alias("x"),
-        _names([p[1] for p in pairs], F.col("pair")).alias("y"),
-        "n",
-        F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"),
-    )
-
-
-def spearman_all_pairs(df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:
-    """(x, y, n, r) Spearman for every pair.
-
-    Columns without gaps are ranked once each. A pair that touches a column with
-    gaps is ranked over its own complete rows.
-    """
-    gaps = df.agg(*[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    full = [c for i, c in enumerate(columns) if gaps[i] == 0]
+    gaps = df.agg(*[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    holed = {c for i, c in enumerate(cols) if gaps[i]}
+    groups: dict[frozenset, list[Pair]] = {}
+    for x, y in pairs:
+        groups.setdefault(frozenset({x, y} & holed), []).append((x, y))
     parts = []
-    if len(full) > 1:
-        ranked = attach_ranks(df.select(*full), full, small_rows)
-        named = ranked.select(*[F.col(f"{c}__rank").alias(c) for c in full])
-        parts.append(pearson_pairs(named, full))
-    rest = [
-        (x, y) for i, x in enumerate(columns) for y in columns[i + 1 :] if x not in full or y not in full
-    ]
-    if rest:
-        parts.append(spearman_pairs(df, rest, small_rows).withColumnRenamed("rho", "r"))
+    for needed, wanted in groups.items():
+        use = list(dict.fromkeys(c for pair in wanted for c in pair))
+        rows = df.select(*use)
+        for c in sorted(needed):
+            rows = rows.filter(~missing(df, c))
+        ranked = attach_ranks(rows, use, small).select(*[F.col(f"{c}__rank").alias(c) for c in use])
+        parts.append(_in_order(pearson_pairs(ranked, use), wanted))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.withColumnRenamed("r", "rho")
+
+
+def _in_order(symmetric: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
+    """The listed ordered pairs out of a table of unordered ones."""
+    rows = [(x, y) for x, y in pairs]
+    wanted = symmetric.sparkSession.createDataFrame(rows, "x string, y string")
+    flipped = symmetric.select(F.col("y").alias("x"), F.col("x").alias("y"), "n", "r")
+    return F.broadcast(wanted).join(symmetric.unionByName(flipped), ["x", "y"])
+
+
+def spearman_all_pairs(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
+    """(x, y, n, r) Spearman for every unordered pair of columns."""
+    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
+    return spearman_pairs(df, pairs, small).withColumnRenamed("rho", "r")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -131,15 +117,13 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def focused_pairs(df: DataFrame, pairs: Sequence[Pair], small_rows: int = SMALL_ROWS) -> DataFrame:
+def focused_pairs(df: DataFrame, pairs: Sequence[Pair], small: int = SMALL_DISTINCT) -> DataFrame:
     """Row-level r and rho for chosen pairs with p-values and distinct x counts."""
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
-    pearson = pearson_pairs(df, cols)
-    flipped = pearson.select(F.col("y").alias("x"), F.col("x").alias("y"), "n", "r")
-    either = pearson.unionByName(flipped).select("x", "y", F.col("r").alias("pearson_r"))
+    pearson = _in_order(pearson_pairs(df, cols), pairs).select("x", "y", F.col("r").alias("pearson_r"))
     distinct = distinct_counts(df, list(dict.fromkeys(x for x, _ in pairs)))
     # All three tables hold one row per pair or column.
-    out = spearman_pairs(df, pairs, small_rows).join(F.broadcast(either), ["x", "y"], "left")
+    out = spearman_pairs(df, pairs, small).join(F.broadcast(pearson), ["x", "y"], "left")
     out = out.join(F.broadcast(distinct), F.col("x") == F.col("variable"), "left")
     return out.select(
         "x",

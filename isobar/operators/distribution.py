@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from isobar.operators.joins import BROADCAST_ROWS
-from isobar.operators.ordered import SMALL_ROWS, exact_percentiles, present
+from isobar.operators.ordered import SMALL_DISTINCT, exact_percentiles, present
 from isobar.operators.quality import long_form
 
 
@@ -60,12 +60,12 @@ def box_stats(
     columns: Sequence[str],
     by: Sequence[str] = (),
     reach: float = 1.5,
-    small_rows: int = SMALL_ROWS,
+    small: int = SMALL_DISTINCT,
 ) -> DataFrame:
     """Quartiles, whisker ends inside the fences and outlier count per group and variable."""
     tall = present(_real(df, columns, by), by)
     keys = [*by, "variable"]
-    boxes = exact_percentiles(tall, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, small_rows)
+    boxes = exact_percentiles(tall, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, small)
     iqr = F.col("q3") - F.col("q1")
     fenced = boxes.withColumns({"lo": F.col("q1") - iqr * reach, "hi": F.col("q3") + iqr * reach})
     if fenced.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from isobar.functions.null_safe import safe_corr
 from isobar.functions.scalars import half_even, heat_colour, marker_radius
-from isobar.operators.ordered import SMALL_ROWS, exact_percentiles
+from isobar.operators.ordered import SMALL_DISTINCT, exact_percentiles
 
 
 def map_centre(agg: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -67,9 +67,9 @@ def span_gate(agg: DataFrame, height: str, minimum: float = 100.0) -> DataFrame:
     )
 
 
-def tertile_labels(agg: DataFrame, height: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def tertile_labels(agg: DataFrame, height: str, small: int = SMALL_DISTINCT) -> DataFrame:
     """Append Low / Medium / High by interpolated thirds, right edge included."""
-    thirds = exact_percentiles(agg, height, {"a": 1 / 3, "b": 2 / 3}, (), small_rows)
+    thirds = exact_percentiles(agg, height, {"a": 1 / 3, "b": 2 / 3}, (), small)
     cut = thirds.select(F.struct("a", "b").alias("c")).scalar()
     h = F.col(height)
     label = F.when(h <= cut["a"], "Low").when(h <= cut["b"], "Medium").when(h.isNotNull(), "High")

@@ -14,7 +14,7 @@ from isobar.functions.null_safe import safe_corr
 from isobar.functions.tails import chi2_p, f_p, normal_upper, pearson_p
 from isobar.operators.joins import sized_join
 from isobar.operators.ordered import (
-    SMALL_ROWS,
+    SMALL_DISTINCT,
     exact_percentiles,
     lowest_per_group,
     measure,
@@ -55,18 +55,18 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     return one.withColumn("p_value", f_p("statistic", "df1", "df2"))
 
 
-def levene(df: DataFrame, group: str, value: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def levene(df: DataFrame, group: str, value: str, small: int = SMALL_DISTINCT) -> DataFrame:
     """Equality of variances about the group medians."""
     rows = present(df, [group, value])
-    medians = exact_percentiles(rows, value, {"_median": 0.5}, [group], small_rows)
+    medians = exact_percentiles(rows, value, {"_median": 0.5}, [group], small)
     spread = sized_join(rows, medians, group, "inner").withColumn("_gap", F.abs(F.col(value) - F.col("_median")))
     return anova(spread, group, "_gap")
 
 
-def kruskal(df: DataFrame, group: str, value: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def kruskal(df: DataFrame, group: str, value: str, small: int = SMALL_DISTINCT) -> DataFrame:
     """Kruskal-Wallis H with tie correction: statistic, df, p_value."""
     rows = present(df, [group, value])
-    cut = measure(rows, value, small_rows)
+    cut = measure(rows, value, small)
     cells = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("k"))
     ranks = value_ranks(cells, value, weight="k", cut=cut)
     per = (
@@ -168,23 +168,23 @@ def _result(one: DataFrame, name: str, used: str, reject: str) -> DataFrame:
 
 
 def compare_locations(
-    daily: DataFrame, group: str, value: str, keys: Sequence[str], name: str, small_rows: int = SMALL_ROWS
+    daily: DataFrame, group: str, value: str, keys: Sequence[str], name: str, small: int = SMALL_DISTINCT
 ) -> DataFrame:
     """ANOVA where all groups look normal with equal variances, else Kruskal-Wallis."""
     shapes = shapiro_by_group(daily, group, value, keys)
     odd = shapes.filter(F.col("p_value") <= ALPHA).limit(1).count()
-    equal = odd == 0 and (levene(daily, group, value, small_rows).first().p_value or 0.0) > ALPHA
+    equal = odd == 0 and (levene(daily, group, value, small).first().p_value or 0.0) > ALPHA
     reject = "REJECT H0 - significant difference between locations"
     if equal:
         return _result(anova(daily, group, value), name, "One-way ANOVA", reject)
     used = "Kruskal-Wallis H-test (non-parametric, chosen due to non-normality/unequal variance)"
-    return _result(kruskal(daily, group, value, small_rows), name, used, reject)
+    return _result(kruskal(daily, group, value, small), name, used, reject)
 
 
-def compare_ranks(daily: DataFrame, group: str, value: str, name: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def compare_ranks(daily: DataFrame, group: str, value: str, name: str, small: int = SMALL_DISTINCT) -> DataFrame:
     """Kruskal-Wallis without assumption checks, for skewed zero-inflated measures."""
     reject = "REJECT H0 - significant difference between locations"
-    return _result(kruskal(daily, group, value, small_rows), name, "Kruskal-Wallis", reject)
+    return _result(kruskal(daily, group, value, small), name, "Kruskal-Wallis", reject)
 
 
 def location_correlation(agg: DataFrame, x: str, y: str, name: str) -> DataFrame:
@@ -200,7 +200,7 @@ def battery(
     compare: dict[str, str],
     ranks: dict[str, str],
     relations: dict[str, tuple[str, str]],
-    small_rows: int = SMALL_ROWS,
+    small: int = SMALL_DISTINCT,
 ) -> DataFrame:
     """All tests of a study in one summary table.
 
@@ -212,9 +212,9 @@ def battery(
         for name, value in tests.items():
             daily = settle(daily_means(df, key, ts, value))
             if run:
-                rows.append(compare_locations(daily, key, value, [key, "date"], name, small_rows))
+                rows.append(compare_locations(daily, key, value, [key, "date"], name, small))
             else:
-                rows.append(compare_ranks(daily, key, value, name, small_rows))
+                rows.append(compare_ranks(daily, key, value, name, small))
     constants = {x for x, _ in relations.values()}
     measures = {y for _, y in relations.values()}
     agg = df.filter(F.col(key).isNotNull()).groupBy(key).agg(

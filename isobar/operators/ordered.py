@@ -10,8 +10,9 @@ the data into a single task, so the work runs on a histogram instead:
 3. windows run inside (group, slice) and one small table of slice totals per
    group carries the running offset across slices.
 
-The cuts only decide where rows are processed; results are exact. Below
-``SMALL_ROWS`` input rows a single slice is used, which is a plain window.
+The cuts only decide where rows are processed; results are exact. Measurements on a
+coarse grid have few distinct values however many rows there are; up to
+``SMALL_DISTINCT`` of them one slice is used, which is a plain window on the histogram.
 """
 
 from __future__ import annotations
@@ -22,15 +23,14 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SMALL_ROWS = 2_000_000
+SMALL_DISTINCT = 100_000
 _SLICE = "_slice"
 
 
 @dataclass(frozen=True)
 class Slices:
-    """Row count of the input and the inner cut points of its value axis."""
+    """Inner cut points of a value axis; none means a single slice."""
 
-    rows: int
     cuts: list[float] = field(default_factory=list)
 
     @property
@@ -40,30 +40,32 @@ class Slices:
     def label(self, df: DataFrame, value: str) -> DataFrame:
         """Append the slice number, a non-decreasing function of ``value``."""
         if self.single:
-            return df.withColumn(_SLICE, F.lit(0.0))
+            return df.withColumn(_SLICE, F.lit(0))
         splits = [float("-inf"), *self.cuts, float("inf")]
         keyed = df.withColumn("_axis", F.col(value).cast("double"))
-        cut = Bucketizer(splits=splits, inputCol="_axis", outputCol=_SLICE)
-        return cut.transform(keyed).drop("_axis")
+        cut = Bucketizer(splits=splits, inputCol="_axis", outputCol="_at")
+        return cut.transform(keyed).withColumn(_SLICE, F.col("_at").cast("int")).drop("_axis", "_at")
 
 
-def measure(df: DataFrame, value: str, small_rows: int = SMALL_ROWS, slices: int | None = None) -> Slices:
-    """One scan of one column: how many rows, and where to cut.
+def measure(df: DataFrame, value: str, small: int = SMALL_DISTINCT, slices: int | None = None) -> Slices:
+    """Decide from one column whether to cut its axis, and where.
 
-    The driver receives at most ``slices`` numbers (default: the session's shuffle
+    The first scan estimates the number of distinct values, an upper bound for the
+    histogram of any group. Only above ``small`` a second scan sketches quantiles. The
+    driver receives at most ``slices`` numbers (default: the session's shuffle
     partitions).
     """
     col = F.col(value)
-    rows = df.agg(F.count(col)).first()[0]
-    if rows <= small_rows:
-        return Slices(rows)
+    distinct = df.agg(F.approx_count_distinct(col)).first()[0]
+    if distinct <= small:
+        return Slices()
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / n for i in range(1, n)]
     if not probs:
-        return Slices(rows)
-    sketch = F.percentile_approx(col.cast("double"), probs, max(10_000, 20 * n))
+        return Slices()
+    sketch = F.percentile_approx(col.cast("double"), probs, max(1_000, 10 * n))
     cuts = df.agg(sketch).first()[0] or []
-    return Slices(rows, sorted(set(cuts)))
+    return Slices(sorted(set(cuts)))
 
 
 def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -79,25 +81,37 @@ def value_histogram(df: DataFrame, value: str, by: Sequence[str] = (), weight: s
     return present(df, [*by, value]).groupBy(*by, value).agg(c.alias("c"))
 
 
-def running_counts(hist: DataFrame, value: str, by: Sequence[str], cut: Slices) -> DataFrame:
-    """Append ``before`` (rows of the group with a smaller value) and ``n`` (its rows)."""
-    keyed = cut.label(hist, value)
-    keys = [*by, _SLICE]
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = keyed.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0).cast("long")))
-    if cut.single:
-        whole = Window.partitionBy(*keys)
-        return inside.withColumn("n", F.sum("c").over(whole)).drop(_SLICE)
-    totals = keyed.groupBy(*keys).agg(F.sum("c").alias("_t"))
-    # One row per slice and group: at most as many rows as there are slices.
+def _slice_offsets(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(group..., slice, _offset, _t, n): rows of the group below, in, and in all slices.
+
+    One row per slice and group, so the windows here are as short as the slice list.
+    """
+    totals = keyed.groupBy(*by, _SLICE).agg(F.sum("c").alias("_t"))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = whole.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
+    return totals.select(
+        *by,
+        _SLICE,
         F.coalesce(F.sum("_t").over(earlier), F.lit(0).cast("long")).alias("_offset"),
+        "_t",
         F.sum("_t").over(whole).alias("n"),
     )
-    out = inside.join(offsets, keys, "inner")
+
+
+def _running(keyed: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Append ``before``: rows of the same group and slice with a smaller value."""
+    upto = Window.partitionBy(*by, _SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return keyed.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0).cast("long")))
+
+
+def running_counts(hist: DataFrame, value: str, by: Sequence[str], cut: Slices) -> DataFrame:
+    """Append ``before`` (rows of the group with a smaller value) and ``n`` (its rows)."""
+    keyed = cut.label(hist, value)
+    inside = _running(keyed, value, by)
+    if cut.single:
+        whole = Window.partitionBy(*by, _SLICE)
+        return inside.withColumn("n", F.sum("c").over(whole)).drop(_SLICE)
+    out = inside.join(_slice_offsets(keyed, by).drop("_t"), [*by, _SLICE], "inner")
     return out.withColumn("before", F.col("before") + F.col("_offset")).drop("_offset", _SLICE)
 
 
@@ -107,11 +121,11 @@ def value_ranks(
     by: Sequence[str] = (),
     weight: str | None = None,
     descending: bool = False,
-    small_rows: int = SMALL_ROWS,
+    small: int = SMALL_DISTINCT,
     cut: Slices | None = None,
 ) -> DataFrame:
     """(group..., value, c, n, avg_rank): average rank of each distinct value."""
-    cut = cut or measure(df, value, small_rows)
+    cut = cut or measure(df, value, small)
     counts = running_counts(value_histogram(df, value, by, weight), value, by, cut)
     below = F.col("n") - F.col("before") - F.col("c") if descending else F.col("before")
     rank = below.cast("double") + (F.col("c") + 1) / F.lit(2.0)
@@ -123,19 +137,18 @@ def exact_percentiles(
     value: str,
     probs: dict[str, float],
     by: Sequence[str] = (),
-    small_rows: int = SMALL_ROWS,
+    small: int = SMALL_DISTINCT,
     cut: Slices | None = None,
 ) -> DataFrame:
     """One row per group with a linearly interpolated percentile per name."""
     df = present(df, [*by, value])
-    cut = cut or measure(df, value, small_rows)
+    cut = cut or measure(df, value, small)
     if cut.single:
-        # The value -> count map behind ``percentile`` holds at most small_rows entries.
+        # The value -> count map behind ``percentile`` holds about ``small`` entries at most.
         many = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
         wide = df.groupBy(*by).agg(many.alias("_p"))
         picked = [F.col("_p")[i].alias(name) for i, name in enumerate(probs)]
         return wide.select(*by, *picked)
-    counts = running_counts(value_histogram(df, value, by), value, by, cut)
     low, high, share = {}, {}, {}
     for name, p in probs.items():
         at = (F.col("n") - 1) * F.lit(float(p))
@@ -143,8 +156,20 @@ def exact_percentiles(
         high[name] = F.least(low[name] + 1, F.col("n") - 1)
         share[name] = at - low[name]
 
+    def within(k: Column, start: str, length: str) -> Column:
+        return (F.col(start) <= k) & (k < F.col(start) + F.col(length))
+
     def covers(k: Column) -> Column:
-        return (F.col("before") <= k) & (k < F.col("before") + F.col("c"))
+        return within(k, "before", "c")
+
+    # Only slices that hold one of the wanted positions are put in order.
+    keyed = cut.label(value_histogram(df, value, by), value)
+    hit = F.lit(False)
+    for name in probs:
+        hit = hit | within(low[name], "_offset", "_t") | within(high[name], "_offset", "_t")
+    chosen = _slice_offsets(keyed, by).filter(hit)
+    counts = _running(keyed.join(chosen.drop("_t"), [*by, _SLICE], "inner"), value, by)
+    counts = counts.withColumn("before", F.col("before") + F.col("_offset"))
 
     wanted = F.lit(False)
     for name in probs:
@@ -164,10 +189,10 @@ def exact_percentiles(
 
 
 def previous_value(
-    df: DataFrame, value: str, by: Sequence[str], small_rows: int = SMALL_ROWS, cut: Slices | None = None
+    df: DataFrame, value: str, by: Sequence[str], small: int = SMALL_DISTINCT, cut: Slices | None = None
 ) -> DataFrame:
     """(group..., value, c, previous): the next smaller distinct value of the group."""
-    cut = cut or measure(df, value, small_rows)
+    cut = cut or measure(df, value, small)
     keyed = cut.label(value_histogram(df, value, by), value)
     keys = [*by, _SLICE]
     inside = keyed.withColumn("previous", F.lag(value).over(Window.partitionBy(*keys).orderBy(value)))

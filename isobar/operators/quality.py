@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from isobar.functions.null_safe import missing, percent, sample_skew
 from isobar.functions.scalars import half_even, range_label
-from isobar.operators.ordered import SMALL_ROWS, exact_percentiles, previous_value
+from isobar.operators.ordered import SMALL_DISTINCT, exact_percentiles, previous_value
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -94,7 +94,7 @@ def duplicate_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return exact.select("exact_duplicates", key_dupes.scalar().alias("key_duplicates"))
 
 
-def describe(df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
     """count, mean, std, min, quartiles, max and bias-corrected skew per column."""
     tall = long_form(df, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     v = F.col("value")
@@ -106,7 +106,7 @@ def describe(df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS
         F.max(v).alias("max"),
         sample_skew(v).alias("skew"),
     )
-    quartiles = exact_percentiles(tall, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["variable"], small_rows)
+    quartiles = exact_percentiles(tall, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["variable"], small)
     # Both sides hold one row per described column.
     out = moments.join(F.broadcast(quartiles), "variable", "left")
     return out.select("variable", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "skew")
@@ -132,20 +132,20 @@ def table_profile(df: DataFrame, key: str, year: str, n_files: int | None = None
     )
 
 
-def time_deltas(df: DataFrame, key: str, ts: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def time_deltas(df: DataFrame, key: str, ts: str, small: int = SMALL_DISTINCT) -> DataFrame:
     """(key, ts, c, delta_seconds): gap to the station's previous distinct time.
 
     ``c - 1`` further rows at the same instant have a gap of zero.
     """
     stamped = df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    gaps = previous_value(stamped, "_us", [key], small_rows)
+    gaps = previous_value(stamped, "_us", [key], small)
     delta = (F.col("_us") - F.col("previous")) / F.lit(1e6)
     return gaps.select(key, F.timestamp_micros("_us").alias(ts), "c", delta.alias("delta_seconds"))
 
 
-def common_deltas(df: DataFrame, key: str, ts: str, top: int = 5, small_rows: int = SMALL_ROWS) -> DataFrame:
+def common_deltas(df: DataFrame, key: str, ts: str, top: int = 5, small: int = SMALL_DISTINCT) -> DataFrame:
     """The most frequent time steps: the table's resolution."""
-    gaps = time_deltas(df, key, ts, small_rows)
+    gaps = time_deltas(df, key, ts, small)
     step = F.struct(F.col("delta_seconds").alias("d"), F.lit(1).cast("long").alias("w"))
     repeat = F.struct(F.lit(0.0).alias("d"), (F.col("c") - 1).alias("w"))
     each = gaps.select(F.explode(F.array(step, repeat)).alias("s")).filter("s.d IS NOT NULL AND s.w > 0")

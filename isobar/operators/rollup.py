@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType
 from isobar.functions.null_safe import sum0
 from isobar.functions.scalars import half_even
 from isobar.operators.joins import sized_join
-from isobar.operators.ordered import SMALL_ROWS, value_ranks
+from isobar.operators.ordered import SMALL_DISTINCT, value_ranks
 
 
 class DuplicateCellError(ValueError):
@@ -120,10 +120,10 @@ def pivot_cells(df: DataFrame, row: str, column: str, labels: Sequence, value: s
 
 
 def rank_within(
-    df: DataFrame, by: str, value: str, descending: bool = True, small_rows: int = SMALL_ROWS
+    df: DataFrame, by: str, value: str, descending: bool = True, small: int = SMALL_DISTINCT
 ) -> DataFrame:
     """Average rank of ``value`` inside each ``by`` group, appended as ``rank``."""
-    ranks = value_ranks(df, value, [by], descending=descending, small_rows=small_rows)
+    ranks = value_ranks(df, value, [by], descending=descending, small=small)
     lookup = ranks.select(by, value, F.col("avg_rank").alias("rank"))
     return df.join(lookup, [by, value], "left")
 

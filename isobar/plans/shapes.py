@@ -9,7 +9,7 @@ from isobar.operators import distribution as d
 from isobar.operators import geo, regression
 from isobar.plans.registry import query
 from isobar.plans.rollups import station_aggregate
-from isobar.plans.tables import observations, placed, rounded, stations, table, with_views
+from isobar.plans.tables import observations, placed, rd, rounded, stations, table, with_views
 from isobar.session import settle
 
 _VARS = ["temperature", "rain", "wind", "pressure"]
@@ -179,13 +179,13 @@ def tertile_means(spark, sf_dir):
 
 _MARK = """m AS (SELECT *, min(mean_temp) OVER () AS lo, max(mean_temp) OVER () AS hi FROM (
   SELECT station_id, name, elevation_m, latitude, longitude, round(mean_temp, 6) + 0.0 AS mean_temp, round(mean_wind, 6) + 0.0 AS mean_wind FROM a))"""
-_POPUP_SQL = "printf('%s: %.0f m, %.3f C', name, round(elevation_m, 0), mean_temp)"
-_FRAC = "(mean_temp - lo) / (hi - lo)"
+_POPUP_SQL = "printf('%s: %.0f m, %.3f C', name, round(elevation_m, 0), round(mean_temp, 3) + 0.0)"
+_FRAC = "((mean_temp - lo) / (hi - lo))"
 
 
 def _markers(spark, sf_dir):
     agg = settle(rounded(station_aggregate(spark, sf_dir), "mean_temp", "mean_wind"))
-    popup = fixed_text("%s: %.0f m, %.3f C", F.col("name"), F.round("elevation_m", 0), F.col("mean_temp"))
+    popup = fixed_text("%s: %.0f m, %.3f C", F.col("name"), F.round("elevation_m", 0), rd("mean_temp", 3))
     return geo.marker_table(agg, "mean_temp", "name", popup)
 
 
