@@ -20,9 +20,9 @@ def _names(columns: Sequence[str], index: Column) -> Column:
     return F.array(*[F.lit(c) for c in columns])[index]
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def pearson_pairs(df: DataFrame, columns: Sequence[str], origin: Sequence[float] | None = None) -> DataFrame:
     """(x, y, n, r) for every unordered pair, each over its complete rows."""
-    sums = pair_sums(df, columns).filter("i < j")
+    sums = pair_sums(df, columns, origin).filter("i < j")
     return sums.select(
         _names(columns, F.col("i")).alias("x"),
         _names(columns, F.col("j")).alias("y"),
@@ -43,28 +43,29 @@ def matrix_form(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.orderBy(at).withColumnRenamed("x", "variable")
 
 
-def attach_ranks(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
-    """Append the average rank of every column as ``<column>__rank``.
+def attach_ranks(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT) -> tuple[DataFrame, list[float]]:
+    """Append the average rank of every column as ``<column>__rank``; also the mean ranks.
 
-    One job makes the value tables of all columns. Each is joined back on its value:
+    One pass makes the value tables of all columns. Each is joined back on its value:
     broadcast while its counted size allows, which for measurements on a coarse grid
     is always, else by a shuffle join with the frequent values salted.
     """
     numbers = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    tall = numbers.select(*columns).unpivot([], list(columns), "variable", "value").filter(F.col("value").isNotNull())
+    tall = numbers.select(*columns).unpivot([], list(columns), "variable", "value")
     ranks = settle(value_ranks(tall, "value", ["variable"], small=small))
-    sizes = dict(ranks.groupBy("variable").agg(F.count(F.lit(1))).collect())
+    found = ranks.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("n")).collect()
+    sizes = {r.variable: r for r in found}
     # A value is frequent above a fiftieth of the rows, so there are at most 50 per column.
     often = ranks.filter(F.col("c") > F.col("n") * HOT_SHARE).select("variable", "value").collect()
     out = numbers
     for c in columns:
         own = ranks.filter(F.col("variable") == c)
         lookup = own.select(F.col("value").alias(c), F.col("avg_rank").alias(f"{c}__rank"))
-        if sizes.get(c, 0) <= BROADCAST_ROWS:
+        if c not in sizes or sizes[c].distinct <= BROADCAST_ROWS:
             out = out.join(F.broadcast(lookup), c, "left")
         else:
             out = salted_join(out, lookup, c, [r.value for r in often if r.variable == c], "left")
-    return out
+    return out, [(sizes[c].n + 1) / 2.0 if c in sizes else 0.0 for c in columns]
 
 
 def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], small: int = SMALL_DISTINCT) -> DataFrame:
@@ -85,8 +86,9 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], small: int = SMALL_DIST
         rows = df.select(*use)
         for c in sorted(needed):
             rows = rows.filter(~missing(df, c))
-        ranked = attach_ranks(rows, use, small).select(*[F.col(f"{c}__rank").alias(c) for c in use])
-        parts.append(_in_order(pearson_pairs(ranked, use), wanted))
+        ranked, middle = attach_ranks(rows, use, small)
+        ranked = ranked.select(*[F.col(f"{c}__rank").alias(c) for c in use])
+        parts.append(_in_order(pearson_pairs(ranked, use, middle), wanted))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

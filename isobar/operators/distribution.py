@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from isobar.operators.joins import BROADCAST_ROWS
-from isobar.operators.ordered import SMALL_DISTINCT, exact_percentiles, present
+from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, present, value_counts
 from isobar.operators.quality import long_form
 
 
@@ -62,23 +61,28 @@ def box_stats(
     reach: float = 1.5,
     small: int = SMALL_DISTINCT,
 ) -> DataFrame:
-    """Quartiles, whisker ends inside the fences and outlier count per group and variable."""
-    tall = present(_real(df, columns, by), by)
+    """Quartiles, whisker ends inside the fences and outlier count per group and variable.
+
+    Rows fold to (group, variable, value, count) in one pass; fences and counts come
+    from that table.
+    """
     keys = [*by, "variable"]
-    boxes = exact_percentiles(tall, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, small)
+    tall = present(_real(df, columns, by), by)
+    hist = histogram_of(value_counts(tall, "value", keys), "value", keys, small)
+    boxes = hist.percentiles({"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     fenced = boxes.withColumns({"lo": F.col("q1") - iqr * reach, "hi": F.col("q3") + iqr * reach})
-    if fenced.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        fenced = F.broadcast(fenced)
-    inside = F.when(F.col("value").between(F.col("lo"), F.col("hi")), F.col("value"))
+    inside = F.col("value").between(F.col("lo"), F.col("hi"))
+    kept = F.when(inside, F.col("value"))
+    # Spark broadcasts the fences when they turn out small; both sides share their keys.
     return (
-        tall.join(fenced, keys)
+        hist.df.join(fenced, keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
-            F.count("value").alias("n"),
-            F.min(inside).alias("whisker_low"),
-            F.max(inside).alias("whisker_high"),
-            (F.count("value") - F.count(inside)).alias("n_outliers"),
+            F.sum("c").alias("n"),
+            F.min(kept).alias("whisker_low"),
+            F.max(kept).alias("whisker_high"),
+            F.sum(F.when(inside, 0).otherwise(F.col("c"))).alias("n_outliers"),
         )
     )
 

@@ -12,15 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from isobar.functions.null_safe import safe_corr
 from isobar.functions.tails import chi2_p, f_p, normal_upper, pearson_p
-from isobar.operators.joins import sized_join
-from isobar.operators.ordered import (
-    SMALL_DISTINCT,
-    exact_percentiles,
-    lowest_per_group,
-    measure,
-    present,
-    value_ranks,
-)
+from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, lowest_per_group, present, value_counts
 from isobar.operators.rollup import daily_means, seeded_order
 from isobar.session import settle
 
@@ -40,13 +32,18 @@ _G = (-2.273, 0.459)
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     """One-way analysis of variance: statistic, df1, df2, p_value."""
     per = present(df, [group, value]).groupBy(group).agg(
-        F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")
+        F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count(value)).alias("ss")
     )
+    return _f_test(per)
+
+
+def _f_test(per: DataFrame) -> DataFrame:
+    """F statistic from (n, m, ss) per group: size, mean, squares about the mean."""
     centre = per.agg(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n"))).scalar()
     gap = F.col("m") - centre
     sums = per.agg(
         F.sum(F.col("n") * gap * gap).alias("between"),
-        F.sum(F.col("n") * F.col("v")).alias("within"),
+        F.sum("ss").alias("within"),
         (F.count(F.lit(1)) - 1).cast("double").alias("df1"),
         (F.sum("n") - F.count(F.lit(1))).alias("df2"),
     )
@@ -57,18 +54,24 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def levene(df: DataFrame, group: str, value: str, small: int = SMALL_DISTINCT) -> DataFrame:
     """Equality of variances about the group medians."""
-    rows = present(df, [group, value])
-    medians = exact_percentiles(rows, value, {"_median": 0.5}, [group], small)
-    spread = sized_join(rows, medians, group, "inner").withColumn("_gap", F.abs(F.col(value) - F.col("_median")))
-    return anova(spread, group, "_gap")
+    hist = histogram_of(value_counts(df, value, [group]), value, [group], small)
+    gaps = hist.df.join(hist.percentiles({"_median": 0.5}), group)
+    gaps = gaps.withColumn("_gap", F.abs(F.col(value) - F.col("_median")))
+    c, g = F.col("c"), F.col("_gap")
+    means = gaps.groupBy(group).agg(F.sum(c).cast("double").alias("n"), (F.sum(c * g) / F.sum(c)).alias("m"))
+    off = g - F.col("m")
+    per = gaps.join(means, group).groupBy(group, "n", "m").agg(F.sum(c * off * off).alias("ss"))
+    return _f_test(per)
 
 
 def kruskal(df: DataFrame, group: str, value: str, small: int = SMALL_DISTINCT) -> DataFrame:
-    """Kruskal-Wallis H with tie correction: statistic, df, p_value."""
-    rows = present(df, [group, value])
-    cut = measure(rows, value, small)
-    cells = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("k"))
-    ranks = value_ranks(cells, value, weight="k", cut=cut)
+    """Kruskal-Wallis H with tie correction: statistic, df, p_value.
+
+    One pass folds rows to (group, value, count); ranks are taken over the values.
+    """
+    cells = settle(value_counts(df, value, [group]).withColumnRenamed("c", "k"))
+    overall = cells.groupBy(value).agg(F.sum("k").alias("c"))
+    ranks = histogram_of(overall, value, (), small).ranks()
     per = (
         cells.join(ranks.select(value, "avg_rank", "n"), value)
         .groupBy(group)

@@ -4,15 +4,17 @@ Average ranks, exact percentiles and gaps to the previous value all need the row
 a group in order. A window over the group would put a station holding a third of
 the data into a single task, so the work runs on a histogram instead:
 
-1. ``groupBy(group, value).count()`` — map-side combine folds hot values;
-2. the value axis is cut at approximate quantiles, so each (group, slice) stays
-   small whatever the shape of the data;
-3. windows run inside (group, slice) and one small table of slice totals per
-   group carries the running offset across slices.
+1. ``groupBy(group, value).count()`` is the only pass over the facts; map-side combine
+   folds hot values, and the result is written once to the checkpoint folder;
+2. where a group has many distinct values, the value axis is cut at approximate
+   quantiles of the histogram, so each (group, slice) stays small whatever the
+   shape of the data;
+3. windows run inside (group, slice), and one small table of slice totals per group
+   carries the running offset across slices.
 
 The cuts only decide where rows are processed; results are exact. Measurements on a
-coarse grid have few distinct values however many rows there are; up to
-``SMALL_DISTINCT`` of them one slice is used, which is a plain window on the histogram.
+coarse grid have few distinct values however many rows there are, and then the
+histogram is tiny.
 """
 
 from __future__ import annotations
@@ -23,51 +25,13 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from isobar.session import settle
+
+# Most distinct values a group may have before its axis is cut.
 SMALL_DISTINCT = 100_000
 _SLICE = "_slice"
 
 
-@dataclass(frozen=True)
-class Slices:
-    """Inner cut points of a value axis; none means a single slice."""
-
-    cuts: list[float] = field(default_factory=list)
-
-    @property
-    def single(self) -> bool:
-        return not self.cuts
-
-    def label(self, df: DataFrame, value: str) -> DataFrame:
-        """Append the slice number, a non-decreasing function of ``value``."""
-        if self.single:
-            return df.withColumn(_SLICE, F.lit(0))
-        splits = [float("-inf"), *self.cuts, float("inf")]
-        keyed = df.withColumn("_axis", F.col(value).cast("double"))
-        cut = Bucketizer(splits=splits, inputCol="_axis", outputCol="_at")
-        return cut.transform(keyed).withColumn(_SLICE, F.col("_at").cast("int")).drop("_axis", "_at")
-
-
-def measure(df: DataFrame, value: str, small: int = SMALL_DISTINCT, slices: int | None = None) -> Slices:
-    """Decide from one column whether to cut its axis, and where.
-
-    The first scan estimates the number of distinct values, an upper bound for the
-    histogram of any group. Only above ``small`` a second scan sketches quantiles. The
-    driver receives at most ``slices`` numbers (default: the session's shuffle
-    partitions).
-    """
-    col = F.col(value)
-    distinct = df.agg(F.approx_count_distinct(col)).first()[0]
-    if distinct <= small:
-        return Slices()
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probs = [i / n for i in range(1, n)]
-    if not probs:
-        return Slices()
-    sketch = F.percentile_approx(col.cast("double"), probs, max(1_000, 10 * n))
-    cuts = df.agg(sketch).first()[0] or []
-    return Slices(sorted(set(cuts)))
-
-
 def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with all ``columns`` set: null group keys and null values drop out."""
     for name in columns:
@@ -75,133 +39,160 @@ def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def value_histogram(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(group..., value, c): how often each value occurs in each group."""
-    c = F.sum(weight) if weight else F.count(F.lit(1))
-    return present(df, [*by, value]).groupBy(*by, value).agg(c.alias("c"))
-
+    return present(df, [*by, value]).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
 
-def _slice_offsets(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(group..., slice, _offset, _t, n): rows of the group below, in, and in all slices.
 
-    One row per slice and group, so the windows here are as short as the slice list.
-    """
-    totals = keyed.groupBy(*by, _SLICE).agg(F.sum("c").alias("_t"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    earlier = whole.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        *by,
-        _SLICE,
-        F.coalesce(F.sum("_t").over(earlier), F.lit(0).cast("long")).alias("_offset"),
-        "_t",
-        F.sum("_t").over(whole).alias("n"),
-    )
-
-
-def _running(keyed: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Append ``before``: rows of the same group and slice with a smaller value."""
-    upto = Window.partitionBy(*by, _SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return keyed.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0).cast("long")))
-
-
-def running_counts(hist: DataFrame, value: str, by: Sequence[str], cut: Slices) -> DataFrame:
-    """Append ``before`` (rows of the group with a smaller value) and ``n`` (its rows)."""
-    keyed = cut.label(hist, value)
-    inside = _running(keyed, value, by)
-    if cut.single:
-        whole = Window.partitionBy(*by, _SLICE)
-        return inside.withColumn("n", F.sum("c").over(whole)).drop(_SLICE)
-    out = inside.join(_slice_offsets(keyed, by).drop("_t"), [*by, _SLICE], "inner")
-    return out.withColumn("before", F.col("before") + F.col("_offset")).drop("_offset", _SLICE)
+@dataclass(frozen=True)
+class Histogram:
+    """(group..., value, c) with the inner cut points of its value axis, if any."""
 
+    df: DataFrame
+    value: str
+    by: tuple[str, ...]
+    cuts: list[float] = field(default_factory=list)
 
-def value_ranks(
-    df: DataFrame,
+    def _keyed(self) -> DataFrame:
+        """Append the slice number, a non-decreasing function of the value."""
+        if not self.cuts:
+            return self.df.withColumn(_SLICE, F.lit(0))
+        splits = [float("-inf"), *self.cuts, float("inf")]
+        axis = self.df.withColumn("_axis", F.col(self.value).cast("double"))
+        cut = Bucketizer(splits=splits, inputCol="_axis", outputCol="_at").transform(axis)
+        return cut.withColumn(_SLICE, F.col("_at").cast("int")).drop("_axis", "_at")
+
+    def _offsets(self, keyed: DataFrame) -> DataFrame:
+        """(group..., slice, _offset, _t, n): rows below, inside and overall.
+
+        One row per slice and group, so the windows are as short as the slice list.
+        """
+        totals = keyed.groupBy(*self.by, _SLICE).agg(F.sum("c").alias("_t"))
+        whole = Window.partitionBy(*self.by) if self.by else Window.partitionBy(F.lit(0))
+        earlier = whole.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(
+            *self.by,
+            _SLICE,
+            F.coalesce(F.sum("_t").over(earlier), F.lit(0).cast("long")).alias("_offset"),
+            "_t",
+            F.sum("_t").over(whole).alias("n"),
+        )
+
+    def _running(self, keyed: DataFrame) -> DataFrame:
+        """Append ``before``: rows of the same group and slice with a smaller value."""
+        w = Window.partitionBy(*self.by, _SLICE).orderBy(self.value)
+        upto = w.rowsBetween(Window.unboundedPreceding, -1)
+        return keyed.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0).cast("long")))
+
+    def running(self) -> DataFrame:
+        """Append ``before`` (rows of the group with a smaller value) and ``n`` (its rows)."""
+        keyed = self._keyed()
+        inside = self._running(keyed)
+        if not self.cuts:
+            whole = Window.partitionBy(*self.by, _SLICE)
+            return inside.withColumn("n", F.sum("c").over(whole)).drop(_SLICE)
+        out = inside.join(self._offsets(keyed).drop("_t"), [*self.by, _SLICE], "inner")
+        return out.withColumn("before", F.col("before") + F.col("_offset")).drop("_offset", _SLICE)
+
+    def ranks(self, descending: bool = False) -> DataFrame:
+        """(group..., value, c, n, avg_rank): average rank of each distinct value."""
+        below = F.col("n") - F.col("before") - F.col("c") if descending else F.col("before")
+        rank = below.cast("double") + (F.col("c") + 1) / F.lit(2.0)
+        return self.running().withColumn("avg_rank", rank).drop("before")
+
+    def percentiles(self, probs: dict[str, float]) -> DataFrame:
+        """One row per group with a linearly interpolated percentile per name."""
+        if not self.cuts:
+            # The value -> count map of a group holds at most SMALL_DISTINCT entries.
+            wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
+            wide = self.df.groupBy(*self.by).agg(F.percentile(self.value, wanted, F.col("c")).alias("_p"))
+            return wide.select(*self.by, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)])
+        low, high, share = {}, {}, {}
+        for name, p in probs.items():
+            at = (F.col("n") - 1) * F.lit(float(p))
+            low[name] = F.floor(at)
+            high[name] = F.least(low[name] + 1, F.col("n") - 1)
+            share[name] = at - low[name]
+
+        def within(k: Column, start: str, length: str) -> Column:
+            return (F.col(start) <= k) & (k < F.col(start) + F.col(length))
+
+        # Only slices that hold one of the wanted positions are put in order.
+        keyed = self._keyed()
+        hit, wanted = F.lit(False), F.lit(False)
+        for k in (*low.values(), *high.values()):
+            hit = hit | within(k, "_offset", "_t")
+            wanted = wanted | within(k, "before", "c")
+        chosen = self._offsets(keyed).filter(hit).drop("_t")
+        counts = self._running(keyed.join(chosen, [*self.by, _SLICE], "inner"))
+        counts = counts.withColumn("before", F.col("before") + F.col("_offset")).filter(wanted)
+        aggs, picked = [], []
+        for i, name in enumerate(probs):
+            aggs += [
+                F.max(F.when(within(low[name], "before", "c"), F.col(self.value))).alias(f"_lo{i}"),
+                F.max(F.when(within(high[name], "before", "c"), F.col(self.value))).alias(f"_hi{i}"),
+                F.max(share[name]).alias(f"_w{i}"),
+            ]
+            lo, hi, w = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_w{i}")
+            picked.append((lo + (hi - lo) * w).alias(name))
+        return counts.groupBy(*self.by).agg(*aggs).select(*self.by, *picked)
+
+    def previous(self) -> DataFrame:
+        """(group..., value, c, previous): the next smaller distinct value of the group."""
+        keyed = self._keyed()
+        keys = [*self.by, _SLICE]
+        w = Window.partitionBy(*keys).orderBy(self.value)
+        inside = keyed.withColumn("previous", F.lag(self.value).over(w))
+        if not self.cuts:
+            return inside.drop(_SLICE)
+        tops = keyed.groupBy(*keys).agg(F.max(self.value).alias("_top"))
+        whole = Window.partitionBy(*self.by) if self.by else Window.partitionBy(F.lit(0))
+        carried = tops.select(*keys, F.lag("_top").over(whole.orderBy(_SLICE)).alias("_carry"))
+        out = inside.join(carried, keys, "inner")
+        return out.withColumn("previous", F.coalesce("previous", "_carry")).drop("_carry", _SLICE)
+
+
+def histogram_of(
+    counts: DataFrame,
     value: str,
     by: Sequence[str] = (),
-    weight: str | None = None,
-    descending: bool = False,
     small: int = SMALL_DISTINCT,
-    cut: Slices | None = None,
+    slices: int | None = None,
+) -> Histogram:
+    """Settle a (group..., value, c) table and cut its axis where a group is long.
+
+    The driver receives one count and at most ``slices`` cut points (default: the
+    session's shuffle partitions).
+    """
+    kept = settle(counts)
+    longest = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    cuts: list[float] = []
+    if longest > small:
+        n = slices or int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        probs = [i / n for i in range(1, n)]
+        if probs:
+            axis = F.col(value).cast("double")
+            cuts = kept.agg(F.percentile_approx(axis, probs, max(1_000, 10 * n))).first()[0]
+    return Histogram(kept, value, tuple(by), sorted(set(cuts)))
+
+
+def value_ranks(
+    df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = False, small: int = SMALL_DISTINCT
 ) -> DataFrame:
     """(group..., value, c, n, avg_rank): average rank of each distinct value."""
-    cut = cut or measure(df, value, small)
-    counts = running_counts(value_histogram(df, value, by, weight), value, by, cut)
-    below = F.col("n") - F.col("before") - F.col("c") if descending else F.col("before")
-    rank = below.cast("double") + (F.col("c") + 1) / F.lit(2.0)
-    return counts.withColumn("avg_rank", rank).drop("before")
+    return histogram_of(value_counts(df, value, by), value, by, small).ranks(descending)
 
 
 def exact_percentiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    by: Sequence[str] = (),
-    small: int = SMALL_DISTINCT,
-    cut: Slices | None = None,
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), small: int = SMALL_DISTINCT
 ) -> DataFrame:
     """One row per group with a linearly interpolated percentile per name."""
-    df = present(df, [*by, value])
-    cut = cut or measure(df, value, small)
-    if cut.single:
-        # The value -> count map behind ``percentile`` holds about ``small`` entries at most.
-        many = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
-        wide = df.groupBy(*by).agg(many.alias("_p"))
-        picked = [F.col("_p")[i].alias(name) for i, name in enumerate(probs)]
-        return wide.select(*by, *picked)
-    low, high, share = {}, {}, {}
-    for name, p in probs.items():
-        at = (F.col("n") - 1) * F.lit(float(p))
-        low[name] = F.floor(at)
-        high[name] = F.least(low[name] + 1, F.col("n") - 1)
-        share[name] = at - low[name]
-
-    def within(k: Column, start: str, length: str) -> Column:
-        return (F.col(start) <= k) & (k < F.col(start) + F.col(length))
-
-    def covers(k: Column) -> Column:
-        return within(k, "before", "c")
-
-    # Only slices that hold one of the wanted positions are put in order.
-    keyed = cut.label(value_histogram(df, value, by), value)
-    hit = F.lit(False)
-    for name in probs:
-        hit = hit | within(low[name], "_offset", "_t") | within(high[name], "_offset", "_t")
-    chosen = _slice_offsets(keyed, by).filter(hit)
-    counts = _running(keyed.join(chosen.drop("_t"), [*by, _SLICE], "inner"), value, by)
-    counts = counts.withColumn("before", F.col("before") + F.col("_offset"))
-
-    wanted = F.lit(False)
-    for name in probs:
-        wanted = wanted | covers(low[name]) | covers(high[name])
-    aggs = []
-    for i, name in enumerate(probs):
-        aggs += [
-            F.max(F.when(covers(low[name]), F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when(covers(high[name]), F.col(value))).alias(f"_hi{i}"),
-            F.max(share[name]).alias(f"_w{i}"),
-        ]
-    picked = [
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(name)
-        for i, name in enumerate(probs)
-    ]
-    return counts.filter(wanted).groupBy(*by).agg(*aggs).select(*by, *picked)
-
-
-def previous_value(
-    df: DataFrame, value: str, by: Sequence[str], small: int = SMALL_DISTINCT, cut: Slices | None = None
-) -> DataFrame:
+    return histogram_of(value_counts(df, value, by), value, by, small).percentiles(probs)
+
+
+def previous_value(df: DataFrame, value: str, by: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
     """(group..., value, c, previous): the next smaller distinct value of the group."""
-    cut = cut or measure(df, value, small)
-    keyed = cut.label(value_histogram(df, value, by), value)
-    keys = [*by, _SLICE]
-    inside = keyed.withColumn("previous", F.lag(value).over(Window.partitionBy(*keys).orderBy(value)))
-    if cut.single:
-        return inside.drop(_SLICE)
-    tops = keyed.groupBy(*keys).agg(F.max(value).alias("_top"))
-    carried = tops.select(*keys, F.lag("_top").over(Window.partitionBy(*by).orderBy(_SLICE)).alias("_carry"))
-    out = inside.join(carried, keys, "inner")
-    return out.withColumn("previous", F.coalesce("previous", "_carry")).drop("_carry", _SLICE)
+    return histogram_of(value_counts(df, value, by), value, by, small).previous()
 
 
 def lowest_per_group(

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from isobar.functions.null_safe import missing, percent, sample_skew
+from isobar.functions.null_safe import missing, moment_skew, percent
 from isobar.functions.scalars import half_even, range_label
-from isobar.operators.ordered import SMALL_DISTINCT, exact_percentiles, previous_value
+from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, previous_value, value_counts
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -95,21 +95,30 @@ def duplicate_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
-    """count, mean, std, min, quartiles, max and bias-corrected skew per column."""
+    """count, mean, std, min, quartiles, max and bias-corrected skew per column.
+
+    One pass folds all columns to (variable, value, count); everything else is
+    weighted arithmetic on that table.
+    """
     tall = long_form(df, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    v = F.col("value")
-    moments = tall.groupBy("variable").agg(
-        F.count(v).alias("count"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        sample_skew(v).alias("skew"),
+    hist = histogram_of(value_counts(tall, "value", ["variable"]), "value", ["variable"], small)
+    v, c = F.col("value"), F.col("c")
+    first = hist.df.groupBy("variable").agg(
+        F.sum(c).alias("count"), (F.sum(c * v) / F.sum(c)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
     )
-    quartiles = exact_percentiles(tall, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["variable"], small)
-    # Both sides hold one row per described column.
-    out = moments.join(F.broadcast(quartiles), "variable", "left")
-    return out.select("variable", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "skew")
+    # The small tables below hold one row per described column.
+    d = v - F.col("mean")
+    spread = hist.df.join(F.broadcast(first.select("variable", "mean")), "variable").groupBy("variable").agg(
+        F.sum(c * d * d).alias("m2"), F.sum(c * d * d * d).alias("m3")
+    )
+    quartiles = hist.percentiles({"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    out = first.join(F.broadcast(spread), "variable").join(F.broadcast(quartiles), "variable", "left")
+    n = F.col("count").cast("double")
+    std = F.sqrt(F.try_divide(F.col("m2"), n - 1))
+    return out.select(
+        "variable", "count", "mean", std.alias("std"), "min", "p25", "p50", "p75", "max",
+        moment_skew(n, F.col("m2"), F.col("m3")).alias("skew"),
+    )
 
 
 def table_profile(df: DataFrame, key: str, year: str, n_files: int | None = None, n_bytes: int | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Order statistics: the sliced path must equal the plain one and pandas."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,11 +9,11 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from isobar.operators.ordered import (
-    Slices,
+    Histogram,
     exact_percentiles,
+    histogram_of,
     lowest_per_group,
-    measure,
-    previous_value,
+    value_counts,
     value_ranks,
 )
 
@@ -31,12 +33,13 @@ def as_spark(spark, pdf):
     return spark.createDataFrame(rows, "g string, v double")
 
 
-@pytest.mark.parametrize("cut", [Slices(), Slices([-1.0, 0.0, 0.5]), None])
+@pytest.mark.parametrize("cuts", [[], [-1.0, 0.0, 0.5], None])
 @pytest.mark.parametrize("descending", [False, True])
-def test_average_ranks(spark, skewed, cut, descending):
-    df = as_spark(spark, skewed)
-    cut = cut or measure(df, "v", small=0, slices=16)
-    got = value_ranks(df, "v", ["g"], cut=cut, descending=descending).toPandas()
+def test_average_ranks(spark, skewed, cuts, descending):
+    hist = histogram_of(value_counts(as_spark(spark, skewed), "v", ["g"]), "v", ["g"], small=0, slices=16)
+    assert len(hist.cuts) > 4
+    hist = hist if cuts is None else replace(hist, cuts=cuts)
+    got = hist.ranks(descending).toPandas()
     clean = skewed.dropna()
     clean = clean.assign(avg_rank=clean.groupby("g")["v"].rank(ascending=not descending))
     want = clean.groupby(["g", "v"]).agg(avg_rank=("avg_rank", "first"), c=("v", "size")).reset_index()
@@ -58,16 +61,17 @@ def test_percentiles_match_pandas(spark, skewed, small):
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=40), st.lists(st.integers(-5, 5), max_size=3))
 def test_percentiles_whatever_the_cuts(spark, values, cuts):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    cut = Slices(sorted({float(c) for c in cuts}))
-    row = exact_percentiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.9}, cut=cut).first()
+    hist = Histogram(value_counts(df, "v"), "v", (), sorted({float(c) for c in cuts}))
+    row = hist.percentiles({"a": 0.25, "b": 0.5, "c": 0.9}).first()
     assert np.allclose([row.a, row.b, row.c], np.quantile(values, [0.25, 0.5, 0.9]))
 
 
 def test_previous_value_across_slices(spark):
     rows = [("a", 1), ("a", 5), ("a", 5), ("a", 9), ("b", 20), ("b", 2)]
     df = spark.createDataFrame(rows, "g string, v long")
-    for cut in (Slices(), Slices([2.0, 5.0, 7.0])):
-        got = {(r.g, r.v): (r.previous, r.c) for r in previous_value(df, "v", ["g"], cut=cut).collect()}
+    for cuts in ([], [2.0, 5.0, 7.0]):
+        hist = Histogram(value_counts(df, "v", ["g"]), "v", ("g",), cuts)
+        got = {(r.g, r.v): (r.previous, r.c) for r in hist.previous().collect()}
         assert got == {
             ("a", 1): (None, 1),
             ("a", 5): (1, 2),
