@@ -8,18 +8,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, present, value_counts
 from isobar.operators.quality import long_form
+from isobar.session import settle
 
 
 def _real(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     return long_form(df, columns, keep).filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
-    """(variable, bin, bin_low, bin_high, n): equal-width bins, last one closed."""
-    tall = _real(df, columns)
-    edges = tall.groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    # One row per listed column.
-    placed = tall.join(F.broadcast(edges), "variable")
+def _spread(tall: DataFrame) -> DataFrame:
+    """(variable, total, lo, hi, sd): settled, one row per listed column."""
+    return settle(
+        tall.groupBy("variable").agg(
+            F.count("value").alias("total"),
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+            F.stddev_samp("value").alias("sd"),
+        )
+    )
+
+
+def _bin_counts(tall: DataFrame, spread: DataFrame, bins: int) -> DataFrame:
+    """(variable, bin, bin_low, bin_high, n): the last bin is closed."""
+    placed = tall.join(F.broadcast(spread.select("variable", "lo", "hi")), "variable")
     share = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
     at = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     counts = placed.groupBy("variable", "lo", "hi", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -28,19 +38,21 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFram
     return counts.select("variable", "bin", low.alias("bin_low"), (low + width).alias("bin_high"), "n")
 
 
+def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
+    """(variable, bin, bin_low, bin_high, n): equal-width bins over each column's range."""
+    tall = _real(df, columns)
+    return _bin_counts(tall, _spread(tall), bins)
+
+
 def density(df: DataFrame, columns: Sequence[str], points: int = 200, bins: int = 1024) -> DataFrame:
     """(variable, x, density): Gaussian kernel estimate on an even grid.
 
     The kernel sums over ``bins`` bin centres instead of rows, so its cost does not
     grow with the table. Bandwidth is Scott's: sd * n^(-1/5).
     """
-    spread = _real(df, columns).groupBy("variable").agg(
-        F.count("value").alias("total"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        F.stddev_samp("value").alias("sd"),
-    )
-    hist = histogram(df, columns, bins).select(
+    tall = _real(df, columns)
+    spread = _spread(tall)
+    hist = _bin_counts(tall, spread, bins).select(
         "variable", ((F.col("bin_low") + F.col("bin_high")) / 2).alias("centre"), "n"
     )
     both = hist.join(F.broadcast(spread), "variable")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from isobar.functions.null_safe import safe_corr
 from isobar.functions.tails import chi2_p, f_p, normal_upper, pearson_p
 from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, lowest_per_group, present, value_counts
-from isobar.operators.rollup import daily_means, seeded_order
+from isobar.operators.rollup import seeded_order
 from isobar.session import settle
 
 ALPHA = 0.05
@@ -148,7 +148,8 @@ def shapiro_by_group(
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < at_least:
-            return pd.DataFrame({group: [], "n": [], "w": [], "p_value": []})
+            empty = {"n": pd.Series(dtype="int64"), "w": pd.Series(dtype="float64"), "p_value": pd.Series(dtype="float64")}
+            return pd.DataFrame({group: pdf[group].iloc[:0], **empty})
         w, p = shapiro_wilk(pdf[value].to_numpy())
         return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(pdf)], "w": [w], "p_value": [p]})
 
@@ -210,18 +211,19 @@ def battery(
     ``compare`` and ``ranks`` name daily-mean tests (name -> measure); ``relations``
     names location-level ones (name -> (location constant, measure)).
     """
-    rows = []
-    for tests, run in ((compare, True), (ranks, False)):
-        for name, value in tests.items():
-            daily = settle(daily_means(df, key, ts, value))
-            if run:
-                rows.append(compare_locations(daily, key, value, [key, "date"], name, small))
-            else:
-                rows.append(compare_ranks(daily, key, value, name, small))
-    constants = {x for x, _ in relations.values()}
-    measures = {y for _, y in relations.values()}
-    agg = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        *[F.min(c).alias(c) for c in sorted(constants)], *[F.avg(m).alias(m) for m in sorted(measures)]
+    constants = sorted({x for x, _ in relations.values()})
+    measures = sorted({*compare.values(), *ranks.values(), *(y for _, y in relations.values())})
+    # One pass over the facts: daily means, and what location means are made of.
+    day = F.to_date(ts).alias("date")
+    parts = [F.avg(m).alias(m) for m in measures]
+    parts += [F.sum(m).alias(f"_sum_{m}") for m in measures] + [F.count(m).alias(f"_n_{m}") for m in measures]
+    parts += [F.min(c).alias(f"_at_{c}") for c in constants]
+    daily = settle(present(df, [key, ts]).groupBy(key, day).agg(*parts))
+    rows = [compare_locations(daily, key, v, [key, "date"], name, small) for name, v in compare.items()]
+    rows += [compare_ranks(daily, key, v, name, small) for name, v in ranks.items()]
+    agg = daily.groupBy(key).agg(
+        *[F.min(f"_at_{c}").alias(c) for c in constants],
+        *[F.try_divide(F.sum(f"_sum_{m}"), F.sum(f"_n_{m}")).alias(m) for m in measures],
     )
     for name, (x, y) in relations.items():
         rows.append(location_correlation(agg, x, y, name))

@@ -100,10 +100,10 @@ def mean_of_totals(df: DataFrame, by: Sequence[str], within: str, value: str) ->
     return totals.groupBy(*by).agg(F.avg(value).alias(value))
 
 
-def daily_means(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Mean of a measure per station and calendar day."""
+def daily_means(df: DataFrame, key: str, ts: str, *values: str) -> DataFrame:
+    """Mean of each measure per station and calendar day."""
     day = F.to_date(ts).alias("date")
-    return _keyed(df, [key, ts]).groupBy(key, day).agg(F.avg(value).alias(value))
+    return _keyed(df, [key, ts]).groupBy(key, day).agg(*[F.avg(v).alias(v) for v in values])
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, labels: Sequence, value: str) -> DataFrame:
