@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from isobar.operators.joins import settled_join
 from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, present, value_counts
 from isobar.operators.quality import long_form
 from isobar.session import settle
@@ -86,9 +87,8 @@ def box_stats(
     fenced = boxes.withColumns({"lo": F.col("q1") - iqr * reach, "hi": F.col("q3") + iqr * reach})
     inside = F.col("value").between(F.col("lo"), F.col("hi"))
     kept = F.when(inside, F.col("value"))
-    # Spark broadcasts the fences when they turn out small; both sides share their keys.
     return (
-        hist.df.join(fenced, keys)
+        settled_join(hist.df, fenced, keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.sum("c").alias("n"),

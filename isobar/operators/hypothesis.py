@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from isobar.functions.null_safe import safe_corr
 from isobar.functions.tails import chi2_p, f_p, normal_upper, pearson_p
+from isobar.operators.joins import settled_join
 from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, lowest_per_group, present, value_counts
 from isobar.operators.rollup import seeded_order
 from isobar.session import settle
@@ -55,12 +56,12 @@ def _f_test(per: DataFrame) -> DataFrame:
 def levene(df: DataFrame, group: str, value: str, small: int = SMALL_DISTINCT) -> DataFrame:
     """Equality of variances about the group medians."""
     hist = histogram_of(value_counts(df, value, [group]), value, [group], small)
-    gaps = hist.df.join(hist.percentiles({"_median": 0.5}), group)
+    gaps = settled_join(hist.df, hist.percentiles({"_median": 0.5}), [group])
     gaps = gaps.withColumn("_gap", F.abs(F.col(value) - F.col("_median")))
     c, g = F.col("c"), F.col("_gap")
     means = gaps.groupBy(group).agg(F.sum(c).cast("double").alias("n"), (F.sum(c * g) / F.sum(c)).alias("m"))
     off = g - F.col("m")
-    per = gaps.join(means, group).groupBy(group, "n", "m").agg(F.sum(c * off * off).alias("ss"))
+    per = settled_join(gaps, means, [group]).groupBy(group, "n", "m").agg(F.sum(c * off * off).alias("ss"))
     return _f_test(per)
 
 

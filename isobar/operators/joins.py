@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from isobar.operators.ordered import present
+from isobar.session import settle
 
 # Largest dimension, in rows, that is copied to every executor.
 BROADCAST_ROWS = 200_000
@@ -73,6 +74,18 @@ def sized_join(
     return salted_join(fact, dim, on, hot_keys(fact, on), how)
 
 
+def settled_join(facts: DataFrame, groups: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join of facts to a per-group result, which is settled and counted first.
+
+    Up to the broadcast bound the facts are not shuffled, so a hot group stays spread
+    as it was.
+    """
+    kept = settle(groups)
+    if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    return facts.join(kept, list(on))
+
+
 def join_checked(
     fact: DataFrame,
     dim: DataFrame,
