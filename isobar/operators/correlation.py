@@ -43,8 +43,12 @@ def matrix_form(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.orderBy(at).withColumnRenamed("x", "variable")
 
 
-def attach_ranks(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT) -> tuple[DataFrame, list[float]]:
-    """Append the average rank of every column as ``<column>__rank``; also the mean ranks.
+def attach_ranks(
+    df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT
+) -> tuple[DataFrame, list[float], dict[str, int]]:
+    """Append the average rank of every column as ``<column>__rank``.
+
+    Also returns the mean rank and the number of distinct values of each column.
 
     One pass makes the value tables of all columns. Each is joined back on its value:
     broadcast while its counted size allows, which for measurements on a coarse grid
@@ -65,7 +69,8 @@ def attach_ranks(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTI
             out = out.join(F.broadcast(lookup), c, "left")
         else:
             out = salted_join(out, lookup, c, [r.value for r in often if r.variable == c], "left")
-    return out, [(sizes[c].n + 1) / 2.0 if c in sizes else 0.0 for c in columns]
+    middle = [(sizes[c].n + 1) / 2.0 if c in sizes else 0.0 for c in columns]
+    return out, middle, {c: sizes[c].distinct if c in sizes else 0 for c in columns}
 
 
 def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], small: int = SMALL_DISTINCT) -> DataFrame:
@@ -74,25 +79,31 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], small: int = SMALL_DIST
     Pairs without gaps share one set of ranks. Pairs that touch columns with gaps are
     ranked on the rows where those columns are set, one pass per combination of them.
     """
+    return _spearman(df, pairs, small)[0]
+
+
+def _spearman(df: DataFrame, pairs: Sequence[Pair], small: int) -> tuple[DataFrame, dict[str, int]]:
+    """The table above and the distinct counts of columns ranked on all their rows."""
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
     gaps = df.agg(*[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     holed = {c for i, c in enumerate(cols) if gaps[i]}
     groups: dict[frozenset, list[Pair]] = {}
     for x, y in pairs:
         groups.setdefault(frozenset({x, y} & holed), []).append((x, y))
-    parts = []
+    parts, known = [], {}
     for needed, wanted in groups.items():
         use = list(dict.fromkeys(c for pair in wanted for c in pair))
         rows = df.select(*use)
         for c in sorted(needed):
             rows = rows.filter(~missing(df, c))
-        ranked, middle = attach_ranks(rows, use, small)
+        ranked, middle, distinct = attach_ranks(rows, use, small)
         ranked = ranked.select(*[F.col(f"{c}__rank").alias(c) for c in use])
         parts.append(_in_order(pearson_pairs(ranked, use, middle), wanted))
+        known.update({c: n for c, n in distinct.items() if needed == {c} & holed})
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.withColumnRenamed("r", "rho")
+    return out.withColumnRenamed("r", "rho"), known
 
 
 def _in_order(symmetric: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
@@ -123,9 +134,12 @@ def focused_pairs(df: DataFrame, pairs: Sequence[Pair], small: int = SMALL_DISTI
     """Row-level r and rho for chosen pairs with p-values and distinct x counts."""
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
     pearson = _in_order(pearson_pairs(df, cols), pairs).select("x", "y", F.col("r").alias("pearson_r"))
-    distinct = distinct_counts(df, list(dict.fromkeys(x for x, _ in pairs)))
+    ranked, known = _spearman(df, pairs, small)
+    counted = df.sparkSession.createDataFrame(list(known.items()), "variable string, n_distinct long")
+    rest = [x for x in dict.fromkeys(x for x, _ in pairs) if x not in known]
+    distinct = counted.unionByName(distinct_counts(df, rest)) if rest else counted
     # All three tables hold one row per pair or column.
-    out = spearman_pairs(df, pairs, small).join(F.broadcast(pearson), ["x", "y"], "left")
+    out = ranked.join(F.broadcast(pearson), ["x", "y"], "left")
     out = out.join(F.broadcast(distinct), F.col("x") == F.col("variable"), "left")
     return out.select(
         "x",
