@@ -60,7 +60,7 @@ def attach_ranks(
     found = ranks.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("n")).collect()
     sizes = {r.variable: r for r in found}
     # A value is frequent above a fiftieth of the rows, so there are at most 50 per column.
-    often = ranks.filter(F.col("c") > F.col("n") * HOT_SHARE).select("variable", "value").collect()
+    often = ranks.filter(F.col("_c") > F.col("n") * HOT_SHARE).select("variable", "value").collect()
     out = numbers
     for c in columns:
         own = ranks.filter(F.col("variable") == c)

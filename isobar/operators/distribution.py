@@ -91,10 +91,10 @@ def box_stats(
         settled_join(hist.df, fenced, keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
-            F.sum("c").alias("n"),
+            F.sum("_c").alias("n"),
             F.min(kept).alias("whisker_low"),
             F.max(kept).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("c"))).alias("n_outliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("n_outliers"),
         )
     )
 

@@ -33,20 +33,20 @@ _G = (-2.273, 0.459)
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     """One-way analysis of variance: statistic, df1, df2, p_value."""
     per = present(df, [group, value]).groupBy(group).agg(
-        F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count(value)).alias("ss")
+        F.count(value).cast("double").alias("_n"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count(value)).alias("_ss")
     )
     return _f_test(per)
 
 
 def _f_test(per: DataFrame) -> DataFrame:
-    """F statistic from (n, m, ss) per group: size, mean, squares about the mean."""
-    centre = per.agg(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n"))).scalar()
-    gap = F.col("m") - centre
+    """F statistic from (_n, _m, _ss) per group: size, mean, squares about the mean."""
+    centre = per.agg(F.try_divide(F.sum(F.col("_n") * F.col("_m")), F.sum("_n"))).scalar()
+    gap = F.col("_m") - centre
     sums = per.agg(
-        F.sum(F.col("n") * gap * gap).alias("between"),
-        F.sum("ss").alias("within"),
+        F.sum(F.col("_n") * gap * gap).alias("between"),
+        F.sum("_ss").alias("within"),
         (F.count(F.lit(1)) - 1).cast("double").alias("df1"),
-        (F.sum("n") - F.count(F.lit(1))).alias("df2"),
+        (F.sum("_n") - F.count(F.lit(1))).alias("df2"),
     )
     ratio = F.try_divide(F.try_divide(F.col("between"), F.col("df1")), F.try_divide(F.col("within"), F.col("df2")))
     one = sums.select(ratio.alias("statistic"), "df1", "df2")
@@ -58,10 +58,10 @@ def levene(df: DataFrame, group: str, value: str, small: int = SMALL_DISTINCT) -
     hist = histogram_of(value_counts(df, value, [group]), value, [group], small)
     gaps = settled_join(hist.df, hist.percentiles({"_median": 0.5}), [group])
     gaps = gaps.withColumn("_gap", F.abs(F.col(value) - F.col("_median")))
-    c, g = F.col("c"), F.col("_gap")
-    means = gaps.groupBy(group).agg(F.sum(c).cast("double").alias("n"), (F.sum(c * g) / F.sum(c)).alias("m"))
-    off = g - F.col("m")
-    per = settled_join(gaps, means, [group]).groupBy(group, "n", "m").agg(F.sum(c * off * off).alias("ss"))
+    c, g = F.col("_c"), F.col("_gap")
+    means = gaps.groupBy(group).agg(F.sum(c).cast("double").alias("_n"), (F.sum(c * g) / F.sum(c)).alias("_m"))
+    off = g - F.col("_m")
+    per = settled_join(gaps, means, [group]).groupBy(group, "_n", "_m").agg(F.sum(c * off * off).alias("_ss"))
     return _f_test(per)
 
 
@@ -70,22 +70,22 @@ def kruskal(df: DataFrame, group: str, value: str, small: int = SMALL_DISTINCT)
 
     One pass folds rows to (group, value, count); ranks are taken over the values.
     """
-    cells = settle(value_counts(df, value, [group]).withColumnRenamed("c", "k"))
-    overall = cells.groupBy(value).agg(F.sum("k").alias("c"))
+    cells = settle(value_counts(df, value, [group]).withColumnRenamed("_c", "_k"))
+    overall = cells.groupBy(value).agg(F.sum("_k").alias("_c"))
     ranks = histogram_of(overall, value, (), small).ranks()
     per = (
         cells.join(ranks.select(value, "avg_rank", "n"), value)
         .groupBy(group)
         .agg(
-            F.sum("k").cast("double").alias("k"),
-            F.sum(F.col("k") * (F.col("avg_rank") - (F.col("n") + 1) / F.lit(2.0))).alias("s"),
+            F.sum("_k").cast("double").alias("_k"),
+            F.sum(F.col("_k") * (F.col("avg_rank") - (F.col("n") + 1) / F.lit(2.0))).alias("_s"),
             F.max("n").cast("double").alias("n"),
         )
     )
-    t, n = F.col("c").cast("double"), F.col("n").cast("double")
+    t, n = F.col("_c").cast("double"), F.col("n").cast("double")
     ties = ranks.agg(F.try_divide(F.sum(t * t * t - t), F.max(n * n * n - n))).scalar()
     spread = per.agg(
-        F.sum(F.col("s") * F.col("s") / F.col("k")).alias("b"),
+        F.sum(F.col("_s") * F.col("_s") / F.col("_k")).alias("b"),
         F.max("n").alias("n"),
         (F.count(F.lit(1)) - 1).cast("double").alias("df"),
     )

@@ -30,16 +30,16 @@ def repeated_keys(dim: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def key_profile(dim: DataFrame, on: Sequence[str]) -> tuple[int, int]:
     """(rows, largest number of rows of one key) of a dimension."""
-    per_key = dim.groupBy(*on).agg(F.count(F.lit(1)).alias("c"))
-    row = per_key.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
+    per_key = dim.groupBy(*on).agg(F.count(F.lit(1)).alias("_c"))
+    row = per_key.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.coalesce(F.max("_c"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
 def hot_keys(fact: DataFrame, on: str, share: float = HOT_SHARE) -> list:
     """Key values holding more than ``share`` of all rows: at most 1/share of them."""
-    counts = present(fact, [on]).groupBy(on).agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c").alias("t"))
-    hot = counts.filter(F.col("c") > F.lit(share) * total.scalar())
+    counts = present(fact, [on]).groupBy(on).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c").alias("t"))
+    hot = counts.filter(F.col("_c") > F.lit(share) * total.scalar())
     return [row[0] for row in hot.select(on).collect()]
 
 
@@ -121,23 +121,23 @@ def merge_report(
     before = fact.agg(F.count(F.lit(1)).alias("b"))
     unmatched = F.sum(F.when(F.col(matched).isNull(), 1).otherwise(0))
     # A station-hour is the unit: repeated ones fold map-side before the shuffle.
-    per_key = merged.groupBy(key, ts).agg(F.count(F.lit(1)).alias("c"), unmatched.alias("u"))
+    per_key = merged.groupBy(key, ts).agg(F.count(F.lit(1)).alias("_c"), unmatched.alias("_u"))
     # A station-year table is tiny, so the distinct counts below cost nothing.
     per_year = per_key.groupBy(key, F.year(ts).alias("_year")).agg(
-        F.sum("c").alias("c"),
-        F.sum(F.col("c") - 1).alias("d"),
-        F.sum("u").alias("u"),
-        F.min(ts).alias("lo"),
-        F.max(ts).alias("hi"),
+        F.sum("_c").alias("_c"),
+        F.sum(F.col("_c") - 1).alias("_d"),
+        F.sum("_u").alias("_u"),
+        F.min(ts).alias("_lo"),
+        F.max(ts).alias("_hi"),
     )
     one = per_year.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("rows_after_merge"),
-        F.coalesce(F.sum("d"), F.lit(0)).alias("duplicate_records_after_merge"),
-        F.coalesce(F.sum("u"), F.lit(0)).alias("unmatched_rows"),
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("rows_after_merge"),
+        F.coalesce(F.sum("_d"), F.lit(0)).alias("duplicate_records_after_merge"),
+        F.coalesce(F.sum("_u"), F.lit(0)).alias("unmatched_rows"),
         F.count_distinct(key).alias("n_locations"),
         F.count_distinct("_year").alias("n_years"),
-        F.min("lo").alias("date_min"),
-        F.max("hi").alias("date_max"),
+        F.min("_lo").alias("date_min"),
+        F.max("_hi").alias("date_max"),
     )
     return one.select(
         before.scalar().alias("rows_before_merge"),

@@ -40,13 +40,13 @@ def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(group..., value, c): how often each value occurs in each group."""
-    return present(df, [*by, value]).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    """(group..., value, _c): how often each value occurs in each group."""
+    return present(df, [*by, value]).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
 
 
 @dataclass(frozen=True)
 class Histogram:
-    """(group..., value, c) with the inner cut points of its value axis, if any."""
+    """(group..., value, _c) with the inner cut points of its value axis, if any."""
 
     df: DataFrame
     value: str
@@ -67,7 +67,7 @@ class Histogram:
 
         One row per slice and group, so the windows are as short as the slice list.
         """
-        totals = keyed.groupBy(*self.by, _SLICE).agg(F.sum("c").alias("_t"))
+        totals = keyed.groupBy(*self.by, _SLICE).agg(F.sum("_c").alias("_t"))
         whole = Window.partitionBy(*self.by) if self.by else Window.partitionBy(F.lit(0))
         earlier = whole.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
         return totals.select(
@@ -82,7 +82,7 @@ class Histogram:
         """Append ``before``: rows of the same group and slice with a smaller value."""
         w = Window.partitionBy(*self.by, _SLICE).orderBy(self.value)
         upto = w.rowsBetween(Window.unboundedPreceding, -1)
-        return keyed.withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0).cast("long")))
+        return keyed.withColumn("before", F.coalesce(F.sum("_c").over(upto), F.lit(0).cast("long")))
 
     def running(self) -> DataFrame:
         """Append ``before`` (rows of the group with a smaller value) and ``n`` (its rows)."""
@@ -90,14 +90,14 @@ class Histogram:
         inside = self._running(keyed)
         if not self.cuts:
             whole = Window.partitionBy(*self.by, _SLICE)
-            return inside.withColumn("n", F.sum("c").over(whole)).drop(_SLICE)
+            return inside.withColumn("n", F.sum("_c").over(whole)).drop(_SLICE)
         out = inside.join(self._offsets(keyed).drop("_t"), [*self.by, _SLICE], "inner")
         return out.withColumn("before", F.col("before") + F.col("_offset")).drop("_offset", _SLICE)
 
     def ranks(self, descending: bool = False) -> DataFrame:
-        """(group..., value, c, n, avg_rank): average rank of each distinct value."""
-        below = F.col("n") - F.col("before") - F.col("c") if descending else F.col("before")
-        rank = below.cast("double") + (F.col("c") + 1) / F.lit(2.0)
+        """(group..., value, _c, n, avg_rank): average rank of each distinct value."""
+        below = F.col("n") - F.col("before") - F.col("_c") if descending else F.col("before")
+        rank = below.cast("double") + (F.col("_c") + 1) / F.lit(2.0)
         return self.running().withColumn("avg_rank", rank).drop("before")
 
     def percentiles(self, probs: dict[str, float]) -> DataFrame:
@@ -105,7 +105,7 @@ class Histogram:
         if not self.cuts:
             # The value -> count map of a group holds at most SMALL_DISTINCT entries.
             wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
-            wide = self.df.groupBy(*self.by).agg(F.percentile(self.value, wanted, F.col("c")).alias("_p"))
+            wide = self.df.groupBy(*self.by).agg(F.percentile(self.value, wanted, F.col("_c")).alias("_p"))
             return wide.select(*self.by, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)])
         low, high, share = {}, {}, {}
         for name, p in probs.items():
@@ -122,15 +122,15 @@ class Histogram:
         hit, wanted = F.lit(False), F.lit(False)
         for k in (*low.values(), *high.values()):
             hit = hit | within(k, "_offset", "_t")
-            wanted = wanted | within(k, "before", "c")
+            wanted = wanted | within(k, "before", "_c")
         chosen = self._offsets(keyed).filter(hit).drop("_t")
         counts = self._running(keyed.join(chosen, [*self.by, _SLICE], "inner"))
         counts = counts.withColumn("before", F.col("before") + F.col("_offset")).filter(wanted)
         aggs, picked = [], []
         for i, name in enumerate(probs):
             aggs += [
-                F.max(F.when(within(low[name], "before", "c"), F.col(self.value))).alias(f"_lo{i}"),
-                F.max(F.when(within(high[name], "before", "c"), F.col(self.value))).alias(f"_hi{i}"),
+                F.max(F.when(within(low[name], "before", "_c"), F.col(self.value))).alias(f"_lo{i}"),
+                F.max(F.when(within(high[name], "before", "_c"), F.col(self.value))).alias(f"_hi{i}"),
                 F.max(share[name]).alias(f"_w{i}"),
             ]
             lo, hi, w = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_w{i}")
@@ -138,7 +138,7 @@ class Histogram:
         return counts.groupBy(*self.by).agg(*aggs).select(*self.by, *picked)
 
     def previous(self) -> DataFrame:
-        """(group..., value, c, previous): the next smaller distinct value of the group."""
+        """(group..., value, _c, previous): the next smaller distinct value of the group."""
         keyed = self._keyed()
         keys = [*self.by, _SLICE]
         w = Window.partitionBy(*keys).orderBy(self.value)
@@ -159,13 +159,13 @@ def histogram_of(
     small: int = SMALL_DISTINCT,
     slices: int | None = None,
 ) -> Histogram:
-    """Settle a (group..., value, c) table and cut its axis where a group is long.
+    """Settle a (group..., value, _c) table and cut its axis where a group is long.
 
     The driver receives one count and at most ``slices`` cut points (default: the
     session's shuffle partitions).
     """
     kept = settle(counts)
-    longest = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    longest = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0] or 0
     cuts: list[float] = []
     if longest > small:
         n = slices or int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -179,7 +179,7 @@ def histogram_of(
 def value_ranks(
     df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = False, small: int = SMALL_DISTINCT
 ) -> DataFrame:
-    """(group..., value, c, n, avg_rank): average rank of each distinct value."""
+    """(group..., value, _c, n, avg_rank): average rank of each distinct value."""
     return histogram_of(value_counts(df, value, by), value, by, small).ranks(descending)
 
 
@@ -191,7 +191,7 @@ def exact_percentiles(
 
 
 def previous_value(df: DataFrame, value: str, by: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
-    """(group..., value, c, previous): the next smaller distinct value of the group."""
+    """(group..., value, _c, previous): the next smaller distinct value of the group."""
     return histogram_of(value_counts(df, value, by), value, by, small).previous()
 
 

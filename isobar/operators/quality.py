@@ -83,8 +83,8 @@ def positive_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     """Rows beyond the first of each distinct row (or key); nulls compare equal."""
-    per = df.groupBy(*(key or df.columns)).agg(F.count(F.lit(1)).alias("c"))
-    return per.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n_duplicates"))
+    per = df.groupBy(*(key or df.columns)).agg(F.count(F.lit(1)).alias("_c"))
+    return per.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("n_duplicates"))
 
 
 def duplicate_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -102,7 +102,7 @@ def describe(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT)
     """
     tall = long_form(df, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     hist = histogram_of(value_counts(tall, "value", ["variable"]), "value", ["variable"], small)
-    v, c = F.col("value"), F.col("c")
+    v, c = F.col("value"), F.col("_c")
     first = hist.df.groupBy("variable").agg(
         F.sum(c).alias("count"), (F.sum(c * v) / F.sum(c)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
     )
@@ -123,9 +123,9 @@ def describe(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT)
 
 def table_profile(df: DataFrame, key: str, year: str, n_files: int | None = None, n_bytes: int | None = None) -> DataFrame:
     """Rows, distinct keys and years, columns and, where known, file sizes."""
-    per = df.groupBy(key, year).agg(F.count(F.lit(1)).alias("c"))
+    per = df.groupBy(key, year).agg(F.count(F.lit(1)).alias("_c"))
     out = per.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("total_rows"),
         F.count_distinct(key).alias("total_locations"),
         F.count_distinct(year).alias("total_years"),
     ).withColumn("total_columns", F.lit(len(df.columns)))
@@ -142,21 +142,21 @@ def table_profile(df: DataFrame, key: str, year: str, n_files: int | None = None
 
 
 def time_deltas(df: DataFrame, key: str, ts: str, small: int = SMALL_DISTINCT) -> DataFrame:
-    """(key, ts, c, delta_seconds): gap to the station's previous distinct time.
+    """(key, ts, copies, delta_seconds): gap to the station's previous distinct time.
 
-    ``c - 1`` further rows at the same instant have a gap of zero.
+    ``copies - 1`` further rows at the same instant have a gap of zero.
     """
     stamped = df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
     gaps = previous_value(stamped, "_us", [key], small)
     delta = (F.col("_us") - F.col("previous")) / F.lit(1e6)
-    return gaps.select(key, F.timestamp_micros("_us").alias(ts), "c", delta.alias("delta_seconds"))
+    return gaps.select(key, F.timestamp_micros("_us").alias(ts), F.col("_c").alias("copies"), delta.alias("delta_seconds"))
 
 
 def common_deltas(df: DataFrame, key: str, ts: str, top: int = 5, small: int = SMALL_DISTINCT) -> DataFrame:
     """The most frequent time steps: the table's resolution."""
     gaps = time_deltas(df, key, ts, small)
     step = F.struct(F.col("delta_seconds").alias("d"), F.lit(1).cast("long").alias("w"))
-    repeat = F.struct(F.lit(0.0).alias("d"), (F.col("c") - 1).alias("w"))
+    repeat = F.struct(F.lit(0.0).alias("d"), (F.col("copies") - 1).alias("w"))
     each = gaps.select(F.explode(F.array(step, repeat)).alias("s")).filter("s.d IS NOT NULL AND s.w > 0")
     counts = each.groupBy(F.col("s.d").alias("delta_seconds")).agg(F.sum("s.w").alias("n"))
     return counts.orderBy(F.desc("n"), "delta_seconds").limit(top)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from isobar.operators import correlation as c
 from isobar.operators import hypothesis as h
 from isobar.operators import regression, rollup
@@ -90,7 +92,7 @@ def spearman_matrix(spark, sf_dir):
 )
 def average_ranks(spark, sf_dir):
     """Average rank of every distinct value of a column."""
-    return value_ranks(observations(spark, sf_dir), "temperature").select("temperature", "c", "avg_rank")
+    return value_ranks(observations(spark, sf_dir), "temperature").select("temperature", F.col("_c").alias("c"), "avg_rank")
 
 
 FOCUS = [

@@ -219,7 +219,7 @@ def time_delta(spark, sf_dir):
 def time_delta_rows(spark, sf_dir):
     """Lag differences per station, summed up."""
     gaps = quality.time_deltas(table(spark, sf_dir, "events"), "event_type", "ts")
-    later = F.sum("c") - F.count(F.when(F.col("delta_seconds").isNull(), 1))
+    later = F.sum("copies") - F.count(F.when(F.col("delta_seconds").isNull(), 1))
     out = gaps.groupBy("event_type").agg(
         later.alias("n"), F.sum("delta_seconds").alias("total"), F.max("delta_seconds").alias("longest")
     )

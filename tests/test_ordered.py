@@ -42,10 +42,10 @@ def test_average_ranks(spark, skewed, cuts, descending):
     got = hist.ranks(descending).toPandas()
     clean = skewed.dropna()
     clean = clean.assign(avg_rank=clean.groupby("g")["v"].rank(ascending=not descending))
-    want = clean.groupby(["g", "v"]).agg(avg_rank=("avg_rank", "first"), c=("v", "size")).reset_index()
+    want = clean.groupby(["g", "v"]).agg(avg_rank=("avg_rank", "first"), _c=("v", "size")).reset_index()
     both = got.merge(want, on=["g", "v"], suffixes=("", "_w"))
     assert len(both) == len(got) == len(want)
-    assert (both.avg_rank == both.avg_rank_w).all() and (both.c == both.c_w).all()
+    assert (both.avg_rank == both.avg_rank_w).all() and (both["_c"] == both["_c_w"]).all()
 
 
 @pytest.mark.parametrize("small", [0, 10**6])
@@ -71,7 +71,7 @@ def test_previous_value_across_slices(spark):
     df = spark.createDataFrame(rows, "g string, v long")
     for cuts in ([], [2.0, 5.0, 7.0]):
         hist = Histogram(value_counts(df, "v", ["g"]), "v", ("g",), cuts)
-        got = {(r.g, r.v): (r.previous, r.c) for r in hist.previous().collect()}
+        got = {(r.g, r.v): (r.previous, r["_c"]) for r in hist.previous().collect()}
         assert got == {
             ("a", 1): (None, 1),
             ("a", 5): (1, 2),
