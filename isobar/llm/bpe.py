@@ -3,7 +3,8 @@
 A pre-token's bytes form a linked list. Every adjacent pair that is a token waits in the
 bucket of its rank, which holds list positions; a three-level bitmap over the ranks finds
 the next rank by find-first-set. Entries whose pair has changed are skipped. One pre-token
-of n bytes takes O(n) queue steps, however long it is.
+of n bytes takes O(n) queue steps, however long it is; pre-tokens not met before share one
+queue, a slice of texts at a time.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from isobar.llm.common import arrow_schema, worker_store
+from isobar.llm.common import arrow_schema, text_slices, worker_store
 
 #: Encoded pieces that one worker remembers; speed only.
 CACHE_PIECES = 400_000
-_LONGEST_CACHED = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,22 +33,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class RankQueue:
     """Buckets of positions by rank, with a bitmap of 64-way levels over them."""
 
-    def __init__(self):
+    def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
+        self.low = [0] * ((ranks >> 6) + 1)
+        self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
 
     def push(self, rank: int, at: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is not None:
             bucket.append(at)
             return
         self.buckets[rank] = [at]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
+        a = rank >> 6
+        if not self.low[a]:
+            self.mid[rank >> 12] |= 1 << (a & 63)
+            self.top |= 1 << (rank >> 12)
+        self.low[a] |= 1 << (rank & 63)
 
     def pop(self) -> tuple[int, list[int]] | None:
         """The lowest rank with its positions, ascending."""
@@ -70,75 +71,77 @@ class RankQueue:
         return rank, bucket
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Token ids of one pre-token: lowest rank first, leftmost among equals."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return (whole,)
-    n = len(piece)
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int], pairs: list[int | None]) -> list[list[int]]:
+    """Token ids of each piece: lowest rank first, leftmost among equals.
+
+    The pieces lie one after another in one linked list that no pair crosses, and share
+    one queue. ``pairs`` has the rank of every two bytes, if any.
+    """
+    data = b"".join(pieces)
+    n = len(data)
+    edge = bytearray(n + 1)  # where a piece begins, or the end
+    at = 0
+    for piece in pieces:
+        edge[at] = 1
+        at += len(piece)
+    edge[n] = 1
     get = ranks.get
     after = list(range(1, n + 1))  # start of the next part
     before = list(range(-1, n - 1))
-    waits = [None] * n  # rank of the pair that starts here
-    queue = RankQueue()
-    push = queue.push
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
+    waits = [None if e else pairs[x << 8 | y] for x, y, e in zip(data, data[1:], edge[1:])]  # rank of the pair that starts here
+    waits.append(None)
+    queue = RankQueue(max(ranks.values(), default=0))
+    push, buckets = queue.push, queue.buckets
+    for i, rank in enumerate(waits):
         if rank is not None:
-            waits[i] = rank
             push(rank, i)
     while popped := queue.pop():
         rank, bucket = popped
         for k, i in enumerate(bucket):
             if waits[i] != rank:
-                continue
+                continue  # stale: the pair has changed since
             gone = after[i]
             end = after[gone]
             waits[gone] = None
             after[i] = end
-            least = rank + 1
-            if end < n:
+            least = rank
+            if edge[end]:
+                waits[i] = None
+                if end < n:
+                    before[end] = i
+            else:
                 before[end] = i
-                r = get(piece[i : after[end]])
-                waits[i] = r
+                waits[i] = r = get(data[i : after[end]])
                 if r is not None:
-                    push(r, i)
+                    if r in buckets:
+                        buckets[r].append(i)
+                    else:
+                        push(r, i)
                     if r < least:
                         least = r
-            else:
-                waits[i] = None
-            p = before[i]
-            if p >= 0:
-                r = get(piece[p:end])
-                waits[p] = r
+            if not edge[i]:
+                p = before[i]
+                waits[p] = r = get(data[p:end])
                 if r is not None:
-                    push(r, p)
+                    if r in buckets:
+                        buckets[r].append(p)
+                    else:
+                        push(r, p)
                     if r < least:
                         least = r
-            if least <= rank:  # a pair as early or earlier has come up: take it in turn
+            if least < rank:  # an earlier pair has come up: take it in turn
                 for j in bucket[k + 1 :]:
                     if waits[j] == rank:
                         push(rank, j)
                 break
     out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return tuple(out)
-
-
-class _Pieces(dict):
-    """Text piece to ids, filled on demand up to a bound."""
-
-    def __init__(self, work: Callable[[str], tuple[int, ...]]):
-        super().__init__()
-        self.work = work
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.work(piece)
-        if len(self) < CACHE_PIECES and len(piece) <= _LONGEST_CACHED:
-            self[piece] = ids
-        return ids
+    for piece in pieces:
+        end, ids = i + len(piece), []
+        while i < end:
+            ids.append(ranks[data[i : after[i]]])
+            i = after[i]
+        out.append(ids)
+    return out
 
 
 class Codec:
@@ -146,7 +149,7 @@ class Codec:
 
     #: A space between two non-spaces always starts a pre-token, so text is cut there first.
     _CUT = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
-    _ODD = regex.compile(r"\p{White_Space}[^\P{White_Space}]| \p{White_Space}|^\p{White_Space}|\p{White_Space} |\p{White_Space}$")
+    _ODD = regex.compile(r" \p{White_Space}|\p{White_Space} |^\p{White_Space}|\p{White_Space}$")
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -154,31 +157,62 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
+        self.pairs = [ranks.get(bytes((x, y))) for x in range(256) for y in range(256)]
         # White space is Unicode's property in every engine that shares these files.
-        self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.pre_tokens = _Pieces(lambda t: merge(t.encode(), ranks))
-        self.chunks = _Pieces(self._chunk)
+        for short, full in ((r"[^\s", r"[^\p{White_Space}"), (r"\s", r"\p{White_Space}"), (r"\S", r"\P{White_Space}")):
+            pattern = pattern.replace(short, full)
+        self.split = regex.compile(pattern).findall
+        self.pre_tokens: dict[str, list[int]] = {}
+        self.chunks: dict[str, list[int]] = {}
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        got = self.split(chunk)
-        if len(got) == 1:
-            return self.pre_tokens[got[0]]
-        return tuple(chain.from_iterable(map(self.pre_tokens.__getitem__, got)))
-
-    def encode(self, text: str) -> list[int]:
+    def _pieces(self, text: str) -> list[str]:
         if not text:
             return []
         first, *rest = text.split(" ") if self._ODD.search(text) is None else self._CUT.split(text)
-        chunks = self.chunks
-        ids = list(chunks[first])
-        ids.extend(chain.from_iterable([chunks[" " + c] for c in rest]))
-        return ids
+        return [first, *[" " + c for c in rest]]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of the chunks in ``missing``, whose new pre-tokens are merged together."""
+        known, ranks = self.pre_tokens, self.ranks
+        split = {chunk: self.split(chunk) for chunk in missing}
+        new = []
+        for piece in set(chain.from_iterable(split.values())).difference(known):
+            data = piece.encode()
+            whole = ranks.get(data)
+            if whole is None:
+                new.append((piece, data))
+            else:
+                known[piece] = [whole]
+        if new:
+            for (piece, _), ids in zip(new, merge_all([d for _, d in new], ranks, self.pairs)):
+                known[piece] = ids
+        for chunk, parts in split.items():
+            self.chunks[chunk] = known[parts[0]] if len(parts) == 1 else list(chain.from_iterable([known[p] for p in parts]))
+
+    @staticmethod
+    def _trim(cache: dict[str, list[int]]) -> None:
+        """Keep the pieces seen first, among them the frequent ones."""
+        while len(cache) > CACHE_PIECES:
+            cache.popitem()
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text. The texts are held together: give bounded slices."""
+        cut = [self._pieces(t or "") for t in texts]
+        if missing := set(chain.from_iterable(cut)).difference(self.chunks):
+            self._learn(missing)
+        get = self.chunks.__getitem__
+        out = [list(chain.from_iterable(map(get, pieces))) for pieces in cut]
+        self._trim(self.pre_tokens)
+        self._trim(self.chunks)
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        ids = self.encode(text)
+    def digests(self, ids: list[int]) -> tuple[int, str, str]:
         joined = ",".join(map(self.text_of.__getitem__, ids)).encode()
         return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
@@ -191,56 +225,59 @@ def codec(path: str, pattern: str) -> Codec:
     return store[key]
 
 
-def _mapped(df: DataFrame, schema: str, row: Callable[[Codec, object], tuple], path: str, pattern: str) -> DataFrame:
+def _mapped(df: DataFrame, schema: str, rows: Callable[[Codec, list], list[tuple]], path: str, pattern: str) -> DataFrame:
     want = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                cols = list(zip(*(row(own, x) for x in part.column(1).to_pylist())))
-                arrays = [part.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(want)[1:]))]
-                yield pa.RecordBatch.from_arrays(arrays, schema=want)
+        for part in batches:
+            cols = list(zip(*rows(own, part.column(1).to_pylist())))
+            arrays = [part.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(want)[1:]))]
+            yield pa.RecordBatch.from_arrays(arrays, schema=want)
 
-    return df.mapInArrow(run, schema)
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(text_slices((b for b in batches if b.num_rows), 1, 4 << 20))
+
+    return df.mapInArrow(sliced, schema)
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f"id {df.schema[id_col].dataType.simpleString()}"
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
-    """(id, ids array<int>), one row per input row; null and empty texts have no ids.
+    """(id, n_tokens, ids array<int>, decoded_sha256), one row per input row.
 
-    Whole texts are encoded, repeated rows and null ids stay, extra columns are not read.
+    ``decoded_sha256`` is the digest of the bytes that the ids decode to. Null and empty
+    texts have no ids. Whole texts are encoded, repeated rows and null ids stay, extra
+    columns are not read.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    done = _mapped(rows, f"id {kind}, ids array<int>", lambda c, t: (c.encode(t or ""),), path, pattern)
-    return done.withColumnRenamed("id", id_col)
+    rows, kind = _texts(df, id_col, text_col)
+
+    def work(own: Codec, texts: list[str | None]) -> list[tuple]:
+        return [(len(ids), ids, hashlib.sha256(own.decode(ids)).hexdigest()) for ids in own.encode_all(texts)]
+
+    return _mapped(rows, f"{kind}, n_tokens bigint, ids array<int>, decoded_sha256 string", work, path, pattern).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, path: str, pattern: str) -> DataFrame:
     """(id, decoded binary) of ids made by ``encode``; null ids give empty bytes."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    done = _mapped(rows, f"id {kind}, decoded binary", lambda c, ids: (c.decode(ids or []),), path, pattern)
-    return done.withColumnRenamed("id", id_col)
-
-
-def round_trip(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of encoding and decoding each text in one pass."""
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return _mapped(rows, schema, lambda c, t: c.digests(t or ""), path, pattern).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, decoded binary"
+    want = arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for part in batches:
+            back = [own.decode(ids or []) for ids in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(back, pa.binary())], schema=want)
 
-def encode_checked(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
-    """(id, n_tokens, ids, decoded_sha256): ids of each text, and the digest of their decoding."""
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
-    def row(own: Codec, text: str | None) -> tuple:
-        ids = own.encode(text or "")
-        return len(ids), ids, hashlib.sha256(own.decode(ids)).hexdigest()
 
-    schema = f"id {kind}, n_tokens bigint, ids array<int>, decoded_sha256 string"
-    return _mapped(rows, schema, row, path, pattern).withColumnRenamed("id", id_col)
+def round_trip(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): digests of ``encode`` and ``decode`` in one pass."""
+    rows, kind = _texts(df, id_col, text_col)
+    schema = f"{kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _mapped(rows, schema, lambda own, texts: [own.digests(ids) for ids in own.encode_all(texts)], path, pattern).withColumnRenamed("id", id_col)

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from isobar.llm import bpe, chat, urls
-from isobar.llm.common import table
+from isobar.llm import bpe, chat, decon, langid, pq, simhash, urls
+from isobar.llm.common import crc_of, table
 from isobar.session import prepare
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,51 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, "doc_id", "text", public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_DECON_SQL = f"""
+WITH bench AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, list_slice(w, a, a + least(len(w), 10) - 1) AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS a FROM bench WHERE len(w) > 0)),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM windows),
+runs AS (
+  SELECT doc_id, size, a, list_slice(w, a, a + size - 1) AS win
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS a FROM docs, sizes WHERE len(w) >= size)),
+found AS (SELECT r.doc_id, r.a, r.size, w.item_id FROM runs r JOIN windows w ON r.win = w.win),
+spots AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(a, a + size)) AS p FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items,
+       coalesce(m.digest, sha256('')) AS items_sha256, coalesce(s.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN spots s USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
+
+@query("op6_decontaminate", _DECON_SQL)
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside an occurrence of a benchmark window."""
+    found = decon.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decon.hit_words()
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learnt where crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of(F.col("doc_id")) % 4 == 2
+    model = langid.train(docs.where(~held_out), "lang", "text")
+    return langid.predict(docs, model, "doc_id", "text", {"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score")
+
+
 #: Fixed values of the url query.
 URL_RULES = [
     ("org/", "allow"),
@@ -120,3 +165,33 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     events = chat.as_events(given.unionByName(extra))
     return chat.read_back(chat.render(chat.fold(events)))
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_PQ_SQL = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT vec_id, coalesce(d.n, 0) AS n_links, low AS component_id, vec_id = low AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN degree d ON d.a = vec_id
+"""
+
+
+@query("op10_embedding_pq", _PQ_SQL)
+def op10_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of a label at cosine 0.98."""
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"), limit=0.98)

@@ -61,3 +61,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds about ``limit`` bytes of text, or one longer row."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = size = 0
+        for at, n in enumerate(sizes):
+            if at > start and size + n > limit:
+                yield batch.slice(start, at - start)
+                start, size = at, 0
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
