@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from isobar.llm import bpe, chat, decon, langid, pq, simhash, urls
+from isobar.llm import bpe, chat, decon, langid, mixing, pii, pq, simhash, urls
 from isobar.llm.common import crc_of, table
 from isobar.session import prepare
 
@@ -37,6 +37,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored; learnt where crc32(doc_id) mod 10 is not 0."""
+    scored = mixing.score(table(spark, sf_dir, "documents"), crc_of(F.col("doc_id")) % 10 != 0)
+    return scored.select(
+        "doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 #: Fixed values of the byte-level BPE query.
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -95,6 +104,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, "doc_id", "text", {"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that the learned classifier adds."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    base, every = pii.as_text(pii.KINDS), pii.as_text((*pii.KINDS, pii.CANDIDATE))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"))
+
+
 #: Fixed values of the url query.
 URL_RULES = [
     ("org/", "allow"),
