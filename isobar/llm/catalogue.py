@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from isobar.llm import bpe, chat, decon, langid, mixing, pii, pq, simhash, urls
+from isobar.llm import bpe, chat, decon, langid, mixing, pii, pq, simhash, urls, weak
 from isobar.llm.common import crc_of, table
 from isobar.session import prepare
 
@@ -37,6 +37,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by weak labels; no given label is read."""
+    found = weak.classify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join(F.col("votes").cast("array<string>"), ",").alias("votes"), "weak", "score", "keep")
+
+
 @query("op2_lm_score")
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored; learnt where crc32(doc_id) mod 10 is not 0."""
