@@ -206,7 +206,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def masked(text: Column, found: dict[str, Column]) -> Column:
     """The text with every span replaced by its kind in angle brackets; overlaps by the first."""
-    tagged = [F.transform(s, lambda x, k=kind: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{k}>").alias("tag"))) for kind, s in found.items()]
+
+    def tag(kind: str):
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind}>").alias("tag"))
+
+    tagged = [F.transform(s, tag(kind)) for kind, s in found.items()]
     every = F.array_sort(F.concat(*tagged))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -224,5 +228,9 @@ def masked(text: Column, found: dict[str, Column]) -> Column:
 
 def as_text(kinds: tuple[str, ...]) -> Column:
     """Spans of column arrays as ``kind:start:end``, joined by commas."""
-    shown = [F.transform(F.col(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))) for k in kinds]
+
+    def show(kind: str):
+        return lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string"))
+
+    shown = [F.transform(F.col(kind), show(kind)) for kind in kinds]
     return F.array_join(F.concat(*shown), ",")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from isobar.llm.common import lower_ascii
 
-WORDS = 8  # 64-bit words in a block, one bit set in each
+WORDS = 8  # 64-bit words in a block, one bit set in each (2^3, see _passes)
 KEYS_PER_BLOCK = 24
 MAX_BLOCKS = 1 << 16  # 4 MB; beyond it more false positives reach the join, none are lost
 
@@ -46,7 +46,7 @@ def bloom(keys: DataFrame) -> DataFrame:
 
 
 def _passes(key: Column, words: Column) -> Column:
-    at = (_block(key, F.size(words) / WORDS) * WORDS).cast("int")
+    at = (_block(key, F.shiftright(F.size(words), 3).cast("long")) * WORDS).cast("int")
     hit = F.lit(True)
     for w in range(WORDS):
         bit = _bit(key, w)
