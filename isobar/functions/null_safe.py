@@ -6,6 +6,8 @@ through ``try_divide`` and every correlation through moments.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -27,6 +29,16 @@ def missing(df: DataFrame, name: str) -> Column:
     return col.isNull()
 
 
+def without_nan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """NaN becomes null in the floating ones of ``columns``, by default in all."""
+    floating = [
+        f.name
+        for f in df.schema.fields
+        if isinstance(f.dataType, (DoubleType, FloatType)) and (columns is None or f.name in columns)
+    ]
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floating}) if floating else df
+
+
 def safe_corr(x, y) -> Column:
     """Pearson r over complete pairs; null when either side is constant."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))

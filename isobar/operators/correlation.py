@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from isobar.functions.null_safe import guarded_corr, missing, safe_corr
+from isobar.functions.null_safe import guarded_corr, missing, safe_corr, without_nan
 from isobar.functions.tails import pearson_p
 from isobar.operators.joins import BROADCAST_ROWS, HOT_SHARE, salted_join
 from isobar.operators.moments import corr_of_sums, pair_sums
@@ -158,6 +158,7 @@ def location_pairs(agg: DataFrame, pairs: Sequence[Pair], distinct: int = 3) ->
     pairs whose x takes fewer than ``distinct`` values drop out."""
     use = [(x, y) for x, y in pairs if x in agg.columns and y in agg.columns]
     xs = list(dict.fromkeys(x for x, _ in use))
+    agg = without_nan(agg)
     counted = distinct_counts(agg, xs)
     rows = agg.agg(F.array(*_pair_structs(use)).alias("t")).select(F.explode("t").alias("q")).select("q.*")
     kept = rows.join(F.broadcast(counted), F.col("x") == F.col("variable")).filter(F.col("n_distinct") >= distinct)
@@ -193,12 +194,12 @@ def height_relationships(agg: DataFrame, height: str, variables: Sequence[str],
 def corr_by_group(df: DataFrame, by: str, x: str, y: str, distinct: int = 3) -> DataFrame:
     """Pearson of x and y inside each group; null below ``distinct`` x values."""
     r = guarded_corr(x, y, distinct).alias("pearson_r")
-    return df.filter(F.col(by).isNotNull()).groupBy(by).agg(r).orderBy(by)
+    return without_nan(df, [x, y]).filter(F.col(by).isNotNull()).groupBy(by).agg(r).orderBy(by)
 
 
 def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """Slope, intercept, r, p and standard error of y on x; null below 3 distinct x."""
-    fit = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
+    fit = without_nan(df, [x, y]).filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(x).alias("distinct_x"),
         F.regr_slope(y, x).alias("slope"),

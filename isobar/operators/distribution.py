@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from isobar.functions.null_safe import without_nan
 from isobar.operators.joins import settled_join
 from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, present, value_counts
 from isobar.operators.quality import long_form
@@ -101,6 +102,7 @@ def box_stats(
 
 def z_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each column by (x - mean) / sample sd."""
+    df = without_nan(df, columns)
     stats = df.agg(
         F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns]).alias("z")
     ).scalar()
@@ -110,7 +112,7 @@ def z_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fit_line(df: DataFrame, x: str, y: str, points: int = 50) -> DataFrame:
     """The least-squares line of y on x at evenly spaced x; empty below 3 distinct x."""
-    fit = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
+    fit = present(df, [x, y]).agg(
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
         F.min(x).alias("lo"),
@@ -131,7 +133,7 @@ def residuals(df: DataFrame, actual: str, fitted: str) -> DataFrame:
 
 def binned_scatter(df: DataFrame, x: str, y: str, x_step: float, y_step: float) -> DataFrame:
     """Counts on a grid of cells: a scatter plot's data at any table size."""
-    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
+    cells = present(df, [x, y]).groupBy(
         F.floor(F.col(x) / F.lit(x_step)).alias("x_cell"), F.floor(F.col(y) / F.lit(y_step)).alias("y_cell")
     )
     return cells.agg(F.count(F.lit(1)).alias("n"))

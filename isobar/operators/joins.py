@@ -46,13 +46,14 @@ def hot_keys(fact: DataFrame, on: str, share: float = HOT_SHARE) -> list:
 def salted_join(fact: DataFrame, dim: DataFrame, on: str, hot: list, how: str, salts: int = SALTS) -> DataFrame:
     """Shuffle join that spreads the rows of each hot key over ``salts`` tasks.
 
-    Only the hot rows of the dimension are repeated.
+    Only the hot rows of the dimension are repeated. Rows with a null key, which match
+    nothing, are spread over as many tasks as the shuffle has.
     """
-    if not hot:
-        return fact.join(dim, on, how)
-    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
-    is_hot = F.col(on).isin(hot)
-    left = fact.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    wide = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = F.xxhash64(*fact.columns)
+    is_hot = F.col(on).isin(hot) if hot else F.lit(False)
+    salt = F.when(F.col(on).isNull(), F.pmod(rest, F.lit(max(wide, salts)))).when(is_hot, F.pmod(rest, F.lit(salts)))
+    left = fact.withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("int"))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = dim.withColumn("_salt", F.explode(copies))
     return left.join(right, [on, "_salt"], how).drop("_salt")

@@ -7,19 +7,22 @@ products per Arrow batch it is one pass. Each task sends one row per pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from isobar.functions.null_safe import without_nan
+
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
-def _origin(df: DataFrame, columns: Sequence[str], look: int = 64) -> list[float]:
-    """A value of each column: a shift that keeps the sums of squares small."""
-    rows = df.select(*columns).take(look)
-    return [next((float(r[i]) for r in rows if r[i] is not None and r[i] == r[i]), 0.0) for i in range(len(columns))]
+def _origin(df: DataFrame, columns: Sequence[str]) -> list[float]:
+    """The mean of each column over all rows: a shift that keeps the sums of squares small."""
+    means = without_nan(df).agg(*[F.avg(F.col(f"`{c}`")) for c in columns]).first()
+    return [m if m is not None and math.isfinite(m) else 0.0 for m in means]
 
 
 def pair_sums(df: DataFrame, columns: Sequence[str], origin: Sequence[float] | None = None) -> DataFrame:

@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from isobar.functions.null_safe import without_nan
 from isobar.session import settle
 
 # Most distinct values a group may have before its axis is cut.
@@ -33,7 +34,8 @@ _SLICE = "_slice"
 
 
 def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with all ``columns`` set: null group keys and null values drop out."""
+    """Rows with all ``columns`` set: null group keys and null or NaN values drop out."""
+    df = without_nan(df, columns)
     for name in columns:
         df = df.filter(F.col(name).isNotNull())
     return df

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from isobar.functions.null_safe import missing, moment_skew, percent
+from isobar.functions.null_safe import missing, moment_skew, percent, without_nan
 from isobar.functions.scalars import half_even, range_label
 from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, previous_value, value_counts
 
@@ -57,6 +57,7 @@ def missing_count_by_group(df: DataFrame, by: str, column: str) -> DataFrame:
 def bounds_check(df: DataFrame, bounds: dict[str, tuple[float, float]], digits: int = 4) -> DataFrame:
     """Values outside a closed interval per column; absent columns are skipped."""
     names = [c for c in bounds if c in df.columns]
+    df = without_nan(df, names)
     bad = []
     for i, c in enumerate(names):
         lo, hi = bounds[c]
@@ -77,6 +78,7 @@ def outside_years(df: DataFrame, ts: str, first: int, last: int) -> DataFrame:
 
 def positive_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows above zero per column, for measures expected to be zero."""
+    df = without_nan(df, columns)
     one = df.agg(*[F.count_if(F.col(c) > 0).alias(f"p{i}") for i, c in enumerate(columns)])
     return _row_to_rows(one, columns, {"n_positive": "p"}, "column")
 
@@ -88,10 +90,17 @@ def duplicate_rows(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame
 
 
 def duplicate_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Exact and key duplicates in one row."""
-    key_dupes = duplicate_rows(df, key)
-    exact = duplicate_rows(df).withColumnRenamed("n_duplicates", "exact_duplicates")
-    return exact.select("exact_duplicates", key_dupes.scalar().alias("key_duplicates"))
+    """Exact and key duplicates in one row, from one scan.
+
+    Whole rows are folded first; their counts are rolled up by key, so the second shuffle
+    carries keys and counts only.
+    """
+    exact = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    keyed = exact.groupBy(*key).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") - 1).alias("_e"))
+    return keyed.agg(
+        F.coalesce(F.sum("_e"), F.lit(0)).alias("exact_duplicates"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("key_duplicates"),
+    )
 
 
 def describe(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:

@@ -92,8 +92,8 @@ def build_cells(
     """Fold complete rows into sums per cluster and factor level.
 
     ``weight`` counts how many observations a row stands for. Values are taken
-    relative to one row's values, which keeps the products well scaled (a year near
-    2000 squared would not be) and costs no pass.
+    relative to the columns' means, which keeps the products well scaled (a year near
+    2000 squared would not be) whatever the order of rows.
     """
     cols = [*x, y]
     k = len(cols)
@@ -103,8 +103,8 @@ def build_cells(
         *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)],
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
     )
-    one = rows.select(*[f"v{i}" for i in range(k)]).first()
-    if one is None:
+    one = rows.agg(*[F.avg(f"v{i}") for i in range(k)]).first()
+    if one[0] is None:
         raise ValueError("no complete rows to fit")
     origin = tuple(float(v) for v in one)
     w = F.col("w")

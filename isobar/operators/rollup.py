@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
-from isobar.functions.null_safe import sum0
+from isobar.functions.null_safe import sum0, without_nan
 from isobar.functions.scalars import half_even
 from isobar.operators.joins import sized_join
 from isobar.operators.ordered import SMALL_DISTINCT, value_ranks
+from isobar.session import settle
 
 
 class DuplicateCellError(ValueError):
@@ -25,9 +26,13 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def obs_counts(df: DataFrame, key: str, year: str) -> DataFrame:
     """Row counts per key, per year and per both, from one shuffle of counts."""
-    sets = _keyed(df, [key, year]).groupingSets([[key], [year], [key, year]], key, year)
-    level = F.when(F.grouping(year) == 1, "location").when(F.grouping(key) == 1, "year").otherwise("location_year")
-    return sets.agg(level.alias("level"), F.count(F.lit(1)).alias("n_obs"))
+    by_year, by_key = F.grouping(year) == 1, F.grouping(key) == 1
+    level = F.when(by_year, "location").when(by_key, "year").otherwise("location_year")
+    sets = df.groupingSets([[key], [year], [key, year]], key, year)
+    counted = sets.agg(level.alias("level"), F.count(F.lit(1)).alias("n_obs"))
+    # A row without a year still counts for its location, and the other way round.
+    keyed = F.col(key).isNotNull() | (F.col("level") == "year")
+    return counted.filter(keyed & (F.col(year).isNotNull() | (F.col("level") == "location")))
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -38,13 +43,14 @@ def group_means(df: DataFrame, by: Sequence[str], values: Sequence[str], digits:
     """Mean of each value per group, optionally rounded."""
     means = [F.avg(v) if digits is None else half_even(F.avg(v), digits) for v in values]
     named = [m.alias(v) for m, v in zip(means, values)]
-    return _keyed(df, by).groupBy(*by).agg(*named)
+    return _keyed(without_nan(df, values), by).groupBy(*by).agg(*named)
 
 
 def means_with_counts(df: DataFrame, by: Sequence[str], means: dict[str, str]) -> DataFrame:
     """Named means plus the row count per group, in key order."""
     named = [F.avg(v).alias(name) for name, v in means.items()]
-    return _keyed(df, by).groupBy(*by).agg(*named, F.count(F.lit(1)).alias("n_obs")).orderBy(*by)
+    rows = _keyed(without_nan(df, list(means.values())), by)
+    return rows.groupBy(*by).agg(*named, F.count(F.lit(1)).alias("n_obs")).orderBy(*by)
 
 
 def location_aggregate(
@@ -96,19 +102,19 @@ def sorted_by(df: DataFrame, first: str, *then: str, descending: bool = False) -
 
 def mean_of_totals(df: DataFrame, by: Sequence[str], within: str, value: str) -> DataFrame:
     """Total per (group, within), then the mean of those totals per group."""
-    totals = _keyed(df, [*by, within]).groupBy(*by, within).agg(sum0(value).alias(value))
+    totals = _keyed(without_nan(df, [value]), [*by, within]).groupBy(*by, within).agg(sum0(value).alias(value))
     return totals.groupBy(*by).agg(F.avg(value).alias(value))
 
 
 def daily_means(df: DataFrame, key: str, ts: str, *values: str) -> DataFrame:
     """Mean of each measure per station and calendar day."""
     day = F.to_date(ts).alias("date")
-    return _keyed(df, [key, ts]).groupBy(key, day).agg(*[F.avg(v).alias(v) for v in values])
+    return _keyed(without_nan(df, values), [key, ts]).groupBy(key, day).agg(*[F.avg(v).alias(v) for v in values])
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, labels: Sequence, value: str) -> DataFrame:
     """Row x column table of means; listed labels fix the order and fill absent ones."""
-    return _keyed(df, [row]).groupBy(row).pivot(column, list(labels)).agg(F.avg(value))
+    return _keyed(without_nan(df, [value]), [row]).groupBy(row).pivot(column, list(labels)).agg(F.avg(value))
 
 
 def pivot_cells(df: DataFrame, row: str, column: str, labels: Sequence, value: str) -> DataFrame:
@@ -130,14 +136,15 @@ def rank_within(
 
 def rank_by_period(df: DataFrame, key: str, period: str, value: str, labels: Sequence) -> DataFrame:
     """Rank of every key by mean value in each period, one column per period."""
-    means = group_means(df, [period, key], [value])
+    # Settled, so that the ranks join back on the very doubles that were ranked.
+    means = settle(group_means(df, [period, key], [value]))
     ranked = rank_within(means, period, value)
     return pivot_cells(ranked, key, period, labels, "rank")
 
 
 def top_rows(df: DataFrame, value: str, columns: Sequence[str], ties: Sequence[str], k: int = 10) -> DataFrame:
     """The k rows with the largest value; ties resolved by the given columns."""
-    rows = df.select(*columns).filter(F.col(value).isNotNull())
+    rows = without_nan(df.select(*columns)).filter(F.col(value).isNotNull())
     return rows.orderBy(F.desc(value), *ties).limit(k)
 
 

@@ -112,18 +112,12 @@ def positive_counts(spark, sf_dir):
 @query(
     "duplicate_report",
     "U2 U3",
-    """SELECT (SELECT coalesce(CAST(sum(c - 1) AS BIGINT), 0) FROM (SELECT count(*) AS c FROM d GROUP BY l_orderkey, l_linenumber, l_quantity, l_discount)) AS exact_duplicates,
-              (SELECT coalesce(CAST(sum(c - 1) AS BIGINT), 0) FROM (SELECT count(*) AS c FROM d GROUP BY l_orderkey, l_linenumber)) AS key_duplicates
-       FROM (SELECT 1)""".replace(
-        "FROM d ", "FROM (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_discount = 0 THEN NULL ELSE l_discount END AS l_discount FROM lineitem) "
-    ),
+    """SELECT (SELECT coalesce(CAST(sum(c - 1) AS BIGINT), 0) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) AS exact_duplicates,
+              (SELECT coalesce(CAST(sum(c - 1) AS BIGINT), 0) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)) AS key_duplicates""",
 )
 def duplicate_report(spark, sf_dir):
-    """Fully repeated rows (nulls equal) and repeated keys."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("l_discount")
-    )
-    return q.duplicate_report(li, ["l_orderkey", "l_linenumber"])
+    """Fully repeated rows over all columns (nulls equal) and repeated keys."""
+    return q.duplicate_report(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 _DESCRIBED = ["temperature", "rain", "wind", "pressure", "humidity"]

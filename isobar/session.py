@@ -40,10 +40,12 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
     Only where the session names none (tests, local runs) is a temporary folder
-    made and registered, so that a cluster never falls back to a machine's disk.
+    made and registered, and only on a local master: elsewhere a missing folder is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if root is None:
         root = tempfile.mkdtemp(prefix="isobar-")
     if context.getCheckpointDir() is None:

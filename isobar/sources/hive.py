@@ -77,8 +77,8 @@ def write_table(df: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with header; ``single`` joins a small result table into one file."""
-    out = df.coalesce(1) if single else df
+    """CSV with header; ``single`` gathers a small result table into one file after it is computed."""
+    out = df.repartition(1) if single else df
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
