@@ -15,6 +15,7 @@ from isobar.functions.tails import chi2_p, f_p, normal_upper, pearson_p
 from isobar.operators.joins import settled_join
 from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, lowest_per_group, present, value_counts
 from isobar.operators.rollup import seeded_order
+from isobar.plans import constants as texts
 from isobar.session import settle
 
 ALPHA = 0.05
@@ -102,7 +103,8 @@ def jarque_bera(df: DataFrame, group: str, value: str) -> DataFrame:
     per = present(df, [group, value]).groupBy(group).agg(
         F.count(value).alias("n"), F.when(F.var_pop(value) > 0, stat).alias("statistic")
     )
-    return per.withColumn("p_value", chi2_p("statistic", F.lit(2.0)))
+    # Two degrees of freedom have a closed tail.
+    return per.withColumn("p_value", F.exp(F.col("statistic") / -2.0))
 
 
 def _poly(coefs: Sequence[float], x: float) -> float:
@@ -159,7 +161,7 @@ def shapiro_by_group(
 
 
 def _verdict(p: Column, reject: str) -> Column:
-    return F.when(p < ALPHA, reject).otherwise("FAIL TO REJECT H0")
+    return F.when(p < ALPHA, reject).otherwise(texts.KEPT)
 
 
 def _result(one: DataFrame, name: str, used: str, reject: str) -> DataFrame:
@@ -179,23 +181,20 @@ def compare_locations(
     shapes = shapiro_by_group(daily, group, value, keys)
     odd = shapes.filter(F.col("p_value") <= ALPHA).limit(1).count()
     equal = odd == 0 and (levene(daily, group, value, small).first().p_value or 0.0) > ALPHA
-    reject = "REJECT H0 - significant difference between locations"
     if equal:
-        return _result(anova(daily, group, value), name, "One-way ANOVA", reject)
-    used = "Kruskal-Wallis H-test (non-parametric, chosen due to non-normality/unequal variance)"
-    return _result(kruskal(daily, group, value, small), name, used, reject)
+        return _result(anova(daily, group, value), name, texts.ANOVA_USED, texts.LOCATIONS_DIFFER)
+    return _result(kruskal(daily, group, value, small), name, texts.KRUSKAL_CHOSEN, texts.LOCATIONS_DIFFER)
 
 
 def compare_ranks(daily: DataFrame, group: str, value: str, name: str, small: int = SMALL_DISTINCT) -> DataFrame:
     """Kruskal-Wallis without assumption checks, for skewed zero-inflated measures."""
-    reject = "REJECT H0 - significant difference between locations"
-    return _result(kruskal(daily, group, value, small), name, "Kruskal-Wallis", reject)
+    return _result(kruskal(daily, group, value, small), name, texts.KRUSKAL_USED, texts.LOCATIONS_DIFFER)
 
 
 def location_correlation(agg: DataFrame, x: str, y: str, name: str) -> DataFrame:
     """Pearson test of two location-level columns."""
     one = agg.agg(safe_corr(x, y).alias("statistic"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
-    return _result(one.withColumn("p_value", pearson_p("statistic", "n")), name, "Pearson correlation", "REJECT H0")
+    return _result(one.withColumn("p_value", pearson_p("statistic", "n")), name, texts.PEARSON_USED, texts.REJECTED)
 
 
 def battery(
