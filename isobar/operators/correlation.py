@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from isobar.functions.null_safe import guarded_corr, missing, safe_corr, without_nan
 from isobar.functions.tails import pearson_p
-from isobar.operators.joins import BROADCAST_ROWS, HOT_SHARE, salted_join
+from isobar.operators.joins import BROADCAST_ROWS, salted_join, shuffle_width
 from isobar.operators.moments import corr_of_sums, pair_sums
 from isobar.operators.ordered import SMALL_DISTINCT, value_ranks
 from isobar.session import settle
@@ -59,8 +59,9 @@ def attach_ranks(
     ranks = settle(value_ranks(tall, "value", ["variable"], small=small))
     found = ranks.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("n")).collect()
     sizes = {r.variable: r for r in found}
-    # A value is frequent above a fiftieth of the rows, so there are at most 50 per column.
-    often = ranks.filter(F.col("_c") > F.col("n") * HOT_SHARE).select("variable", "value").collect()
+    # A value is frequent above an even partition's rows, so a column has at most as many as there are partitions.
+    share = (F.col("_c") / F.col("n")).alias("share")
+    often = ranks.select("variable", "value", share).filter(F.col("share") > 1.0 / shuffle_width(df)).collect()
     out = numbers
     for c in columns:
         own = ranks.filter(F.col("variable") == c)
@@ -68,7 +69,7 @@ def attach_ranks(
         if c not in sizes or sizes[c].distinct <= BROADCAST_ROWS:
             out = out.join(F.broadcast(lookup), c, "left")
         else:
-            out = salted_join(out, lookup, c, [r.value for r in often if r.variable == c], "left")
+            out = salted_join(out, lookup, c, {r.value: r.share for r in often if r.variable == c}, "left")
     middle = [(sizes[c].n + 1) / 2.0 if c in sizes else 0.0 for c in columns]
     return out, middle, {c: sizes[c].distinct if c in sizes else 0 for c in columns}
 

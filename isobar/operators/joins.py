@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,8 +12,6 @@ from isobar.session import settle
 
 # Largest dimension, in rows, that is copied to every executor.
 BROADCAST_ROWS = 200_000
-HOT_SHARE = 0.02
-SALTS = 64
 
 
 class ManyToOneError(ValueError):
@@ -35,26 +34,50 @@ def key_profile(dim: DataFrame, on: Sequence[str]) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def hot_keys(fact: DataFrame, on: str, share: float = HOT_SHARE) -> list:
-    """Key values holding more than ``share`` of all rows: at most 1/share of them."""
+def shuffle_width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_shares(fact: DataFrame, on: str, share: float | None = None) -> dict:
+    """Key values holding more than ``share`` of all rows, with their shares: at most 1/share keys.
+
+    By default a key is hot when it alone is more than an even partition of the shuffle.
+    """
+    share = 1.0 / shuffle_width(fact) if share is None else share
     counts = present(fact, [on]).groupBy(on).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c").alias("t"))
-    hot = counts.filter(F.col("_c") > F.lit(share) * total.scalar())
-    return [row[0] for row in hot.select(on).collect()]
+    part = F.col("_c") / counts.agg(F.sum("_c").alias("t")).scalar()
+    return {row[0]: row[1] for row in counts.select(on, part.alias("_part")).filter(F.col("_part") > share).collect()}
+
+
+def hot_keys(fact: DataFrame, on: str, share: float | None = None) -> list:
+    """The keys of ``hot_shares``."""
+    return list(hot_shares(fact, on, share))
+
+
+def _keys_by_salts(hot: Mapping | Sequence, wide: int) -> dict[int, list]:
+    """Hot keys by their number of salts: twice their share of all partitions, as a power of two."""
+    shares = hot if isinstance(hot, Mapping) else dict.fromkeys(hot, 1.0)
+    out: dict[int, list] = {}
+    for key, share in shares.items():
+        out.setdefault(1 << max(1, math.ceil(math.log2(2 * share * wide))), []).append(key)
+    return out
 
 
-def salted_join(fact: DataFrame, dim: DataFrame, on: str, hot: list, how: str, salts: int = SALTS) -> DataFrame:
-    """Shuffle join that spreads the rows of each hot key over ``salts`` tasks.
+def salted_join(fact: DataFrame, dim: DataFrame, on: str, hot: Mapping | Sequence, how: str) -> DataFrame:
+    """Shuffle join that spreads the rows of each hot key over tasks by its share.
 
-    Only the hot rows of the dimension are repeated. Rows with a null key, which match
-    nothing, are spread over as many tasks as the shuffle has.
+    ``hot`` gives keys with their shares of the rows; keys alone are spread over all
+    tasks. Only the hot rows of the dimension are repeated. Rows with a null key, which
+    match nothing, are spread over as many tasks as the shuffle has.
     """
-    wide = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = shuffle_width(fact)
     rest = F.xxhash64(*fact.columns)
-    is_hot = F.col(on).isin(hot) if hot else F.lit(False)
-    salt = F.when(F.col(on).isNull(), F.pmod(rest, F.lit(max(wide, salts)))).when(is_hot, F.pmod(rest, F.lit(salts)))
+    salt = F.when(F.col(on).isNull(), F.pmod(rest, F.lit(wide)))
+    copies = F.array(F.lit(0))
+    for salts, keys in _keys_by_salts(hot, wide).items():
+        salt = salt.when(F.col(on).isin(keys), F.pmod(rest, F.lit(salts)))
+        copies = F.when(F.col(on).isin(keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(copies)
     left = fact.withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("int"))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = dim.withColumn("_salt", F.explode(copies))
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
@@ -72,7 +95,7 @@ def sized_join(
         rows = dim.limit(broadcast_rows + 1).count()
     if rows <= broadcast_rows:
         return fact.join(F.broadcast(dim), on, how)
-    return salted_join(fact, dim, on, hot_keys(fact, on), how)
+    return salted_join(fact, dim, on, hot_shares(fact, on), how)
 
 
 def settled_join(facts: DataFrame, groups: DataFrame, on: Sequence[str]) -> DataFrame:

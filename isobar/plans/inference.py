@@ -38,48 +38,33 @@ def pearson_pairs(spark, sf_dir):
     return rounded(c.pearson_pairs(placed(spark, sf_dir), _COLS), "r")
 
 
-_MATRIX = ["temperature", "rain", "wind", "pressure"]
+def _matrix_sql(ranked: bool) -> str:
+    """All columns against all, each pair over the rows where both are set."""
 
+    def one(x: str, y: str) -> str:
+        values = [f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0" if ranked else v for v in (x, y)]
+        both = f"SELECT {values[0]} AS v0, {values[1]} AS v1 FROM p WHERE {x} IS NOT NULL AND {y} IS NOT NULL"
+        return f"SELECT '{x}' AS x, '{y}' AS y, round(corr(v0, v1), 6) + 0.0 AS r FROM ({both})"
 
-def _matrix_sql() -> str:
-    each = " UNION ALL ".join(
-        f"SELECT '{x}' AS variable, " + ", ".join("1.0::DOUBLE AS " + y if x == y else f"round(corr({x}, {y}), 6) + 0.0 AS {y}" for y in _MATRIX) + " FROM obs"
-        for x in _MATRIX
-    )
-    return with_views(f"SELECT * FROM ({each})")
+    pairs = " UNION ALL ".join(one(x, y) for i, x in enumerate(_COLS) for y in _COLS[i + 1 :])
+    diagonal = " UNION ALL ".join(f"SELECT '{v}', '{v}', 1.0::DOUBLE" for v in _COLS)
+    square = f"SELECT x, y, r FROM pairs UNION ALL SELECT y, x, r FROM pairs UNION ALL {diagonal}"
+    cells = ", ".join(f"max(r) FILTER (y = '{v}') AS {v}" for v in _COLS)
+    return with_views(f"SELECT x AS variable, {cells} FROM square GROUP BY x", f"{_PLACED}, pairs AS ({pairs}), square AS ({square})")
 
 
-@query("pearson_matrix", "C1 A17", _matrix_sql())
+@query("pearson_matrix", "C1 A17", _matrix_sql(ranked=False))
 def pearson_matrix(spark, sf_dir):
     """The same in square form."""
-    pairs = c.pearson_pairs(observations(spark, sf_dir), _MATRIX)
-    return rounded(c.matrix_form(pairs, _MATRIX), *_MATRIX)
-
+    pairs = c.pearson_pairs(placed(spark, sf_dir), _COLS)
+    return rounded(c.matrix_form(pairs, _COLS), *_COLS)
 
-_RANKED = "r AS (SELECT " + ", ".join(
-    f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS {v}" for v in _MATRIX
-) + " FROM obs)"
 
-
-@query(
-    "spearman_matrix",
-    "C2 W3",
-    with_views(
-        "SELECT * FROM ("
-        + " UNION ALL ".join(
-            f"SELECT '{x}' AS variable, "
-            + ", ".join("1.0::DOUBLE AS " + y if x == y else f"round(corr({x}, {y}), 6) + 0.0 AS {y}" for y in _MATRIX)
-            + " FROM r"
-            for x in _MATRIX
-        )
-        + ")",
-        _RANKED,
-    ),
-)
+@query("spearman_matrix", "C2 W3", _matrix_sql(ranked=True))
 def spearman_matrix(spark, sf_dir):
-    """Spearman matrix over average ranks."""
-    pairs = c.spearman_all_pairs(observations(spark, sf_dir), _MATRIX)
-    return rounded(c.matrix_form(pairs, _MATRIX), *_MATRIX)
+    """Spearman matrix over average ranks, a column with gaps among them."""
+    pairs = c.spearman_all_pairs(placed(spark, sf_dir), _COLS)
+    return rounded(c.matrix_form(pairs, _COLS), *_COLS)
 
 
 @query(
