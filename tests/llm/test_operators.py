@@ -32,6 +32,20 @@ def test_score_rows(odd, none):
     assert mixing.score(none, F.lit(True)).count() == 0
 
 
+def test_score_of_long_tokens():
+    size = 1 << mixing.SLOT_BITS
+    blank = mixing.Speller(np.zeros((len(mixing.ORDERS), size), np.float32), np.zeros((len(mixing.ORDERS), size), np.float32))
+    scorer = mixing.Scorer(blank, np.array([10.0, 5.0]), np.array([4.0, 2.0]))
+    words = [b"a" * n for n in (99, 999, 99_999)]
+    digits = np.array([100, 1_000, 100_000]) * 8 * np.log10(2)  # with the end of the word, a bit costs a bit
+    assert np.allclose(-scorer.log10_new(words), digits[:, None] - np.log10(0.03), rtol=1e-6)
+    listed = scorer.log10([*words, mixing.END], np.array([[2.0, 0.0]] * 4))
+    assert np.isfinite(listed).all() and (listed > -10).all()
+    assert (scorer.log10_new([mixing.END]) < 0).all()
+    scorer.learn(words, np.array([[2.0, 0.0], [1.0, 0.0], [3.0, 1.0]]))
+    assert 0.5 <= scorer.known < 1
+
+
 def test_bpe_rows(odd, none):
     ids = bpe.encode(odd, "doc_id", "text", PATH, PATTERN)
     back = bpe.decode(ids, "doc_id", "ids", PATH, PATTERN).collect()
