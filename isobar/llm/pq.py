@@ -219,9 +219,8 @@ def near_duplicates(
     with null or non-finite components, and rows without a label link with nothing. Equal
     vectors are one class with a count, so copies are linked and counted without making
     pairs. ``margin`` is how far from a list's border a vector probes beyond it; by
-    default four times the spread of a difference of the greatest linked length in a
-    random direction (recall is measured in the tests); the full length makes the search
-    exhaustive. ``component_id`` is the least id reachable, ``kept`` tells whether it is
+    default the greatest linked length, which loses no pair; a smaller one probes less and
+    may. ``component_id`` is the least id reachable, ``kept`` tells whether it is
     the row's own. Vectors of unequal length never link. Repeated rows count as vectors.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
@@ -229,10 +228,8 @@ def near_duplicates(
     numbered = _classes(rows).withColumn("node", F.monotonically_increasing_id())
     classes = stored(numbered, "classes")
     total = classes.count()
-    reach = math.sqrt(max(2 - 2 * limit, 0))
     if margin is None:
-        dims = classes.agg(F.max(F.size("v"))).first()[0] or 1
-        margin = reach * min(1.0, 4 / math.sqrt(dims))
+        margin = math.sqrt(max(2 - 2 * limit, 0)) + 1e-6  # rounding
     found = stored(links(classes, limit, margin, total), "found")
     extra = found.groupBy("node").agg(F.sum("extra").alias("extra"))
     placed = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

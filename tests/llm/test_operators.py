@@ -293,6 +293,18 @@ def test_embedding_recall_on_noisy_copies(spark):
     assert want.sum() > 5000 and (found <= want).all() and found.sum() / want.sum() >= 0.99
 
 
+def test_embedding_links_along_few_directions(spark):
+    rng = np.random.default_rng(2)
+    angle, label = rng.random(1200) * 2 * np.pi, rng.integers(2, size=1200)
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))] + [0.0] * 62, int(y)) for i, (a, y) in enumerate(zip(angle, label))]
+    rows.append((1200, [1.0] * 1024, 0))  # a stray longer vector
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in pq.near_duplicates(table).collect()}
+    cosine = np.cos(angle[:, None] - angle[None])
+    want = ((cosine >= 0.98) & (label[:, None] == label[None])).sum(1) - 1
+    assert [got[i] for i in range(1200)] == want.tolist() and got[1200] == 0
+
+
 def test_stages_take_odd_rows(spark, odd, none):
     table = odd.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
     sf = "/root/testdata/sf0.001"
