@@ -22,6 +22,8 @@ from isobar.llm.common import arrow_schema, text_slices
 ORDER = 3
 #: Training characters per language, at most about so many; the model is a fit on this sample.
 SAMPLE_CHARS = 2_000_000
+#: Texts are sampled in pieces of so many characters, fewer where the sample is small.
+PIECE_CHARS = 1_000
 _START = b"\n"
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,10 +70,10 @@ def _packed(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     return key
 
 
-def _laid_out(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes with start contexts between; the places of the texts' bytes; sizes."""
-    pad = _START * order
-    data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.uint64)
+def _laid_out(texts: list[bytes], order: int, before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes with start contexts (or the ``order`` bytes ``before``) between; the places of the texts' bytes; sizes."""
+    before = [_START * order] * len(texts) if before is None else before
+    data = np.frombuffer(b"".join(b + t for b, t in zip(before, texts)), np.uint8).astype(np.uint64)
     sizes = np.array([len(t) for t in texts], np.int64)
     places = np.arange(sizes.sum()) + order * np.repeat(np.arange(1, len(texts) + 1), sizes)
     return data, places, sizes
@@ -143,28 +145,52 @@ class Model:
 def train(docs: DataFrame, lang_col: str, text_col: str, order: int = ORDER, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Count the trees on a bounded sample of labelled rows.
 
-    Rows with a null language or text teach nothing. Of a language with more than
-    ``sample_chars`` characters, texts are taken by a hash of their content, at the rate
-    that gives about that many. The counts by gram come to the driver; the sample bounds
-    their number.
+    Rows with a null language or text teach nothing, and equal texts of a language teach
+    once. Of a language with more than ``sample_chars`` characters in distinct texts, pieces
+    of texts are taken by a hash of text and place, at the rate that gives about that many;
+    a piece is counted after the bytes before it. The counts by gram come to the driver;
+    the sample bounds their number.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    rows = rows.withColumns({"h": F.xxhash64("text"), "n": F.length("text")})
+    distinct = rows.groupBy("lang", "h").agg(F.max("n").cast("bigint").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(lang for lang, n in sizes.items())
     rate = F.lit(1.0)
     for lang in langs:
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_chars / max(sizes[lang], 1)))).otherwise(rate)
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate * (1 << 30))
+    piece = max(min(PIECE_CHARS, sample_chars // 100), 1)
+    places = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / piece).cast("int"))
+    drawn = rows.where("n > 0").withColumn("rate", rate * (1 << 30)).select(
+        "lang", "text", "h", F.filter(places, lambda i: F.pmod(F.xxhash64("h", i), F.lit(1 << 30)) < F.col("rate")).alias("at")
+    )
+    cut_schema = "lang string, h bigint, at int, before binary, piece binary"
+    cut_want = arrow_schema(cut_schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, 1):
+            out = []
+            for lang, text, h, at in zip(*(c.to_pylist() for c in part.columns)):
+                for i in at:
+                    since = i * piece
+                    before = _START * order + text[max(since - order, 0) : since].encode()
+                    out.append((lang, h, i, before[len(before) - order :], text[since : since + piece].encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), cut_want)], schema=cut_want)
+
+    pieces = drawn.where(F.size("at") > 0).mapInArrow(cut, cut_schema)
+    taken = pieces.dropDuplicates(["lang", "h", "at"]).select("lang", "piece", "before")
     schema = "lang string, length int, gram bigint, n bigint"
     want = arrow_schema(schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 1, 4 << 20):
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(*(c.to_pylist() for c in part.columns)):
-                by_lang.setdefault(lang, []).append(text.encode())
-            for lang, texts in by_lang.items():
-                data, places, _ = _laid_out(texts, order)
+            by_lang: dict[str, tuple[list[bytes], list[bytes]]] = {}
+            for lang, text, ahead in zip(*(c.to_pylist() for c in part.columns)):
+                own = by_lang.setdefault(lang, ([], []))
+                own[0].append(text)
+                own[1].append(ahead)
+            for lang, (texts, before) in by_lang.items():
+                data, places, _ = _laid_out(texts, order, before)
                 for length in range(1, order + 2):
                     key, n = np.unique(_packed(data, places, length), return_counts=True)
                     cols = [pa.array([lang] * len(key), pa.string()), pa.array([length] * len(key), pa.int32()), pa.array(key.astype(np.int64)), pa.array(n)]

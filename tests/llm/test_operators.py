@@ -128,6 +128,23 @@ def test_language_rows(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, blank, "doc_id", "text").collect()} == {"und"}
 
 
+def test_language_sample_reaches_long_and_copied_texts(spark):
+    rng = random.Random(3)
+    letters = {f"l{k}": chr(0x430 + 3 * k) + chr(0x431 + 3 * k) + " " for k in range(8)}
+    texts = [(lang, "".join(rng.choices(a, k=20_000))) for lang, a in letters.items()]  # one long text each
+    table = spark.createDataFrame(texts, "lang string, text string")
+    model = langid.train(table, "lang", "text", sample_chars=2_000)
+    for lang, a in letters.items():
+        assert model.langs[int(model.bits([(a * 9).encode()]).argmin())] == lang
+    copied = langid.train(table.union(table.where("lang = 'l0'")), "lang", "text", sample_chars=2_000)
+    whole = langid.train(table, "lang", "text", sample_chars=10**6)
+    assert all(np.array_equal(a, b) for a, b in zip(copied.costs, model.costs))
+    data, places, _ = langid._laid_out([texts[0][1].encode()], langid.ORDER)
+    for k in range(1, langid.ORDER + 2):  # all pieces together are the text
+        assert set(langid._packed(data, places, k).tolist()) <= set(whole.grams[k - 1].keys.tolist())
+    assert model.bits([texts[0][1].encode()])[0, 0] < 1.1 * whole.bits([texts[0][1].encode()])[0, 0]
+
+
 def test_code_lengths_against_plain_ppm():
     texts = {"a": [b"abracadabra", b"banana"], "b": [b"xyzzy abra"]}
     order, counts = 2, []
