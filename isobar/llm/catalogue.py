@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from isobar.llm import bpe, chat, decon, langid, mixing, pii, pq, simhash, urls, weak
+from isobar.llm import bpe, chat, codes, decon, langid, mixing, pii, pq, simhash, urls, weak
 from isobar.llm.common import crc_of, table
 from isobar.session import prepare
 
@@ -220,3 +220,44 @@ FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN degree d ON d.a = vec_i
 def op10_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings of a label at cosine 0.98."""
     return pq.near_duplicates(table(spark, sf_dir, "embeddings"), limit=0.98)
+
+
+def _codes_sql(rounds: int) -> str:
+    """The six rounds spelt out: b<r> holds the entries, a<r> every distinct part's nearest one."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT p, part, n, min({{'far': far, 'e': e}}) AS best FROM (
+    SELECT t.p, t.part, t.n, b.e,
+           CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(t.part, b.entry)]) AS BIGINT) AS far
+    FROM parts t JOIN b{r} b ON b.p = t.p) GROUP BY p, part, n)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(moved, entry) AS entry FROM b{r} LEFT JOIN (
+    SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY j) AS moved FROM (
+      SELECT p, best.e AS e, j, CAST(sum(n * part[j]) AS BIGINT) AS s, CAST(sum(n) AS BIGINT) AS c
+      FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(part)) FROM parts) + 1)) AS j) GROUP BY p, best.e, j) GROUP BY p, e) USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+cuts AS MATERIALIZED (
+  SELECT k, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS part FROM kept, (SELECT unnest(range(8)) AS p)),
+parts AS MATERIALIZED (SELECT p, part, count(*) AS n FROM cuts GROUP BY p, part),
+b0 AS MATERIALIZED (
+  SELECT p, r - 1 AS e, part AS entry FROM cuts JOIN (SELECT k, row_number() OVER (ORDER BY vec_id, v) AS r FROM kept) USING (k) WHERE r <= 16),
+{", ".join(steps)},
+coded AS MATERIALIZED (
+  SELECT k, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.far) AS BIGINT) AS error
+  FROM cuts JOIN a{rounds} USING (p, part) GROUP BY k),
+books AS (
+  SELECT sha256(string_agg(array_to_string([CAST(x AS VARCHAR) for x in entry], ','), ',' ORDER BY p, e)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM kept JOIN coded USING (k), books
+"""
+
+
+@query("op11_vector_codes", _codes_sql(codes.ROUNDS))
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings under codebooks fitted to all of them."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
