@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from isobar.llm import bpe, chat, codes, decon, langid, mixing, pii, pq, simhash, urls, weak
+from isobar.llm import bpe, chat, codes, decon, langid, mixing, phrases, pii, pq, simhash, urls, weak
 from isobar.llm.common import crc_of, table
 from isobar.session import prepare
 
@@ -261,3 +261,38 @@ FROM kept JOIN coded USING (k), books
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all embeddings under codebooks fitted to all of them."""
     return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+_PHRASES_SQL = f"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM docs),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, list_slice(w, a, a + size - 1) AS g FROM (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS a FROM split, (SELECT unnest(range(1, 5)) AS size) WHERE len(w) >= size)),
+f AS MATERIALIZED (SELECT lang, g, count(*) AS c FROM grams GROUP BY lang, g),
+totals AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, g, c AS a FROM f WHERE len(g) > 1 AND c >= 30),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM cand),
+priced AS (
+  SELECT c.lang, c.g, c.a, c.k, l.c AS l, r.c AS r, (CAST(2000000 AS HUGEINT) * c.a) // (l.c + r.c) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, c.k)
+  JOIN f r ON r.lang = c.lang AND r.g = list_slice(c.g, c.k + 1, len(c.g))),
+best AS (SELECT lang, g, a, min({{'score': score, 'k': k, 'l': l, 'r': r}}) AS b FROM priced GROUP BY lang, g, a),
+inner_parts AS (
+  SELECT lang, list_slice(g, i, i + size - 1) AS g, max(a) AS most FROM (
+    SELECT lang, g, a, size, unnest(range(1, len(g) - size + 2)) AS i FROM (SELECT lang, g, a, unnest(range(2, len(g))) AS size FROM cand))
+  GROUP BY ALL),
+kept AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.b.l AS l, b.b.r AS r, CAST(b.b.score AS BIGINT) AS score
+  FROM best b LEFT JOIN inner_parts i USING (lang, g) WHERE i.most IS NULL OR 100 * i.most < 80 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", _PHRASES_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
