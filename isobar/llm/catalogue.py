@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from isobar.llm import bpe, chat, codes, decon, langid, mixing, phrases, pii, pq, simhash, urls, weak
+from isobar.llm import bpe, chat, codes, decon, factors, langid, mixing, phrases, pii, pq, simhash, urls, weak
 from isobar.llm.common import crc_of, table
 from isobar.session import prepare
 
@@ -296,3 +296,25 @@ JOIN totals USING (lang) WHERE rank <= 2000
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of every language."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+_REPEATS_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT k, doc_id, w, unnest(range(1, len(w) - 48)) AS a FROM docs WHERE len(w) >= 50),
+wins AS MATERIALIZED (SELECT k, doc_id, a, array_to_string(list_slice(w, a, a + 49), ' ') AS win FROM starts),
+least AS (SELECT win, min(doc_id) AS low FROM wins GROUP BY win HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT k, unnest(range(a, a + 50)) AS p FROM wins JOIN least USING (win) WHERE low < doc_id),
+gone AS (SELECT DISTINCT k, p FROM hits),
+words AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs),
+kept AS (
+  SELECT k, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words LEFT JOIN (SELECT *, 1 AS mark FROM gone) USING (k, p) WHERE mark IS NULL GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (k)
+"""
+
+
+@query("op13_repeated_passages", _REPEATS_SQL)
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that a smaller doc_id has."""
+    found = factors.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
