@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from isobar.llm.common import arrow_schema, stored, text_slices
+from isobar.llm.words import byte_kinds, cut_words, hashes, mixed
 from isobar.operators.joins import sized_join
 
 WINDOW, SEED = 50, 10
@@ -30,41 +31,7 @@ BLOCK_WORDS = 1 << 20
 SLICE_BYTES = 8 << 20
 #: Runs that a task remembers in order not to send their texts again.
 _REMEMBERED = 100_000
-
-
-def _parts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[list[bytes], list[tuple[int, int, int]]]]:
-    """(words, [(row, place of the first word, number of words), ...]) of the texts in ``t``.
-
-    A text too long for a slice comes in parts that share ``window`` - 1 words.
-    """
-    words: list[bytes] = []
-    parts: list[tuple[int, int, int]] = []
-    held = 0
-    for row, text in enumerate(batch.column("t").cast(pa.binary()).to_pylist()):
-        at, shared = 0, []
-        while text:
-            cut = text.find(b" ", SLICE_BYTES) if len(text) > SLICE_BYTES else -1
-            own = shared + (text if cut < 0 else text[:cut]).split()
-            held += len(text) if cut < 0 else cut
-            text = b"" if cut < 0 else text[cut:]
-            if len(own) >= window:
-                words += own
-                parts.append((row, at, len(own)))
-                shared = own[len(own) - window + 1 :]
-                at += len(own) - len(shared)
-            else:
-                shared = own
-            if held > SLICE_BYTES:
-                if words:
-                    yield words, parts
-                words, parts, held = [], [], 0
-    if words:
-        yield words, parts
-
-
-def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+_KINDS = byte_kinds(b" \t\n\x0b\x0c\r")
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,26 +44,26 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def _anchored(words: list[bytes], parts: list[tuple[int, int, int]], window: int, seed: int) -> tuple:
+def _anchored(texts: pa.Array, window: int, seed: int) -> tuple:
     """(rows, starts, counts, anchors) of the runs of windows with one anchor."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    vocabulary = coded.dictionary.to_pylist()
-    spelt = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
-    spelt = spelt[coded.indices.to_numpy()]
-    row, place, size = np.array(parts).T
-    begin = np.cumsum(size) - size
-    part = np.repeat(np.arange(len(parts)), size)
-    n = len(words) - seed + 1
+    cut = cut_words(texts, _KINDS, lower=False)
+    if len(cut.row) < window:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    code, vocabulary = cut.coded()
+    spelt = hashes(vocabulary)[code]
+    n = len(code) - seed + 1
     h = np.zeros(n, np.uint64)
     for j in range(seed):
-        h = _mixed(h, spelt[j : j + n])
-    anchor = _least(_mixed(h, np.uint64(seed)), window - seed + 1)
-    inside = np.flatnonzero(part[: len(anchor)] == part[window - 1 :])
-    own, home = anchor[inside], part[inside]
-    new = np.concatenate([[True], (own[1:] != own[:-1]) | (home[1:] != home[:-1])])
+        h = mixed(h, spelt[j : j + n])
+    anchor = _least(mixed(h, np.uint64(seed)), window - seed + 1)
+    inside = np.flatnonzero(cut.row[: len(anchor)] == cut.row[window - 1 :])
+    own, home = anchor[inside], cut.row[inside]
+    new = np.ones(len(inside), bool)
+    new[1:] = (own[1:] != own[:-1]) | (home[1:] != home[:-1])
     first = np.flatnonzero(new)
-    at = home[first]
-    return row[at], inside[first] - begin[at] + place[at], np.diff(np.append(first, len(inside))), own[first].view(np.int64)
+    begin = np.searchsorted(cut.row, home[first])
+    return home[first], inside[first] - begin, np.diff(np.append(first, len(inside))), own[first].view(np.int64)
 
 
 def _order(id_col: str) -> Column:
@@ -113,12 +80,11 @@ def anchors(rows: DataFrame, window: int, seed: int) -> DataFrame:
     want = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, parts in _parts(batch, window):
-                row, start, count, anchor = _anchored(words, parts, window, seed)
-                take = pa.array(row)
-                cols = [*(batch.column(c).take(take) for c in ("id", "h1", "h2")), pa.array(anchor), pa.array(start), pa.array(count)]
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, want.types)], schema=want)
+        for batch in text_slices(batches, 3, SLICE_BYTES):
+            row, start, count, anchor = _anchored(batch.column("t"), window, seed)
+            take = pa.array(row)
+            cols = [*(batch.column(c).take(take) for c in ("id", "h1", "h2")), pa.array(anchor), pa.array(start), pa.array(count)]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, want.types)], schema=want)
 
     return stored(rows.mapInArrow(run, schema), "runs")
 

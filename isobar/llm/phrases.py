@@ -17,64 +17,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from isobar.llm.common import arrow_schema, stored
+from isobar.llm.common import arrow_schema, stored, text_slices
+from isobar.llm.words import byte_kinds, cut_words, hashes, mixed
 from isobar.operators.joins import sized_join
 from isobar.session import settle
 
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 SCORE_SCALE = 2_000_000
 #: Bytes of text that are counted together in a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 #: The bit filter has about 16 bits a phrase, and at most so many.
 FILTER_BITS = 27
 #: First round of the best of a language: so many parts.
 _PARTS = 64
 
-#: Tab is a space; the ends of pieces are line feeds.
-_PLAIN = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-
-
-def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[bytes], list[tuple[str, int]]]]:
-    """(words, [(lang, number of them), ...]) of about ``SLICE_BYTES``.
-
-    An empty word ends every piece, and every part of a piece too long for a slice; parts
-    share ``size`` - 1 words, so each phrase of ``size`` words is in just one.
-    """
-    words: list[bytes] = []
-    spans: list[tuple[str, int]] = []
-    held = 0
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist()):
-            begin = len(words)
-            for piece in text.lower().translate(_PLAIN).split(b"\n"):
-                while piece:
-                    cut = piece.find(b" ", SLICE_BYTES) if len(piece) > SLICE_BYTES else -1
-                    own = (piece if cut < 0 else piece[:cut]).split()
-                    held += len(piece) if cut < 0 else cut
-                    if len(own) >= size:
-                        words += own
-                        words.append(b"")
-                    shared = own[len(own) - size + 1 :] if size > 1 else []
-                    piece = b"" if cut < 0 else b" ".join([*shared, piece[cut + 1 :]])
-                    if held > SLICE_BYTES:
-                        spans.append((lang, len(words) - begin))
-                        yield words, spans
-                        words, spans, held, begin = [], [], 0, 0
-            spans.append((lang, len(words) - begin))
-    if words:
-        yield words, spans
-
-
-def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+_KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 
 
 class BitFilter:
@@ -88,34 +47,32 @@ class BitFilter:
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _counted(words: list[bytes], spans: list[tuple[str, int]], size: int, known: BitFilter | None) -> tuple:
-    """(langs, phrases, counts) of the phrases of ``size`` words that may be frequent."""
-    if not words:
+def _phrase_hashes(langs: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    h = langs
+    for word in words:
+        h = mixed(h, word)
+    return h
+
+
+def _counted(batch: pa.RecordBatch, size: int, known: BitFilter | None) -> tuple:
+    """(langs, phrases, counts) of the phrases of ``size`` words that may be frequent.
+
+    For single words also ('', number of all words) of every language.
+    """
+    cut = cut_words(batch.column("t"), _KINDS, lower=True)
+    if not len(cut.row):
         return [], [], []
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64)
-    vocabulary = coded.dictionary
-    names = sorted({lang for lang, _ in spans})
-    number = {lang: k for k, lang in enumerate(names)}
-    lang = np.repeat(np.array([number[x] for x, _ in spans]), np.array([n for _, n in spans]))
-    blank = pc.index(vocabulary, b"").as_py()
-    whole = code != blank
+    code, vocabulary = cut.coded()
+    coded = batch.column("lang").dictionary_encode()
+    names = coded.dictionary
+    lang = coded.indices.to_numpy().astype(np.int64)[cut.row]
     windows = len(code) - size + 1
-    ok = whole[:windows].copy()
-    for j in range(1, size):
-        ok &= whole[j : j + windows]
-    if known is not None:
-        spelt = _hashes(vocabulary.to_pylist())
-        h = _hashes([x.encode() for x in names])[lang]
-        n = len(code) - size + 2
-        h = h[:n]
-        for j in range(size - 1):
-            h = _mixed(h, spelt[code[j : j + n]])
-        may = known.holds(h)
+    ok = cut.piece[: max(windows, 0)] == cut.piece[size - 1 :]
+    if known is not None and windows > 0:
+        spelt, n = hashes(vocabulary)[code], windows + 1
+        may = known.holds(_phrase_hashes(hashes(names.cast(pa.binary()))[lang[:n]], [spelt[j : j + n] for j in range(size - 1)]))
         ok &= may[:-1] & may[1:]
     starts = np.flatnonzero(ok)
-    if not len(starts):
-        return [], [], []
     span = len(vocabulary)
     key, bound = lang[starts] * span + code[starts], len(names) * span
     for j in range(1, size):
@@ -126,8 +83,13 @@ def _counted(words: list[bytes], spans: list[tuple[str, int]], size: int, known:
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
     at = starts[first]
     columns = [vocabulary.take(pa.array(code[at + j])) for j in range(size)]
-    phrases = columns[0] if size == 1 else pc.binary_join_element_wise(*columns, b" ")
-    return pa.array(names).take(pa.array(lang[at])), phrases.cast(pa.string()), counts
+    phrases = (columns[0] if size == 1 else pc.binary_join_element_wise(*columns, b" ")).cast(pa.string())
+    langs = names.take(pa.array(lang[at]))
+    if size == 1:
+        total = np.bincount(lang, minlength=len(names))
+        langs, counts = pa.concat_arrays([langs, names]), np.concatenate([counts, total])
+        phrases = pa.concat_arrays([phrases, pa.array([""] * len(names))])
+    return langs, phrases, counts
 
 
 def count_phrases(texts: DataFrame, size: int, known: BitFilter | None, least: int) -> DataFrame:
@@ -137,17 +99,10 @@ def count_phrases(texts: DataFrame, size: int, known: BitFilter | None, least: i
     shared = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, spans in _slices(batches, size):
-            langs, phrases, counts = _counted(words, spans, size, shared.value if shared is not None else None)
+        for batch in text_slices(batches, 1, SLICE_BYTES):
+            langs, phrases, counts = _counted(batch, size, shared.value if shared is not None else None)
             if len(langs):
                 yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts, pa.int64())], schema=want)
-            if size == 1:
-                total: dict[str, int] = {}
-                blank, at = np.fromiter((not w for w in words), bool, len(words)), 0
-                for lang, n in spans:
-                    total[lang] = total.get(lang, 0) + n - int(blank[at : at + n].sum())
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys()), pa.array([""] * len(total)), pa.array(total.values(), pa.int64())], schema=want)
 
     counted = texts.mapInArrow(run, schema).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return stored(counted.where((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases{size}")
@@ -161,11 +116,10 @@ def bit_filter(frequent: DataFrame) -> BitFilter:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            phrases = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
-            h = _hashes([x.encode() for x in batch.column("lang").to_pylist()])
             # All phrases of a table have the same number of words.
-            for j in range(len(phrases[0]) if phrases else 0):
-                h = _mixed(h, _hashes([p[j] for p in phrases]))
+            split = pc.list_flatten(pc.split_pattern(batch.column("phrase").cast(pa.string()), " "))
+            each = hashes(split.cast(pa.binary())).reshape(batch.num_rows, -1)
+            h = _phrase_hashes(hashes(batch.column("lang").cast(pa.binary())), list(each.T))
             at = h >> np.uint64(64 - bits)
             mask = np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(mask.view(np.int64))], schema=want)
