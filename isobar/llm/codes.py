@@ -26,59 +26,67 @@ SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
 #: Components from here on have no place on the integer grid; they count as non-finite.
 LARGEST = 2.0**50
 #: Distances held at once while leaves are finished, in array elements.
-_LEAF_CELLS = 1 << 21
+_LEAF_CELLS = 1 << 20
+#: Subtrees that the walk goes down together.
+_WIDTH = 1 << 12
 
 
 def _exact(rows: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same numbers as Python integers where squared distances may pass 63 bits."""
-    if rows.size and book.size:
-        most = int(np.abs(rows).max()) + int(np.abs(book).max())
-        if rows.shape[1] * most * most >= 1 << 62:
-            return rows.astype(object), book.astype(object)
-    return rows, book
+    """The same integers in a type that holds all squared distances: doubles, longs or Python's."""
+    most = int(np.abs(rows).max()) + int(np.abs(book).max())
+    bound = rows.shape[1] * most * most
+    kind = np.float64 if bound < 1 << 50 else np.int64 if bound < 1 << 62 else object
+    return rows.astype(kind), book.astype(kind)
+
+
+def _square_distances(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
+    if rows.dtype == np.float64:
+        return (rows * rows).sum(1)[:, None] - 2 * (rows @ book.T) + (book * book).sum(1)
+    gap = rows[:, None] - book[None]
+    return (gap * gap).sum(2)
 
 
 def walk(rows: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nearest entry, squared distance) of rows that are distinct and in order.
 
-    The rows are the leaves of a trie. A node is (first row, end, depth, distances of the
-    shared prefix); unary chains are passed at once, children go on the stack last first.
+    The rows are the leaves of a trie. The walk goes down bundles of neighbouring subtrees
+    of one depth, first bundles first: each node adds its component to the distances of
+    the prefix, which all rows below share; a node with one row is a leaf and is finished.
     """
-    rows, book = _exact(rows, book)
     n, m = rows.shape
-    best, far = np.zeros(n, np.int64), np.zeros(n, rows.dtype)
+    best, far = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if not n or not m:
         return best, far
     differ = rows[1:] != rows[:-1]
     shared = np.concatenate([[-1], differ.argmax(1)])
-    step = max(1, _LEAF_CELLS // (len(book) * m))
+    rows, book = _exact(rows, book)
+    far = far.astype(object if rows.dtype == object else np.int64)
+    step = max(1, _LEAF_CELLS // (len(book) * (1 if rows.dtype == np.float64 else m)))
 
     def leaves(at: np.ndarray, depth: int, sums: np.ndarray) -> None:
         for lo in range(0, len(at), step):
             own = at[lo : lo + step]
-            gap = rows[own, None, depth:] - book[None, :, depth:]
-            total = sums[lo : lo + step] + (gap * gap).sum(2)
+            total = sums[lo : lo + step]
+            if depth < m:
+                total = total + _square_distances(rows[own, depth:], book[:, depth:])
             best[own] = near = total.argmin(1)
             far[own] = total[np.arange(len(own)), near]
 
-    stack = [(0, n, 0, np.zeros(len(book), rows.dtype))]
+    stack = [(np.arange(n), np.zeros(n, np.int64), 0, np.zeros((1, len(book)), rows.dtype))]
     while stack:
-        lo, hi, depth, sums = stack.pop()
-        if hi - lo == 1:
-            leaves(np.array([lo]), depth, sums[None])
-            continue
-        inner = shared[lo + 1 : hi]
-        fork = int(inner.min())
-        for d in range(depth, fork):
-            sums = sums + (rows[lo, d] - book[:, d]) ** 2
-        starts = np.concatenate([[lo], lo + 1 + np.flatnonzero(inner == fork)])
-        ends = np.append(starts[1:], hi)
-        gap = rows[starts, fork][:, None] - book[None, :, fork]
-        below = sums + gap * gap
-        single = ends - starts == 1
-        leaves(starts[single], fork + 1, below[single])
-        for k in np.flatnonzero(~single)[::-1]:
-            stack.append((int(starts[k]), int(ends[k]), fork + 1, below[k]))
+        at, node, depth, sums = stack.pop()
+        new = shared[at] <= depth
+        start = np.flatnonzero(new)
+        gap = rows[at[start], depth][:, None] - book[None, :, depth]
+        below = sums[node[start]] + gap * gap
+        single = np.diff(np.append(start, len(at))) == 1
+        leaves(at[start[single]], depth + 1, below[single])
+        child = np.cumsum(new) - 1
+        deeper = ~single[child]
+        at, child, below = at[deeper], (np.cumsum(~single) - 1)[child[deeper]], below[~single]
+        for lo in range((len(below) - 1) // _WIDTH * _WIDTH, -1, -_WIDTH) if len(below) else ():
+            own = slice(*np.searchsorted(child, [lo, lo + _WIDTH]))
+            stack.append((at[own], child[own] - lo, depth + 1, below[lo : lo + _WIDTH]))
     return best, far
 
 
@@ -185,12 +193,14 @@ def part_sums(parts: DataFrame, codebooks: Codebooks) -> dict[tuple, tuple[int,
                 weight = n[lo:hi]
                 if most * int(weight.sum()) >= 1 << 62:
                     rows, weight = rows.astype(object), weight.astype(object)
-                for e in np.unique(near):
-                    own = near == e
-                    sums = (rows[own] * weight[own, None]).sum(0)
-                    at = held.setdefault((int(d[lo]), int(p[lo]), int(e)), [[0] * book.shape[1], 0])
-                    at[0] = [a + int(b) for a, b in zip(at[0], sums)]
-                    at[1] += int(weight[own].sum())
+                order = np.argsort(near, kind="stable")
+                used, first = np.unique(near[order], return_index=True)
+                sums = np.add.reduceat((rows * weight[:, None])[order], first, axis=0) if book.shape[1] else np.zeros((len(used), 0))
+                counts = np.add.reduceat(weight[order], first)
+                for e, total, count in zip(used.tolist(), sums.tolist(), counts.tolist()):
+                    at = held.setdefault((int(d[lo]), int(p[lo]), e), [[0] * book.shape[1], 0])
+                    at[0] = [a + b for a, b in zip(at[0], total)]
+                    at[1] += count
         out = [(*key, j, Decimal(s), n) for key, (sums, n) in held.items() for j, s in enumerate(sums)]
         for lo in range(0, len(out), 10_000):
             cols = zip(*out[lo : lo + 10_000])
