@@ -50,14 +50,8 @@ def guarded_corr(x, y, distinct: int = 3) -> Column:
     return F.when(F.count_distinct(x) >= distinct, safe_corr(x, y))
 
 
-def moment_skew(n: Column, m2: Column, m3: Column) -> Column:
-    """Bias-corrected skewness (G1) from central sums; null for n < 3 or no spread."""
-    g1 = F.try_divide(F.sqrt(n) * m3, F.pow(m2, F.lit(1.5)))
-    return F.when((n > 2) & (m2 > 0), g1 * F.sqrt(n * (n - 1)) / (n - 2))
-
-
 def sample_skew(col) -> Column:
-    """The same as an aggregate, from Spark's population skewness."""
+    """Bias-corrected skewness (G1); null for n < 3 or no spread."""
     n = F.count(col).cast("double")
     spread = F.coalesce(F.stddev_pop(col), F.lit(0.0))
     g1 = F.when((n > 2) & (spread > 0), F.skewness(col))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from isobar.functions.null_safe import without_nan
 from isobar.operators.joins import settled_join
-from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, present, value_counts
+from isobar.operators.ordered import SMALL_DISTINCT, bracket_percentiles, present
 from isobar.operators.quality import long_form
 from isobar.session import settle
 
@@ -77,25 +77,23 @@ def box_stats(
 ) -> DataFrame:
     """Quartiles, whisker ends inside the fences and outlier count per group and variable.
 
-    Rows fold to (group, variable, value, count) in one pass; fences and counts come
-    from that table.
+    Quartiles come from brackets of a few values; a last pass takes the ends and counts.
     """
     keys = [*by, "variable"]
     tall = present(_real(df, columns, by), by)
-    hist = histogram_of(value_counts(tall, "value", keys), "value", keys, small)
-    boxes = hist.percentiles({"q1": 0.25, "median": 0.5, "q3": 0.75})
+    boxes = bracket_percentiles(tall, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, small=small)
     iqr = F.col("q3") - F.col("q1")
     fenced = boxes.withColumns({"lo": F.col("q1") - iqr * reach, "hi": F.col("q3") + iqr * reach})
     inside = F.col("value").between(F.col("lo"), F.col("hi"))
     kept = F.when(inside, F.col("value"))
     return (
-        settled_join(hist.df, fenced, keys)
+        settled_join(tall, fenced.drop("n"), keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
-            F.sum("_c").alias("n"),
+            F.count(F.lit(1)).alias("n"),
             F.min(kept).alias("whisker_low"),
             F.max(kept).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("n_outliers"),
+            F.count_if(~inside).alias("n_outliers"),
         )
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from isobar.functions.null_safe import safe_corr
+from isobar.functions.null_safe import safe_corr, without_nan
 from isobar.functions.scalars import half_even, heat_colour, marker_radius
 from isobar.operators.ordered import SMALL_DISTINCT, exact_percentiles
 
@@ -56,6 +56,7 @@ def gradients(agg: DataFrame, axes: Sequence[str], measures: Sequence[str]) -> D
 
 def span_gate(agg: DataFrame, height: str, minimum: float = 100.0) -> DataFrame:
     """Whether the heights spread far enough to speak of an elevation effect."""
+    agg = without_nan(agg, [height])
     span = F.max(height) - F.min(height)
     return agg.agg(
         F.count(F.lit(1)).alias("n_locations"),
@@ -69,6 +70,7 @@ def span_gate(agg: DataFrame, height: str, minimum: float = 100.0) -> DataFrame:
 
 def tertile_labels(agg: DataFrame, height: str, small: int = SMALL_DISTINCT) -> DataFrame:
     """Append Low / Medium / High by interpolated thirds, right edge included."""
+    agg = without_nan(agg, [height])
     thirds = exact_percentiles(agg, height, {"a": 1 / 3, "b": 2 / 3}, (), small)
     cut = thirds.select(F.struct("a", "b").alias("c")).scalar()
     h = F.col(height)
@@ -80,7 +82,7 @@ def tertile_means(agg: DataFrame, height: str, values: Sequence[str], digits: in
     """Mean of each value per tertile; all three labels appear, in order."""
     spark = agg.sparkSession
     labels = spark.createDataFrame([("Low", 0), ("Medium", 1), ("High", 2)], "elevation_group string, _at int")
-    labelled = tertile_labels(agg, height).filter(F.col("elevation_group").isNotNull())
+    labelled = tertile_labels(without_nan(agg, values), height).filter(F.col("elevation_group").isNotNull())
     means = labelled.groupBy("elevation_group").agg(
         F.count(F.lit(1)).alias("n"), *[half_even(F.avg(v), digits).alias(v) for v in values]
     )

@@ -10,12 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from isobar.functions.null_safe import safe_corr
+from isobar.functions import texts
+from isobar.functions.null_safe import safe_corr, without_nan
 from isobar.functions.tails import chi2_p, f_p, normal_upper, pearson_p
 from isobar.operators.joins import settled_join
 from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, lowest_per_group, present, value_counts
 from isobar.operators.rollup import seeded_order
-from isobar.plans import constants as texts
 from isobar.session import settle
 
 ALPHA = 0.05
@@ -193,6 +193,7 @@ def compare_ranks(daily: DataFrame, group: str, value: str, name: str, small: in
 
 def location_correlation(agg: DataFrame, x: str, y: str, name: str) -> DataFrame:
     """Pearson test of two location-level columns."""
+    agg = without_nan(agg, [x, y])
     one = agg.agg(safe_corr(x, y).alias("statistic"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
     return _result(one.withColumn("p_value", pearson_p("statistic", "n")), name, texts.PEARSON_USED, texts.REJECTED)
 
@@ -213,6 +214,7 @@ def battery(
     """
     constants = sorted({x for x, _ in relations.values()})
     measures = sorted({*compare.values(), *ranks.values(), *(y for _, y in relations.values())})
+    df = without_nan(df, [*measures, *constants])
     # One pass over the facts: daily means, and what location means are made of.
     day = F.to_date(ts).alias("date")
     parts = [F.avg(m).alias(m) for m in measures]

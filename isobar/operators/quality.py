@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from isobar.functions.null_safe import missing, moment_skew, percent, without_nan
+from isobar.functions.null_safe import missing, percent, sample_skew, without_nan
 from isobar.functions.scalars import half_even, range_label
-from isobar.operators.ordered import SMALL_DISTINCT, histogram_of, previous_value, value_counts
+from isobar.operators.joins import sized_join
+from isobar.operators.ordered import SMALL_DISTINCT, bracket_percentiles, previous_value
+from isobar.session import settle
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -85,49 +87,42 @@ def positive_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     """Rows beyond the first of each distinct row (or key); nulls compare equal."""
-    per = df.groupBy(*(key or df.columns)).agg(F.count(F.lit(1)).alias("_c"))
+    if key is None:
+        return duplicate_report(df, df.columns[:1]).select(F.col("exact_duplicates").alias("n_duplicates"))
+    per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_c"))
     return per.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("n_duplicates"))
 
 
 def duplicate_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Exact and key duplicates in one row, from one scan.
+    """Exact and key duplicates in one row.
 
-    Whole rows are folded first; their counts are rolled up by key, so the second shuffle
-    carries keys and counts only.
+    A first pass shuffles keys and a 128-bit digest of every row; whole rows are compared
+    only inside a digest that occurs again, so unique rows never travel whole.
     """
-    exact = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-    keyed = exact.groupBy(*key).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") - 1).alias("_e"))
-    return keyed.agg(
-        F.coalesce(F.sum("_e"), F.lit(0)).alias("exact_duplicates"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("key_duplicates"),
-    )
+    digest = F.struct(F.xxhash64(*df.columns), F.xxhash64(F.lit("second"), *reversed(df.columns)))
+    seen = settle(df.select(*key, digest.alias("_digest")).groupBy(*key, "_digest").agg(F.count(F.lit(1)).alias("_c")))
+    per_key = seen.groupBy(*key).agg(F.sum("_c").alias("_n"))
+    keyed = per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("key_duplicates"))
+    again = seen.filter("_c > 1").select("_digest").distinct()
+    suspects = sized_join(df.withColumn("_digest", digest), again, "_digest", "inner").drop("_digest")
+    per_row = suspects.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    exact = per_row.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("exact_duplicates"))
+    return exact.select("exact_duplicates", keyed.scalar().alias("key_duplicates"))
 
 
 def describe(df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
     """count, mean, std, min, quartiles, max and bias-corrected skew per column.
 
-    One pass folds all columns to (variable, value, count); everything else is
-    weighted arithmetic on that table.
+    Moments and the brackets of the quartiles come from one pass, the quartiles themselves
+    from the few values inside the brackets; no table of values is made.
     """
     tall = long_form(df, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    hist = histogram_of(value_counts(tall, "value", ["variable"]), "value", ["variable"], small)
-    v, c = F.col("value"), F.col("_c")
-    first = hist.df.groupBy("variable").agg(
-        F.sum(c).alias("count"), (F.sum(c * v) / F.sum(c)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
-    # The small tables below hold one row per described column.
-    d = v - F.col("mean")
-    spread = hist.df.join(F.broadcast(first.select("variable", "mean")), "variable").groupBy("variable").agg(
-        F.sum(c * d * d).alias("m2"), F.sum(c * d * d * d).alias("m3")
-    )
-    quartiles = hist.percentiles({"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    out = first.join(F.broadcast(spread), "variable").join(F.broadcast(quartiles), "variable", "left")
-    n = F.col("count").cast("double")
-    std = F.sqrt(F.try_divide(F.col("m2"), n - 1))
-    return out.select(
-        "variable", "count", "mean", std.alias("std"), "min", "p25", "p50", "p75", "max",
-        moment_skew(n, F.col("m2"), F.col("m3")).alias("skew"),
-    )
+    moments = [
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"), sample_skew("value").alias("skew"),
+    ]
+    out = bracket_percentiles(tall, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["variable"], moments, small=small)
+    return out.select("variable", F.col("n").alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max", "skew")
 
 
 def table_profile(df: DataFrame, key: str, year: str, n_files: int | None = None, n_bytes: int | None = None) -> DataFrame:

@@ -46,6 +46,28 @@ def group_means(df: DataFrame, by: Sequence[str], values: Sequence[str], digits:
     return _keyed(without_nan(df, values), by).groupBy(*by).agg(*named)
 
 
+def group_means_by_sets(df: DataFrame, sets: Sequence[Sequence[str]], values: Sequence[str]) -> DataFrame:
+    """``group_means`` by several sets of keys from one scan; keys outside a row's set are null.
+
+    Sums fold once by all keys together, so the sets are made from the folded table.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    parts = [F.sum(v).alias(f"_s_{v}") for v in values] + [F.count(v).alias(f"_c_{v}") for v in values]
+    folded = without_nan(df, values).groupBy(*keys).agg(*parts)
+    grouped = folded.groupingSets([list(s) for s in sets], *keys)
+    means = [F.try_divide(F.sum(f"_s_{v}"), F.sum(f"_c_{v}")).alias(v) for v in values]
+    out = grouped.agg(F.grouping_id().alias("_set"), *means)
+    # A row without one of its own keys drops out.
+    whole = F.lit(False)
+    for s in sets:
+        code = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+        own = F.col("_set") == code
+        for k in s:
+            own = own & F.col(k).isNotNull()
+        whole = whole | own
+    return out.filter(whole).drop("_set")
+
+
 def means_with_counts(df: DataFrame, by: Sequence[str], means: dict[str, str]) -> DataFrame:
     """Named means plus the row count per group, in key order."""
     named = [F.avg(v).alias(name) for name, v in means.items()]
@@ -70,7 +92,7 @@ def location_aggregate(
     if years not in ("group", "global"):
         raise ValueError("years must be 'group' or 'global'")
     aggs = [F.avg(v).alias(name) for name, v in means.items()]
-    source = _keyed(df, by)
+    source = _keyed(without_nan(df, [*means.values(), *(totals or {}).values()]), by)
     if not totals:
         return source.groupBy(*by).agg(*aggs)
     # Two stages: per (location, year) sums fold map-side, then a short second step
@@ -128,7 +150,11 @@ def pivot_cells(df: DataFrame, row: str, column: str, labels: Sequence, value: s
 def rank_within(
     df: DataFrame, by: str, value: str, descending: bool = True, small: int = SMALL_DISTINCT
 ) -> DataFrame:
-    """Average rank of ``value`` inside each ``by`` group, appended as ``rank``."""
+    """Average rank of ``value`` inside each ``by`` group, appended as ``rank``.
+
+    ``df`` is settled, so that the ranks join back on the very doubles that were ranked.
+    """
+    df = settle(df)
     ranks = value_ranks(df, value, [by], descending=descending, small=small)
     lookup = ranks.select(by, value, F.col("avg_rank").alias("rank"))
     return df.join(lookup, [by, value], "left")
@@ -136,9 +162,7 @@ def rank_within(
 
 def rank_by_period(df: DataFrame, key: str, period: str, value: str, labels: Sequence) -> DataFrame:
     """Rank of every key by mean value in each period, one column per period."""
-    # Settled, so that the ranks join back on the very doubles that were ranked.
-    means = settle(group_means(df, [period, key], [value]))
-    ranked = rank_within(means, period, value)
+    ranked = rank_within(group_means(df, [period, key], [value]), period, value)
     return pivot_cells(ranked, key, period, labels, "rank")
 
 
@@ -175,8 +199,18 @@ def seeded_order(seed: int, *keys: str) -> Column:
 
 
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """At most n rows chosen by hash order of their key."""
-    return df.orderBy(seeded_order(seed, *keys), *keys).limit(n)
+    """At most n rows chosen by hash order of their key.
+
+    One count puts a cut on the hash axis below which about twice n rows lie, and only those
+    are put in order; should fewer than n lie there, the cut is raised.
+    """
+    axis = F.conv(F.substring(seeded_order(seed, *keys), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+    total, share = df.count(), 2.0 * n + 100
+    cut = share / total if total else 1.0
+    while cut < 1 and df.filter(axis < cut).limit(n).count() < n:
+        cut *= 2
+    few = df if cut >= 1 else df.filter(axis < cut)
+    return few.orderBy(seeded_order(seed, *keys), *keys).limit(n)
 
 
 def attach_constants(agg: DataFrame, dim: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

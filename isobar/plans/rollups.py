@@ -37,14 +37,10 @@ def obs_counts(spark, sf_dir):
 )
 def group_means(spark, sf_dir):
     """Means by (year, station), (month, station) and station."""
-    obs = observations(spark, sf_dir)
-    blank = F.lit(-1)
     values = ["temperature", "rain"]
-    yearly = rollup.group_means(obs, ["year", "station_id"], values).withColumn("month", blank)
-    monthly = rollup.group_means(obs, ["month", "station_id"], values).withColumn("year", blank)
-    whole = rollup.group_means(obs, ["station_id"], values).withColumns({"month": blank, "year": blank})
-    out = yearly.unionByName(monthly).unionByName(whole)
-    return rounded(out, *values).select("station_id", "year", "month", *values)
+    sets = [["station_id", "year"], ["station_id", "month"], ["station_id"]]
+    out = rollup.group_means_by_sets(observations(spark, sf_dir), sets, values)
+    return rounded(out.fillna(-1, ["year", "month"]), *values).select("station_id", "year", "month", *values)
 
 
 @query(
@@ -94,6 +90,19 @@ def location_aggregate_global_years(spark, sf_dir):
     return _shown(station_aggregate(spark, sf_dir, "global"))
 
 
+_NAN_SQL = """
+SELECT station_id, round(avg(humidity), 4) + 0.0 AS mean_humidity, round(sum(coalesce(humidity, 0)) / count(DISTINCT year), 4) + 0.0 AS humidity_per_year
+FROM obs GROUP BY station_id"""
+
+
+@query("location_aggregate_nan", "A3 A4", with_views(_NAN_SQL))
+def location_aggregate_nan(spark, sf_dir):
+    """Means and totals of a measure whose gaps are NaN instead of null."""
+    holed = observations(spark, sf_dir).withColumn("humidity", F.coalesce("humidity", F.lit(float("nan"))))
+    agg = rollup.location_aggregate(holed, ["station_id"], {"mean_humidity": "humidity"}, {"humidity_per_year": "humidity"})
+    return rounded(agg, "mean_humidity", "humidity_per_year", digits=4)
+
+
 @query(
     "height_summary",
     "A5 A4 O1",

@@ -69,6 +69,25 @@ def box_by_station(spark, sf_dir):
     return rounded(out, "q1", "median", "q3")
 
 
+@query(
+    "box_z_scored",
+    "D3 F6",
+    with_views(
+        "SELECT * REPLACE (round(whisker_low, 6) + 0.0 AS whisker_low, round(whisker_high, 6) + 0.0 AS whisker_high) FROM ("
+        + _BOX_SQL.format(keys="variable", src="t")
+        + ")",
+        """t AS (SELECT 'temperature' AS variable, (temperature - (SELECT avg(temperature) FROM obs)) / (SELECT stddev_samp(temperature) FROM obs) AS value FROM obs
+            UNION ALL SELECT 'wind', (wind - (SELECT avg(wind) FROM obs)) / (SELECT stddev_samp(wind) FROM obs) FROM obs),
+           b AS (SELECT variable, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM t GROUP BY ALL)""",
+    ),
+)
+def box_z_scored(spark, sf_dir):
+    """Box-plot statistics of standardised measures."""
+    measures = ["temperature", "wind"]
+    out = d.box_stats(d.z_scores(observations(spark, sf_dir), measures), measures)
+    return rounded(out, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
 @query(
     "box_of_events",
     "D3",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from isobar.functions.scalars import calendar, fixed_text
 from isobar.operators import correlation, distribution, explain, geo, hypothesis, joins, models, quality, regression, rollup
+from isobar.operators.ordered import present
 from isobar.plans import constants as k
 from isobar.session import prepare, settle
 from isobar.sources import files, hive, sidecar
@@ -207,7 +208,7 @@ def model_tables(
     fitted = models.fit_models(train, k.FEATURES, k.TARGET, sizes)
     search = models.random_search(train, k.FEATURES, k.TARGET, TS, draws, folds, space, sizes)
     fitted.models["Random Forest (tuned)"] = search.model
-    mean = train.agg(F.avg(k.TARGET)).first()[0]
+    mean = present(train, [k.TARGET]).agg(F.avg(k.TARGET)).first()[0]
     scored, names = fitted.score(test, mean, ["name"])
     comparison = settle(models.evaluate(scored, "label", names))
     untuned = comparison.filter("Model != 'Random Forest (tuned)'")

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from isobar.operators import correlation, distribution, hypothesis, quality, regression, rollup
+from isobar.operators import correlation, distribution, geo, hypothesis, models, quality, regression, rollup
 from isobar.operators.moments import corr_of_sums, pair_sums
 
 NAN = float("nan")
@@ -38,6 +38,16 @@ CASES = {
     "anova": lambda d: hypothesis.anova(d, "g", "a"),
     "levene": lambda d: hypothesis.levene(d, "g", "a"),
     "kruskal": lambda d: hypothesis.kruskal(d, "g", "a"),
+    "location": lambda d: rollup.location_aggregate(d, ["g"], {"m": "a"}, {"t": "a", "u": "b"}),
+    "location_means": lambda d: rollup.location_aggregate(d, ["g"], {"m": "a"}),
+    "sets": lambda d: rollup.group_means_by_sets(d, [["g", "year"], ["g"]], ["a", "b"]),
+    "span": lambda d: geo.span_gate(d, "a"),
+    "thirds": lambda d: geo.tertile_means(d, "a", ["b"]),
+    "baseline": lambda d: models.evaluate(models.mean_baseline(d, d, "a"), "a", {"m": "prediction"}),
+    "error": lambda d: models.error_by_group(models.mean_baseline(d, d, "a"), "g", "a", "prediction"),
+    "relation": lambda d: hypothesis.location_correlation(d, "a", "b", "t").drop("conclusion"),
+    "describe": lambda d: quality.describe(d, ["a", "b"]),
+    "box": lambda d: distribution.box_stats(d, ["a", "b"], ["g"]),
 }
 
 

@@ -10,7 +10,6 @@ from isobar.plans.registry import off_ties
 from tools.check_queries import duck, same
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-HEAVY = {"model_comparison", "best_model", "tuning", "impurity_importance", "permutation_importance", "shapley_mean_abs"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def test_matches_sql(spark, con, name):
     assert problem is None
 
 
-@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if not q.sql and n not in HEAVY))
+@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if not q.sql))
 def test_gives_rows(spark, name):
     assert QUERIES[name].run(spark, SF).count() > 0
 
