@@ -193,7 +193,7 @@ def exact_percentiles(
 
 
 #: Accuracy of the brackets: an approximate percentile is off by at most a share of 1 / accuracy of the rows.
-ACCURACY = 10_000
+ACCURACY = 2_000
 #: Most groups whose brackets are copied to all tasks.
 SMALL_GROUPS = 50_000
 
@@ -204,47 +204,59 @@ def bracket_percentiles(
 ) -> DataFrame:
     """(group..., n, ``aggs``, percentiles): exact, linearly interpolated percentiles per group.
 
-    A first pass finds, for each percentile, two values that it lies between, and whatever
-    ``aggs`` ask. A second one counts the rows below each bracket and folds those inside it
-    by value, so only the brackets are shuffled: a few rows of ten thousand. Should a
-    bracket miss its place, the values are counted whole instead. ``rows`` have no missing values.
+    A first pass counts rows and distinct values and whatever ``aggs`` ask. Where no group
+    has more than about ``small`` values, they are counted in the aggregate itself. Otherwise
+    one pass finds, for each percentile, two values that it lies between, and another
+    counts the rows below each bracket and folds those inside it by value, so only the
+    brackets are shuffled: a few rows of a thousand. ``rows`` have no missing values.
     """
     if not by:
         whole = rows.withColumn("_all", F.lit(0))
         return bracket_percentiles(whole, value, probs, ["_all"], aggs, accuracy, small).drop("_all")
+    sizes = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(value).alias("_d")]
+    first = settle(rows.groupBy(*by).agg(*sizes, *aggs))
+    groups, longest = first.agg(F.count("n"), F.coalesce(F.max("_d"), F.lit(0))).first()
+    places = F.array(*[F.lit(float(p)) for p in probs.values()])
+    if longest <= small:
+        found = rows.groupBy(*by).agg(F.percentile(value, places).alias("_p"))
+        found = found.select(*by, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)])
+    else:
+        found = _between_brackets(rows, value, probs, by, accuracy, groups <= SMALL_GROUPS)
+    return first.drop("_d").join(found, list(by))
+
+
+def _between_brackets(rows: DataFrame, value: str, probs: dict[str, float], by: Sequence[str], accuracy: int, few: bool) -> DataFrame:
     slack = 2.0 / accuracy
     asked = [q for p in probs.values() for q in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    count = F.count(F.lit(1)).alias("n")
-    first = settle(rows.groupBy(*by).agg(count, *aggs, F.percentile_approx(value, asked, accuracy).alias("_b")))
-    groups = first.count()
+    about = [F.count(F.lit(1)).alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")]
+    first = rows.groupBy(*by).agg(*about, F.percentile_approx(value, asked, accuracy).alias("_b"))
+    # Below so many rows the slack is less than a row or two, and the whole group is the bracket.
+    whole = F.array(*[F.col(c) for _ in probs for c in ("_lo", "_hi")])
+    first = settle(first.select(*by, "n", F.when(F.col("n") < 4 * accuracy, whole).otherwise(F.col("_b")).alias("_b")))
     brackets = first.select(*by, "_b")
-    paired = rows.join(F.broadcast(brackets) if groups <= SMALL_GROUPS else brackets, list(by))
-    v = F.col(value)
+    paired = rows.join(F.broadcast(brackets) if few else brackets, list(by))
+    v, kind = F.col(value), rows.schema[value].dataType
     places = []
     for i in range(len(probs)):
         low, high = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
         inside = F.struct(F.lit(i).alias("i"), v.alias("v"))
-        below = F.struct(F.lit(i).alias("i"), F.lit(None).cast(rows.schema[value].dataType).alias("v"))
+        below = F.struct(F.lit(i).alias("i"), F.lit(None).cast(kind).alias("v"))
         places.append(F.when(v < low, below).when(v <= high, inside))
-    each = paired.select(*by, F.explode(F.array_compact(F.array(*places))).alias("s")).select(*by, "s.i", "s.v")
-    folded = settle(each.groupBy(*by, "i", "v").agg(F.count(F.lit(1)).alias("_c")))
+    each = paired.select(*by, F.explode(F.array(*places)).alias("s")).filter("s IS NOT NULL").select(*by, "s.i", "s.v")
+    folded = each.groupBy(*by, "i", "v").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     running = folded.withColumn("before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).filter("v IS NOT NULL")
     running = running.join(first.select(*by, "n"), list(by))
-    wanted = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("i") + 1)
-    at = (F.col("n") - 1) * wanted
+    at = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("i") + 1)
     running = running.withColumns({"_low": F.floor(at), "_high": F.least(F.floor(at) + 1, F.col("n") - 1), "_w": at - F.floor(at)})
 
     def taken(k: str) -> Column:
-        return F.max(F.when((F.col("before") <= F.col(k)) & (F.col(k) < F.col("before") + F.col("_c")), F.col("v")))
+        found = F.max(F.when((F.col("before") <= F.col(k)) & (F.col(k) < F.col("before") + F.col("_c")), F.col("v")))
+        return F.coalesce(found, F.raise_error(F.lit("a percentile lies outside its bracket")).cast(kind))
 
-    ends = settle(running.groupBy(*by, "i").agg(taken("_low").alias("lo"), taken("_high").alias("hi"), F.max("_w").alias("w")))
-    if ends.filter("lo IS NULL OR hi IS NULL").limit(1).count() or ends.count() < groups * len(probs):
-        found = histogram_of(value_counts(rows, value, by), value, by, small).percentiles(probs)
-    else:
-        point = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")
-        found = ends.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, point)).alias(name) for i, name in enumerate(probs)])
-    return first.drop("_b").join(found, list(by))
+    ends = running.groupBy(*by, "i").agg(taken("_low").alias("lo"), taken("_high").alias("hi"), F.max("_w").alias("w"))
+    point = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")
+    return ends.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, point)).alias(name) for i, name in enumerate(probs)])
 
 
 def previous_value(df: DataFrame, value: str, by: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
