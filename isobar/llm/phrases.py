@@ -27,7 +27,7 @@ from isobar.session import settle
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 SCORE_SCALE = 2_000_000
 #: Bytes of text that are counted together in a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: The bit filter has about 16 bits a phrase, and at most so many.
 FILTER_BITS = 27
 #: First round of the best of a language: so many parts.
