@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from isobar.llm.common import arrow_schema, stored, text_slices
+from isobar.llm.common import arrow_schema, small_batches, stored, text_slices
 from isobar.llm.words import byte_kinds, cut_words, hashes, mixed
 from isobar.operators.joins import sized_join
 from isobar.session import settle
@@ -27,7 +27,7 @@ from isobar.session import settle
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 SCORE_SCALE = 2_000_000
 #: Bytes of text that are counted together in a task.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: The bit filter has about 16 bits a phrase, and at most so many.
 FILTER_BITS = 27
 #: First round of the best of a language: so many parts.
@@ -105,7 +105,8 @@ def count_phrases(texts: DataFrame, size: int, known: BitFilter | None, least: i
                 yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts, pa.int64())], schema=want)
 
     counted = texts.mapInArrow(run, schema).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return stored(counted.where((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases{size}")
+    with small_batches(texts.sparkSession):
+        return stored(counted.where((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases{size}")
 
 
 def bit_filter(frequent: DataFrame) -> BitFilter:
