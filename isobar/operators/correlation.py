@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from isobar.functions.null_safe import guarded_corr, missing, safe_corr, without_nan
 from isobar.functions.tails import pearson_p
 from isobar.operators.joins import BROADCAST_ROWS, salted_join, shuffle_width
-from isobar.operators.moments import corr_of_sums, pair_sums
+from isobar.operators.moments import corr_of_moments, pair_moments
 from isobar.operators.ordered import SMALL_DISTINCT, value_ranks
 from isobar.session import settle
 
@@ -20,14 +20,14 @@ def _names(columns: Sequence[str], index: Column) -> Column:
     return F.array(*[F.lit(c) for c in columns])[index]
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str], origin: Sequence[float] | None = None) -> DataFrame:
+def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x, y, n, r) for every unordered pair, each over its complete rows."""
-    sums = pair_sums(df, columns, origin).filter("i < j")
+    sums = pair_moments(df, columns).filter("i < j")
     return sums.select(
         _names(columns, F.col("i")).alias("x"),
         _names(columns, F.col("j")).alias("y"),
         F.col("n").cast("long").alias("n"),
-        corr_of_sums().alias("r"),
+        corr_of_moments().alias("r"),
     )
 
 
@@ -99,7 +99,7 @@ def _spearman(df: DataFrame, pairs: Sequence[Pair], small: int) -> tuple[DataFra
             rows = rows.filter(~missing(df, c))
         ranked, middle, distinct = attach_ranks(rows, use, small)
         ranked = ranked.select(*[F.col(f"{c}__rank").alias(c) for c in use])
-        parts.append(_in_order(pearson_pairs(ranked, use, middle), wanted))
+        parts.append(_in_order(pearson_pairs(ranked, use), wanted))
         known.update({c: n for c, n in distinct.items() if needed == {c} & holed})
     out = parts[0]
     for part in parts[1:]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from isobar.functions import tails
 from isobar.operators import correlation, hypothesis, regression
-from isobar.operators.moments import gram, pair_sums
+from isobar.operators.moments import gram, pair_moments
 
 
 def frame(spark, pdf):
@@ -124,16 +124,20 @@ def test_clustered_model_with_factor(spark):
     assert np.allclose(fitted, order)
 
 
-def test_pair_sums_do_not_depend_on_origin(spark):
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e9])
+def test_correlations_do_not_depend_on_an_offset(spark, offset):
     rng = np.random.default_rng(2)
-    pdf = pd.DataFrame(rng.normal(size=(500, 3)) + 1e6, columns=list("abc"))
-    df = frame(spark, pdf)
-    want = pdf.corr()
-    for origin in (None, [1e6, 1e6, 1e6]):
-        sums = pair_sums(df, list("abc"), origin).withColumn("r", F.lit(0.0))
-        assert sums.count() == 6
-        for r in correlation.pearson_pairs(df, list("abc"), origin).collect():
-            assert math.isclose(r.r, want.loc[r.x, r.y], abs_tol=1e-9)
+    # Whole multiples of 2^-20 stay exact beside the offset.
+    x = np.rint(rng.normal(size=(500, 3)) * 2**20) / 2**20
+    x[::7, 0] = np.nan
+    want = pd.DataFrame(x, columns=list("abc")).corr()
+    df = frame(spark, pd.DataFrame(x + offset, columns=list("abc"))).repartition(5)
+    assert pair_moments(df, list("abc")).count() == 6
+    for r in correlation.pearson_pairs(df, list("abc")).collect():
+        assert math.isclose(r.r, want.loc[r.x, r.y], abs_tol=1e-12)
+
+
+def test_gram(spark):
     z = pd.DataFrame({"a": [1.0, 2.0], "b": [3.0, -1.0]})
     assert np.allclose(gram(frame(spark, z), ["a", "b"]), z.to_numpy().T @ z.to_numpy())
 

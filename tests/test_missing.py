@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobar.operators import correlation, distribution, geo, hypothesis, models, quality, regression, rollup
-from isobar.operators.moments import corr_of_sums, pair_sums
+from isobar.operators.moments import corr_of_moments, pair_moments
 
 NAN = float("nan")
 
@@ -80,5 +80,5 @@ def test_correlation_does_not_depend_on_the_first_rows(spark):
     later = spark.range(400).select(
         F.when(F.col("id") > 100, F.col("id") * 1e-3 + 1.7e9).alias("a"), (F.col("id") * 2e-3 + 1.7e9).alias("b")
     )
-    r = pair_sums(later, ["a", "b"]).where("i < j").select(corr_of_sums().alias("r")).first().r
+    r = pair_moments(later, ["a", "b"]).where("i < j").select(corr_of_moments().alias("r")).first().r
     assert r == pytest.approx(1.0, abs=1e-6)
