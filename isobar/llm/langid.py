@@ -155,7 +155,8 @@ def train(docs: DataFrame, lang_col: str, text_col: str, order: int = ORDER, sam
     rows = rows.withColumns({"h": F.xxhash64("text"), "n": F.length("text")})
     distinct = rows.groupBy("lang", "h").agg(F.max("n").cast("bigint").alias("n"))
     sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(lang for lang, n in sizes.items())
+    # A language whose texts are all empty has taught nothing.
+    langs = sorted(lang for lang, n in sizes.items() if n)
     rate = F.lit(1.0)
     for lang in langs:
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_chars / max(sizes[lang], 1)))).otherwise(rate)

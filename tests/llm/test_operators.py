@@ -334,3 +334,12 @@ def test_stages_take_odd_rows(spark, odd, none):
     assert sorted(r.doc_id for r in kept if r.doc_id in (None, 1, 2, 3, 4)) == [1, 2]
     assert corpus_pipeline.language_id(spark, table, sf).where("doc_id in (2, 3, 4)").count() == 0
     assert corpus_pipeline.byte_bpe(spark, none, sf).count() == 0
+
+
+def test_language_without_text_is_not_learned(spark):
+    english = "The cat sat on the mat and looked at the dog for a while, and the dog looked at the cat."
+    rows = [(1, english, "en"), (2, english + " Again.", "en"), (3, "", "xx"), (4, "", "xx"), (5, None, "yy")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs, "lang", "text")
+    asked = spark.createDataFrame([(1, "Привет мир"), (2, "the dog sat")], "doc_id bigint, text string")
+    assert {r.lang_pred for r in langid.predict(asked, model, "doc_id", "text").collect()} == {"en"}
