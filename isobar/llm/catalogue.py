@@ -116,7 +116,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and those that the learned classifier adds."""
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
-    base, every = pii.as_text(pii.KINDS), pii.as_text((*pii.KINDS, pii.CANDIDATE))
+    base, every = pii.as_text(pii.KINDS), pii.as_text((*pii.KINDS, *pii.ADDED))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"))
 
 

@@ -1,18 +1,25 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Fixed patterns give the base spans, which always stay. Looser candidates are voted on by
-labellers: shapes (regex), words before the span (gazetteer), marks around it (context)
-and the mix of its characters. Expectation-maximisation over the counts of vote patterns
-estimates how reliable each labeller is; the posteriors train a logistic span classifier
-over the votes and the span's length, which decides about candidates.
+Fixed patterns give the base spans, which always stay. Looser candidates of six kinds (keys
+and other secrets, phone numbers without ``+``, grouped ids, IPv6, spelled-out e-mails, names
+after a title or a given name) are voted on by labellers: shapes (regex), words before the span
+(gazetteer), marks around it (context) and a make-up test of its characters. For each kind
+expectation-maximisation over the counts of vote patterns estimates how reliable each
+labeller is; the posteriors train a logistic span classifier over the votes and the span's
+length, which decides about candidates. Of the kinds other than keys a candidate also needs
+two votes, of phones and ids three, since their shape and make-up agree too easily: where all
+candidates of a kind are harmless, a number of a likely form alone never adds a span.
 
 Patterns are written so that Java's matcher takes time linear in the text: runs are
-possessive and start where a run starts, or where the last match ended.
+possessive and start where a run starts, or where the last match ended. Positions are running
+sums by doubling, and texts are cut by blocks, so a text with many spans takes time n log n.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,30 +39,141 @@ _NEEDS = {
     "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){12}"),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
-#: Candidates for keys and other secrets: long runs of letters and digits, mixed.
-CANDIDATE = "secret"
-_CANDIDATE_PATTERN = r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+"
-_CONTEXT_WORDS = r"(?i)\b(?:token|key|secret|password|passwd|pwd|credential|bearer|apikey|api_key|auth)\b"
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """A kind of looser candidates and its labellers, all regular expressions.
+
+    ``need`` is what a text must hold, ``keep`` what a match must hold, each of them.
+    """
+
+    need: str
+    pattern: str
+    keep: tuple[str, ...]
+    shape: str
+    words: str
+    mix: str
+    least_votes: int = 2
+    digit_share: float = 0.0  # of the characters, for the make-up test
+
+
+#: Titles and common given names of the gazetteer.
+TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Don|Señor|Señora"
+GIVEN_NAMES = (
+    "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|William|Elizabeth|David|Barbara|Richard|Susan|Joseph|Jessica|"
+    "Thomas|Sarah|Charles|Karen|Daniel|Lisa|Matthew|Nancy|Anthony|Anna|Peter|Paul|Maria|José|Juan|Carlos|Ana|Carmen|Pedro|"
+    "Hans|Klaus|Jürgen|Wolfgang|Ursula|Monika|Pierre|Jean|Marie|Jacques|Nathalie|Isabelle|Mohammed|Ahmed|Fatima|Ali|Alice|Bob"
+)
+_TLD = "com|org|net|edu|gov|io|info|de|fr|es|uk|co|eu|us"
+CANDIDATES = {
+    "secret": Candidate(
+        need="[A-Za-z0-9]{16}",
+        pattern=r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+",
+        keep=("[0-9]", "[A-Za-z]"),
+        shape=r"(?i)^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?:sk|pk|ghp)[A-Za-z0-9]{16,})$",
+        words=r"(?i)\b(?:token|key|secret|password|passwd|pwd|credential|bearer|apikey|api_key|auth)\b",
+        mix=r"[0-9]",
+        least_votes=0,
+        digit_share=0.25,
+    ),
+    "local_phone": Candidate(
+        need="[0-9]{3,4}[ .-][0-9]{3}",
+        pattern=r"(?<![0-9A-Za-z+.-])(?<![0-9+][ ()-])(?<!\+[0-9() .-]{1,20})\(?[0-9]{2,5}+\)?[ .-]{1,2}+[0-9]{3,4}+[ .-][0-9]{3,5}+(?![ .-]?[0-9])(?![A-Za-z])",
+        keep=(),
+        shape=r"^(?:\(0?[0-9]{2,4}\) ?|0?[0-9]{2,4}([ .-]))[0-9]{3,4}[ .-][0-9]{4}$",
+        words=r"(?i)\b(?:phone|telephone|tel|mobile|cell|call|fax|whatsapp|sms|telefon|handy|téléphone|teléfono)\b",
+        mix=r"^\(?(?:0[1-9]|[2-9][0-9]{2}\)?[ .-]{1,2}[2-9])",
+        least_votes=3,
+    ),
+    "grouped_id": Candidate(
+        need="[A-Za-z0-9]{2,4}[ -][A-Za-z0-9]{2,4}[ -][A-Za-z0-9]{4}",
+        pattern=r"(?<![A-Za-z0-9-])(?:[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){3,7}+(?:[ -]?[A-Z0-9]{1,3}+)?|[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}|[0-9A-Fa-f]{4,8}+(?:-[0-9A-Fa-f]{4,12}+){3,4}+)(?![A-Za-z0-9-])",
+        keep=("[0-9]",),
+        shape=r"^(?:[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){3,7}(?:[ -]?[A-Z0-9]{1,3})?|(?!000|666|9)[0-9]{3}-[0-9]{2}-[0-9]{4})$",
+        words=r"(?i)\b(?:iban|ssn|social security|passport|account|konto|licen[cs]e|tax|insurance|national id|identity|id)\b",
+        mix=r"^(?=(?:[^0-9]*+[0-9]){8})",
+        least_votes=3,
+    ),
+    "ipv6": Candidate(
+        need="[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]{0,5}:",
+        pattern=r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}+(?:(?::{1,2}[0-9A-Fa-f]{1,4}+){2,7}+(?:::)?|(?::[0-9A-Fa-f]{1,4}+)?::)(?![0-9A-Za-z:])",
+        keep=("[0-9]",),
+        shape=r"^(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[^:]*(?::[^:]+)*::)[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){0,6}(?:::)?)$",
+        words=r"(?i)\b(?:ip|ipv6|address|host|server|client|from|peer|remote|addr)\b",
+        mix=r"(?:[0-9A-Fa-f]*[A-Fa-f][0-9A-Fa-f]*:.*[0-9]{2}|[0-9A-Fa-f]{3,4}:)",
+    ),
+    "spelled_email": Candidate(
+        need=r"(?i)(?:\bat\b|@).{1,64}?(?:\bdot\b|[\[(]\.[\])])",
+        pattern=rf"(?i)(?:(?<!{_LOCAL})|\G){_LOCAL}++ ?(?:[\[({{<] ?at ?[\])}}>]|[\[(]@[\])]| at ) ?[A-Za-z0-9-]++(?: ?(?:[\[({{<] ?dot ?[\])}}>]|[\[(]\.[\])]| dot ) ?[A-Za-z0-9-]++)++",
+        keep=(),
+        shape=rf"(?i)(?:[\])}}> ])(?:{_TLD})$",
+        words=r"(?i)\b(?:e-?mail|mail|contact|write|reach|send|address|kontakt|correo|courriel)\b",
+        mix=r"[\[({<]",
+    ),
+    "name": Candidate(
+        need=rf"\b(?:{TITLES}|{GIVEN_NAMES})\b",
+        pattern=rf"(?<![\p{{L}}0-9])(?:(?:{TITLES})\.? (?:\p{{Lu}}\p{{Ll}}++ )?|(?:{GIVEN_NAMES}) (?:\p{{Lu}}\. )?)\p{{Lu}}\p{{Ll}}++(?![\p{{L}}0-9])",
+        keep=(),
+        shape=rf"^(?:{TITLES})\b",
+        words=r"(?i)\b(?:name|contact|signed|dear|by|regards|patient|customer|employee|attn|sincerely|from)\b",
+        mix=rf"\b(?:{GIVEN_NAMES})\b",
+    ),
+}
+ADDED = tuple(CANDIDATES)
 VOTES = ("shape", "gazetteer", "context", "mix")
 _SPANS = "array<struct<start:int,end:int,m:string>>"
+_FOUND = "array<struct<start:int,end:int," + ",".join(f"{v}:boolean" for v in VOTES) + ",size:int>>"
+_BEFORE = 24  # characters before a candidate that labellers see
+_BLOCK = 4096  # characters of a block when texts are cut
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or maxima) of whole numbers, none below zero, by doubling: n log n."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda w: w < F.size(values))
+
+    def double(acc: Column, width: Column) -> Column:
+        moved = F.slice(F.concat(F.array_repeat(F.lit(0), width), acc), 1, F.size(acc))
+        return F.zip_with(acc, moved, join)
+
+    return F.aggregate(steps, values, double)
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """(gap before, match, gap after) of each leftmost non-overlapping match."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+
+    def cut(both: Column) -> Column:
+        return F.transform(
+            both["found"],
+            lambda m, i: F.struct(F.get(both["gaps"], i).alias("gap"), m.alias("m"), F.get(both["gaps"], i + 1).alias("after")),
+        )
+
+    return _let(F.struct(gaps.alias("gaps"), found.alias("found")), cut)
+
+
+def _placed(parts: Column, shown: Callable[[Column, Column], Column]) -> Column:
+    """``shown`` of each part and its end in code points."""
+
+    def with_ends(steps: Column) -> Column:
+        lengths = F.transform(steps, lambda s: F.length(s["gap"]) + F.length(s["m"]))
+        return F.zip_with(steps, _let(lengths, lambda x: _running(x, lambda a, b: a + b)), shown)
+
+    return _let(parts, with_ends)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with code-point bounds."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    steps = F.zip_with(
-        F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(1))), found,
-        lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("m")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        a = acc["at"] + s["gap"]
-        span = F.struct(a.alias("start"), (a + s["n"]).alias("end"), s["m"].alias("m"))
-        return F.struct((a + s["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(s: Column, end: Column) -> Column:
+        return F.struct((end - F.length(s["m"])).alias("start"), end.alias("end"), s["m"].alias("m"))
 
-    whole = F.filter(steps, lambda s: s["m"].isNotNull())
-    return F.aggregate(whole, start, add, lambda acc: acc["out"])
+    return _placed(_parts(text, pattern), span)
 
 
 def _digits(m: Column) -> Column:
@@ -85,25 +203,29 @@ def _spans_of(text: Column, kind: str) -> Column:
     return F.filter(found, lambda s: _valid(kind, s["m"]))
 
 
-def _candidates(text: Column) -> Column:
-    """Mixed runs with their votes and length class."""
-    found = F.when(text.rlike("[A-Za-z0-9]{16}"), _matches(text, _CANDIDATE_PATTERN)).otherwise(F.array().cast(_SPANS))
-    mixed = F.filter(found, lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]"))
-
-    def voted(s: Column) -> Column:
-        at = F.greatest(s["start"] - 24, F.lit(0))
-        before = F.substr(text, at + 1, s["start"] - at)
-        next_ = F.substr(text, s["end"] + 1, F.lit(1))
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"),
-            s["m"].rlike(r"(?i)^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?:sk|pk|ghp)[A-Za-z0-9]{16,})$").alias("shape"),
-            before.rlike(_CONTEXT_WORDS).alias("gazetteer"),
-            (before.rlike("[\"'=:]\\s*$") | next_.isin('"', "'")).alias("context"),
-            (F.length(F.regexp_replace(s["m"], "[A-Za-z]", "")) * 4 >= F.length(s["m"])).alias("mix"),
-            F.when(s["end"] - s["start"] < 24, 0).when(s["end"] - s["start"] < 48, 1).otherwise(2).alias("size"),
+def _candidates(text: Column, kind: str) -> Column:
+    """Candidates of a kind with their votes and length class."""
+    c = CANDIDATES[kind]
+
+    def voted(s: Column, end: Column) -> Column:
+        before, n = F.substring(s["gap"], -_BEFORE, _BEFORE), F.length(s["m"])
+        kept = F.lit(True)
+        for k in c.keep:
+            kept = kept & s["m"].rlike(k)
+        return F.when(
+            kept,
+            F.struct(
+                (end - n).alias("start"), end.alias("end"),
+                s["m"].rlike(c.shape).alias("shape"),
+                before.rlike(c.words).alias("gazetteer"),
+                (before.rlike("[\"'=:]\\s*$") | F.substring(s["after"], 1, 1).isin('"', "'")).alias("context"),
+                (s["m"].rlike(c.mix) & (F.length(_digits(s["m"])) >= n * c.digit_share)).alias("mix"),
+                F.when(n < 24, 0).when(n < 48, 1).otherwise(2).alias("size"),
+            ),
         )
 
-    return F.transform(mixed, voted)
+    found = F.filter(_placed(_parts(text, c.pattern), voted), lambda s: s.isNotNull())
+    return F.when(text.rlike(c.need), found).otherwise(F.array().cast(_FOUND))
 
 
 def estimate(counts: dict[tuple[bool, ...], int], rounds: int = 60) -> tuple[dict[tuple[bool, ...], float], list[tuple[float, float]]]:
@@ -146,58 +268,71 @@ def _logistic(rows: list[tuple[tuple[float, ...], float, float]], rounds: int =
     return weights
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> list[float] | None:
-    """Weights of the span classifier from all candidates of ``docs``; None without any.
+def learn(docs: DataFrame, text_col: str = "text") -> dict[str, list[float]]:
+    """Weights of the span classifier of each kind that has candidates in ``docs``.
 
-    Only counts by votes and length class, 48 at most, come to the driver.
+    Only counts by kind, votes and length class, 288 at most, come to the driver.
     """
-    found = docs.select(F.explode(_candidates(F.coalesce(F.col(text_col), F.lit("")))).alias("c"))
-    rows = found.groupBy(*[F.col(f"c.{v}").alias(v) for v in VOTES], F.col("c.size").alias("size")).count().collect()
-    if not rows:
-        return None
-    counts: dict[tuple[bool, ...], int] = {}
-    for r in rows:
-        key = tuple(bool(r[v]) for v in VOTES)
-        counts[key] = counts.get(key, 0) + r["count"]
-    post, _ = estimate(counts)
-    return _logistic([
-        ((*(float(bool(r[v])) for v in VOTES), float(r["size"])), float(r["count"]), post[tuple(bool(r[v]) for v in VOTES)]) for r in rows
-    ])
-
-
-def accepted(weights: list[float]) -> list[tuple[tuple[bool, ...], int]]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    every = [F.transform(_candidates(text, kind), _kept_votes(kind)) for kind in ADDED]
+    found = docs.select(F.explode(F.concat(*every)).alias("c"))
+    rows = found.groupBy(*[F.col(f"c.{v}").alias(v) for v in ("kind", *VOTES, "size")]).count().collect()
+    weights = {}
+    for kind in ADDED:
+        own = sorted((tuple(bool(r[v]) for v in VOTES), r["size"], r["count"]) for r in rows if r["kind"] == kind)
+        if not own:
+            continue
+        counts: dict[tuple[bool, ...], int] = {}
+        for votes, _, n in own:
+            counts[votes] = counts.get(votes, 0) + n
+        post, _ = estimate(counts)
+        weights[kind] = _logistic([((*map(float, votes), float(size)), float(n), post[votes]) for votes, size, n in own])
+    return weights
+
+
+def _kept_votes(kind: str) -> Callable[[Column], Column]:
+    return lambda s: F.struct(F.lit(kind).alias("kind"), *[s[v].alias(v) for v in VOTES], s["size"].alias("size"))
+
+
+def accepted(kind: str, weights: list[float]) -> list[tuple[tuple[bool, ...], int]]:
     """Votes and length classes that the classifier takes for personal data."""
     return [
         (votes, size)
         for votes in product((False, True), repeat=len(VOTES))
         for size in range(3)
-        if sum(w * x for w, x in zip(weights, (*map(float, votes), float(size), 1.0))) > 0
+        if sum(votes) >= CANDIDATES[kind].least_votes
+        and sum(w * x for w, x in zip(weights, (*map(float, votes), float(size), 1.0))) > 0
     ]
 
 
-def spans(text: Column, weights: list[float] | None) -> dict[str, Column]:
-    """Arrays of (start, end, ...) by kind; the kinds in their fixed order, then the added one."""
+def spans(text: Column, weights: dict[str, list[float]]) -> dict[str, Column]:
+    """Arrays of (start, end, ...) by kind; the kinds in their fixed order, then the added ones."""
     out = {kind: _spans_of(text, kind) for kind in KINDS}
-    if weights is None:
-        out[CANDIDATE] = F.array().cast(_SPANS)
-    else:
+    for kind in ADDED:
+        codes = [sum(v << k for k, v in enumerate((*votes, size))) for votes, size in accepted(kind, weights[kind])] if kind in weights else []
+        if not codes:
+            out[kind] = F.array().cast(_FOUND)
+            continue
+        out[kind] = F.filter(_candidates(text, kind), _has_code(codes))
+    return out
 
-        def score(s: Column) -> Column:
-            z = F.lit(weights[-1]) + F.lit(weights[-2]) * s["size"]
-            for w, v in zip(weights, VOTES):
-                z = z + F.when(s[v], F.lit(w)).otherwise(F.lit(0.0))
-            return z
 
-        out[CANDIDATE] = F.filter(_candidates(text), lambda s: score(s) > 0)
-    return out
+def _has_code(codes: list[int]) -> Callable[[Column], Column]:
+    def test(s: Column) -> Column:
+        code = F.lit(0)
+        for k, v in enumerate((*VOTES, "size")):
+            code = code + s[v].cast("int") * (1 << k)
+        return code.isin(*codes)
+
+    return test
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, email, ip, card, phone, secret): spans by kind per row of ``docs``.
+    """(id, email, ip, card, phone, secret, ...): spans by kind per row of ``docs``.
 
     Bounds are code points, the end exclusive. Null texts are empty and hold nothing; null
-    ids and repeated rows stay; extra columns are not read. Without candidates nothing is
-    learnt and only base spans are found.
+    ids and repeated rows stay; extra columns are not read. A kind without candidates is not
+    learnt and adds no spans.
     """
     weights = learn(docs, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -210,20 +345,31 @@ def masked(text: Column, found: dict[str, Column]) -> Column:
     def tag(kind: str):
         return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind}>").alias("tag"))
 
-    tagged = [F.transform(s, tag(kind)) for kind, s in found.items()]
-    every = F.array_sort(F.concat(*tagged))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    every = F.array_sort(F.concat(*[F.transform(s, tag(kind)) for kind, s in found.items()]))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}+"), 0)
+
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        """Code points from ``start`` to ``end``, from the blocks that hold them."""
+        first = F.floor(start / _BLOCK).cast("int")
+        held = F.transform(F.sequence(first, F.floor((end - 1) / _BLOCK).cast("int")), lambda b: F.get(blocks, b))
+        return F.when(end > start, F.substr(F.array_join(held, ""), start - first * _BLOCK + 1, end - start)).otherwise("")
+
+    def join(given: Column) -> Column:
+        tagged, blocks, reach = given["spans"], given["blocks"], given["reach"]
+
+        def part(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+            return F.when(s["start"] >= at, F.concat(cut(blocks, at, s["start"]), s["tag"])).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["tag"])
-        moved = F.struct(s["end"].alias("at"), F.concat(acc["parts"], more).alias("parts"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))
-        return F.when(s["start"] >= acc["at"], moved).otherwise(inside)
+        last = F.get(reach, F.size(reach) - 1)
+        return F.concat(F.array_join(F.transform(tagged, part), ""), cut(blocks, last, F.length(text)))
 
-    def end(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1, F.length(text)))
+    def with_reach(tagged: Column) -> Column:
+        reach = _let(F.transform(tagged, lambda s: s["end"]), lambda x: _running(x, lambda a, b: F.greatest(a, b)))
+        given = F.struct(tagged.alias("spans"), blocks.alias("blocks"), reach.alias("reach"))
+        return F.when(F.size(tagged) == 0, text).otherwise(_let(given, join))
 
-    return F.when(F.size(every) == 0, text).otherwise(F.aggregate(every, begin, step, end))
+    return _let(every, with_reach)
 
 
 def as_text(kinds: tuple[str, ...]) -> Column:

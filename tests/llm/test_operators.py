@@ -1,6 +1,7 @@
 """Operators on small fixtures: odd rows, empty tables, hot groups, and brute force."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow.parquet as pq_file
@@ -89,6 +90,65 @@ def test_pii_finds_keys_by_votes_and_masks(spark):
     assert shown[0].startswith('é token = "<secret>" mail <email><email> now <phone>, 1.2.3.400, <card>, <ip>') and shown[99] == "ABCDEFGH12345678 nothing"
 
 
+PLANTED = {
+    "local_phone": ["phone: (415) 555-2671 now", "call 030 1234 5678 today", "Tel: 020 7946 0958.", "mobile = 415-555-2671"],
+    "grouped_id": ["IBAN: DE89 3704 0044 0532 0130 00 ok", "SSN: 219-09-9999.", "account GB29 NWBK 6016 1331 9268 19 x", "iban ES91 2100 0418 4502 0005 1332"],
+    "ipv6": ["host 2001:db8:85a3:0:0:8a2e:370:7334 up", "from fe80::1ff:fe23:4567:890a to", "server: 2001:db8::ff00:42:8329 x", "address 2001:0db8:0:0:0:0:0:1"],
+    "spelled_email": ["mail: ana (at) example (dot) org", "write joe.b [at] mail [dot] com", "contact me@", "e-mail bob at example dot com"],
+    "name": ["Dear Mrs. Maria Lopez,", "signed Dr. Thomas Brown", "contact Mr. John Smith now", "patient Ms Anna Schmidt"],
+}
+HARMLESS = [
+    "the 100 200 3000 and 2024-01-15 12:30:45, versions 1.22.333 and pages 120-125-1300 of 90 000 000",
+    "at: x; look at the dot on the map; std::vector, a::b, 10:20:30 and 1:2:3",
+    "James is here, Maria too; Don said so, Sir. The bc12-de34-ff56 part 1234-5678 is 12-12-1212",
+]
+
+
+def test_pii_finds_looser_kinds_by_votes(spark):
+    texts = [t for kind in PLANTED.values() for t in kind] * 5 + HARMLESS * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    planted = [(kind, t) for kind, all_ in PLANTED.items() for t in all_]
+    for i, (kind, t) in enumerate(planted):
+        assert len(got[i][kind]) == (0 if t.endswith("me@") else 1), (kind, t)
+    assert all(not got[i][kind] for i in range(len(planted) * 5, len(texts)) for kind in pii.ADDED)
+    card = "+1 415-555-2671, 4111 1111 1111 1111, 1.2.3.4, +44 (0) 20 7946 0958"
+    one = pii.find(spark.createDataFrame([(1, f"phone {card}")], "doc_id bigint, text string")).first()
+    assert len(one.phone) == 2 and len(one.card) == 1 and not one.local_phone and not one.grouped_id
+
+
+def test_pii_masks_like_a_plain_walk(spark):
+    rng = random.Random(5)
+    bits = ["a.b@c.de", "+1 415 555 2671", "4111 1111 1111 1111", "1.2.3.4", "é😀x" * 900, "Mr. John Smith", " ", "_x@y.z", "\n", f"key='{'0f1e2d3c' * 5}'", "+4111 1111 1111 1111"]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice([" ", "", ", "]) for _ in range(rng.randrange(0, 60)))) for i in range(60)] + [(60, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    weights = pii.learn(docs)
+    by = pii.spans(F.col("text"), weights)
+    got = docs.select("text", pii.masked(F.col("text"), by).alias("t"), *[c.alias(k) for k, c in by.items()]).collect()
+    for r in got:
+        at, out = 0, []
+        for a, b, tag in sorted((s.start, s.end, f"<{k}>") for k in by for s in r[k] or []):
+            if a >= at:
+                out += [r.text[at:a], tag]
+            at = max(at, b)
+        assert r.t == (None if r.text is None else "".join(out) + r.text[at:])
+        assert all(r.text[s.start : s.end] == s.m for k in pii.KINDS for s in r[k] or [])
+
+
+def test_pii_time_grows_with_the_spans_of_one_text(spark):
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i}.org" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        shown = docs.select(pii.masked(F.col("text"), pii.spans(F.col("text"), {})).alias("t"))
+        start = time.monotonic()
+        assert shown.first().t == " ".join(["<email>"] * n)
+        return time.monotonic() - start
+
+    seconds(1_000)
+    small, large = (min(seconds(n) for _ in range(2)) for n in (16_000, 32_000))
+    assert large <= 2.5 * small, (small, large)
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("org/", "allow"), ("Example.org/es/", "block"), ("com/de/", "block"), ("com/de/", "allow"), (None, "block"), ("/x", "block"), ("a.com/", "maybe")], "rule string, verdict string")
     given = ["http://a.EXAMPLE.org/es/1", "https://example.org/en", "x://org", "http://b.com/de/?q", "http://xcom/de/", None, "", "nothing", "http://" + "a." * 5000 + "org/"]
