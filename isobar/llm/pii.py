@@ -68,7 +68,7 @@ GIVEN_NAMES = (
 _TLD = "com|org|net|edu|gov|io|info|de|fr|es|uk|co|eu|us"
 CANDIDATES = {
     "secret": Candidate(
-        need="[A-Za-z0-9]{16}",
+        need="(?<![A-Za-z0-9])[A-Za-z0-9]{16}",
         pattern=r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+",
         keep=("[0-9]", "[A-Za-z]"),
         shape=r"(?i)^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?:sk|pk|ghp)[A-Za-z0-9]{16,})$",
@@ -87,7 +87,7 @@ CANDIDATES = {
         least_votes=3,
     ),
     "grouped_id": Candidate(
-        need="[A-Za-z0-9]{2,4}[ -][A-Za-z0-9]{2,4}[ -][A-Za-z0-9]{4}",
+        need="[A-Z]{2}[0-9]{2}[ -]?[A-Z0-9]{4}|[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}|[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4,12}-",
         pattern=r"(?<![A-Za-z0-9-])(?:[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){3,7}+(?:[ -]?[A-Z0-9]{1,3}+)?|[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}|[0-9A-Fa-f]{4,8}+(?:-[0-9A-Fa-f]{4,12}+){3,4}+)(?![A-Za-z0-9-])",
         keep=("[0-9]",),
         shape=r"^(?:[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){3,7}(?:[ -]?[A-Z0-9]{1,3})?|(?!000|666|9)[0-9]{3}-[0-9]{2}-[0-9]{4})$",
@@ -96,7 +96,7 @@ CANDIDATES = {
         least_votes=3,
     ),
     "ipv6": Candidate(
-        need="[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]{0,5}:",
+        need=":[0-9A-Fa-f]{0,4}:",
         pattern=r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}+(?:(?::{1,2}[0-9A-Fa-f]{1,4}+){2,7}+(?:::)?|(?::[0-9A-Fa-f]{1,4}+)?::)(?![0-9A-Za-z:])",
         keep=("[0-9]",),
         shape=r"^(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[^:]*(?::[^:]+)*::)[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){0,6}(?:::)?)$",
@@ -112,8 +112,8 @@ CANDIDATES = {
         mix=r"[\[({<]",
     ),
     "name": Candidate(
-        need=rf"\b(?:{TITLES}|{GIVEN_NAMES})\b",
-        pattern=rf"(?<![\p{{L}}0-9])(?:(?:{TITLES})\.? (?:\p{{Lu}}\p{{Ll}}++ )?|(?:{GIVEN_NAMES}) (?:\p{{Lu}}\. )?)\p{{Lu}}\p{{Ll}}++(?![\p{{L}}0-9])",
+        need=rf"(?<![\p{{L}}0-9])(?=\p{{Lu}})(?:{TITLES}|{GIVEN_NAMES})(?:\.| )",
+        pattern=rf"(?<![\p{{L}}0-9])(?=\p{{Lu}})(?:(?:{TITLES})\.? (?:\p{{Lu}}\p{{Ll}}++ )?|(?:{GIVEN_NAMES}) (?:\p{{Lu}}\. )?)\p{{Lu}}\p{{Ll}}++(?![\p{{L}}0-9])",
         keep=(),
         shape=rf"^(?:{TITLES})\b",
         words=r"(?i)\b(?:name|contact|signed|dear|by|regards|patient|customer|employee|attn|sincerely|from)\b",
