@@ -3,6 +3,8 @@
 All that a fit needs are sums of products per (cluster, factor level). One grouped
 aggregate over the facts makes that table; coefficients, residual sums and the
 cluster scores are arithmetic on it, and the driver only solves a k x k system.
+A factor with many levels is absorbed: sums are centred within levels, still on that table,
+and its levels never reach the driver.
 """
 
 from __future__ import annotations
@@ -19,12 +21,17 @@ from isobar.operators.moments import gram
 from isobar.operators.ordered import present
 
 _Z95 = 1.959963984540054
-MAX_LEVELS = 1000
+#: A factor with more levels is absorbed, so that its levels are no terms of the model.
+LISTED_LEVELS = 1000
 
 
 @dataclass(frozen=True)
 class Fit:
-    """A fitted model; all arrays have one entry per term."""
+    """A fitted model; all arrays have one entry per term.
+
+    An absorbed factor has no terms and there is no intercept; ``effects`` then holds
+    (factor, effect), one row per level.
+    """
 
     outcome: str
     x: tuple[str, ...]
@@ -37,6 +44,7 @@ class Fit:
     clusters: int
     r_squared: float
     adj_r_squared: float
+    effects: DataFrame | None = None
 
     def rows(self) -> list[tuple]:
         out = []
@@ -52,8 +60,16 @@ class Fit:
         return spark.createDataFrame(self.rows(), schema).coalesce(1)
 
     def predict(self, df: DataFrame, name: str = "fitted") -> DataFrame:
-        """Append the fitted value as a column expression."""
+        """Append the fitted value; null where an absorbed factor has a new level or none."""
         by_term = dict(zip(self.terms, map(float, self.coef)))
+        if self.effects is not None:
+            # Renamed, so that no column of df clashes in the join.
+            effects = self.effects.toDF("__level", "__effect")
+            out = F.col("__effect")
+            for c in self.x:
+                out = out + F.lit(by_term[c]) * F.col(c)
+            joined = df.join(effects, F.col(self.factor) == F.col("__level"), "left")
+            return joined.withColumn(name, out).drop("__level", "__effect")
         out = F.lit(by_term["Intercept"])
         for c in self.x:
             out = out + F.lit(by_term[c]) * F.col(c)
@@ -157,9 +173,9 @@ def _solve(cells: Cells, kept: DataFrame, x: tuple[str, ...], factor: str | None
     names = ["n", *[f"s{i}" for i in at_col], *{_q(i, j) for i in at_col for j in at_col}]
     grouped = kept.groupBy(factor) if factor else kept.groupBy()
     by_level = grouped.agg(*[F.sum(c).alias(c) for c in names])
-    blocks = by_level.limit(MAX_LEVELS + 1).collect()
-    if len(blocks) > MAX_LEVELS:
-        raise ValueError(f"{factor} has more than {MAX_LEVELS} levels")
+    blocks = by_level.limit(LISTED_LEVELS + 1).collect()
+    if len(blocks) > LISTED_LEVELS:
+        return _absorb(cells, kept, x, factor)
     blocks = sorted(blocks, key=lambda r: r[0])
     levels = tuple(r[0] for r in blocks) if factor else ()
     dummies = levels[1:]
@@ -216,6 +232,72 @@ def _solve(cells: Cells, kept: DataFrame, x: tuple[str, ...], factor: str | None
     )
 
 
+def _absorb(cells: Cells, kept: DataFrame, x: tuple[str, ...], factor: str) -> Fit:
+    """The same model with the factor's levels eliminated instead of listed.
+
+    Slopes and their clustered errors equal those of the model with a dummy per level: each
+    column is centred within its level. Only sums over all levels come to the driver.
+    """
+    at_col = [cells.x.index(c) for c in x] + [len(cells.x)]
+    pairs = sorted({(min(i, j), max(i, j)) for i in at_col for j in at_col})
+    y = at_col[-1]
+    levels = kept.groupBy(factor).agg(
+        *[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in at_col], *[_q(*ij) for ij in pairs])]
+    )
+    within = [F.sum(F.col(_q(i, j)) - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")).alias(_q(i, j)) for i, j in pairs]
+    whole = [F.sum(c).alias(f"all_{c}") for c in ("n", f"s{y}", _q(y, y))]
+    r = levels.agg(*within, *whole, F.count("*").alias("levels"), *[F.sum(_q(i, i)).alias(f"raw{i}") for i in at_col]).first()
+    w = np.array([[r[_q(i, j)] for j in at_col] for i in at_col])
+    for c, i, left in zip(x, at_col, np.diag(w)):
+        if left <= 1e-10 * r[f"raw{i}"]:
+            raise ValueError(f"{c} does not vary within the levels of {factor}")
+    bread = np.linalg.inv(w[:-1, :-1])
+    beta = bread @ w[:-1, -1]
+    rss = float(w[-1, -1] - beta @ w[:-1, -1])
+    total = r["all_n"]
+    tss = float(r[f"all_q{y}_{y}"] - r[f"all_s{y}"] ** 2 / total)
+
+    # Products of a cell about the means of its level, then of the residual with each column.
+    means = levels.select(F.col(factor).alias("__level"), *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in at_col])
+    cell = kept.join(means, F.col(factor) == F.col("__level"))
+
+    def centred(i: int, j: int):
+        a, b = F.col(f"m{i}"), F.col(f"m{j}")
+        return F.col(_q(i, j)) - a * F.col(f"s{j}") - b * F.col(f"s{i}") + F.col("n") * a * b
+
+    scores = []
+    for k, i in enumerate(at_col[:-1]):
+        e = centred(i, y)
+        for j, b in zip(at_col[:-1], beta):
+            e = e - F.lit(float(b)) * centred(i, j)
+        scores.append(F.sum(e).alias(f"e{k}"))
+    nx = len(x)
+    by_cluster = cell.groupBy(cells.cluster).agg(*scores).withColumn("one", F.lit(1.0))
+    products = gram(by_cluster, [*[f"e{k}" for k in range(nx)], "one"])
+    clusters, meat = int(round(products[nx, nx])), products[:nx, :nx]
+    p = nx + r["levels"]
+    scale = clusters / max(clusters - 1, 1) * (total - 1) / (total - p) if total > p else float("nan")
+
+    effect = F.col(f"m{y}") + F.lit(cells.origin[y])
+    for i, b in zip(at_col[:-1], beta):
+        effect = effect - F.lit(float(b)) * (F.col(f"m{i}") + F.lit(cells.origin[i]))
+    r2 = 1.0 - rss / tss if tss > 0 else float("nan")
+    return Fit(
+        outcome=cells.y,
+        x=x,
+        factor=factor,
+        levels=(),
+        terms=x,
+        coef=beta,
+        covariance=scale * bread @ meat @ bread,
+        n=int(round(total)),
+        clusters=clusters,
+        r_squared=r2,
+        adj_r_squared=1.0 - (1.0 - r2) * (total - 1) / (total - p) if total > p else float("nan"),
+        effects=means.select(F.col("__level").alias(factor), effect.alias("effect")),
+    )
+
+
 def _cluster_scores(
     cells: DataFrame, cluster: str, factor: str | None, levels: tuple, beta: np.ndarray, at_col: list[int]
 ) -> DataFrame:

@@ -311,6 +311,35 @@ def ols_one_regressor(spark, sf_dir):
     return rounded(fit.table(spark).select("term", "coef", "std_err"), "coef", "std_err", digits=8)
 
 
+@query(
+    "ols_absorbed",
+    "C16 C17 C18",
+    with_views(
+        """SELECT round(b, 8) + 0.0 AS coef, round(sqrt(g / (g - 1.0) * (n - 1) / (n - 1 - days) * v), 8) + 0.0 AS std_err,
+                  round(1 - rss / tss, 8) + 0.0 AS r_squared, n, days
+           FROM (SELECT max(b) AS b, count(*) AS g, max(n) AS n, max(days) AS days, sum(pow(score / sxx, 2)) AS v, sum(rss) AS rss, max(tss) AS tss
+                 FROM (SELECT station_id, max(b) AS b, max(n) AS n, max(days) AS days, max(sxx) AS sxx, max(tss) AS tss,
+                              sum(dx * (dy - b * dx)) AS score, sum(pow(dy - b * dx, 2)) AS rss
+                       FROM d, f GROUP BY station_id))""",
+        _PLACED
+        + """, d AS (SELECT station_id, temperature, CAST(ts AS DATE) AS day,
+               temperature - avg(temperature) OVER (PARTITION BY CAST(ts AS DATE)) AS dy,
+               elevation_m - avg(elevation_m) OVER (PARTITION BY CAST(ts AS DATE)) AS dx
+               FROM p WHERE temperature IS NOT NULL AND elevation_m IS NOT NULL AND ts IS NOT NULL),
+             f AS (SELECT sum(dx * dy) / sum(dx * dx) AS b, sum(dx * dx) AS sxx, count(*) AS n,
+               count(DISTINCT day) AS days, var_pop(temperature) * count(*) AS tss FROM d)""",
+    ),
+)
+def ols_absorbed(spark, sf_dir):
+    """Elevation with one effect per calendar day, thousands of them, clustered by station."""
+    df = placed(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    fit = regression.fit_clustered(df, "temperature", ["elevation_m"], "station_id", "day")
+    row = fit.table(spark).select("coef", "std_err")
+    row = row.withColumns({"r_squared": F.lit(fit.r_squared), "n": F.lit(fit.n).cast("bigint")})
+    days = fit.effects.agg(F.count("*").alias("days"))
+    return rounded(row.withColumn("days", F.lit(days.first()[0]).cast("bigint")), "coef", "std_err", "r_squared", digits=8)
+
+
 @query("ols_cluster", "C16 C17")
 def ols_cluster(spark, sf_dir):
     """Elevation, latitude, longitude, month dummies and year, clustered by station."""

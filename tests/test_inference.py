@@ -124,6 +124,35 @@ def test_clustered_model_with_factor(spark):
     assert np.allclose(fitted, order)
 
 
+def test_absorbed_factor_equals_a_dummy_per_level(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 1500
+    g, m = rng.integers(0, 15, n), rng.integers(0, 40, n)
+    x, z = rng.normal(size=n) + m, rng.normal(size=n) * 5 + 2000
+    y = 3 + 0.5 * x - 0.2 * z + np.sin(m) * 4 + rng.normal(size=15)[g] + rng.normal(size=n)
+    df = frame(spark, pd.DataFrame({"g": g, "m": m, "x": x, "z": z, "y": y}))
+    specs = {"both": (("x", "z"), "m"), "one": (("z",), "m")}
+    listed = regression.fit_nested(df, "y", specs, "g")
+    monkeypatch.setattr(regression, "LISTED_LEVELS", 39)
+    absorbed = regression.fit_nested(df, "y", specs, "g")
+    for label, (xs, _) in specs.items():
+        a, b = absorbed[label], listed[label]
+        k = len(xs)
+        assert a.terms == xs and b.terms[-k:] == xs and a.effects.count() == 40
+        assert np.allclose(a.coef, b.coef[-k:], rtol=1e-8)
+        assert np.allclose(a.covariance, b.covariance[-k:, -k:], rtol=1e-7)
+        assert (a.n, a.clusters) == (b.n, b.clusters)
+        assert math.isclose(a.r_squared, b.r_squared, rel_tol=1e-9) and math.isclose(a.adj_r_squared, b.adj_r_squared, rel_tol=1e-9)
+        order = ["g", "m", "x", "z", "y"]
+        one, two = ([r.fitted for r in f.predict(df).orderBy(*order).collect()] for f in (a, b))
+        assert np.allclose(one, two)
+    new = spark.createDataFrame([(99, 1.0, 2.0), (None, 1.0, 2.0)], "m bigint, x double, z double")
+    assert [r.fitted for r in absorbed["both"].predict(new).collect()] == [None, None]
+    flat = df.withColumn("x", F.col("m") * 2.0)
+    with pytest.raises(ValueError, match="does not vary"):
+        regression.fit_clustered(flat, "y", ["x"], "g", "m")
+
+
 @pytest.mark.parametrize("offset", [0.0, 1e6, 1e9])
 def test_correlations_do_not_depend_on_an_offset(spark, offset):
     rng = np.random.default_rng(2)
