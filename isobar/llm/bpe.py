@@ -12,16 +12,18 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DataType, StructType
 
-from isobar.llm.common import arrow_schema, text_slices, worker_store
+from isobar.llm.common import arrow_schema, text_slices, with_id, worker_store
 
-#: Encoded pieces that one worker remembers; speed only.
-CACHE_PIECES = 400_000
+#: What one worker remembers between slices, each of two caches: pieces of at most so many
+#: characters, and so many characters in all. Longer pieces are encoded anew; speed only.
+CACHE_PIECE, CACHE_CHARS = 64, 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -164,6 +166,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.pre_tokens: dict[str, list[int]] = {}
         self.chunks: dict[str, list[int]] = {}
+        self.held = [0, 0]  # characters in each of the two
 
     def _pieces(self, text: str) -> list[str]:
         if not text:
@@ -190,20 +193,28 @@ class Codec:
             self.chunks[chunk] = known[parts[0]] if len(parts) == 1 else list(chain.from_iterable([known[p] for p in parts]))
 
     @staticmethod
-    def _trim(cache: dict[str, list[int]]) -> None:
-        """Keep the pieces seen first, among them the frequent ones."""
-        while len(cache) > CACHE_PIECES:
-            cache.popitem()
+    def _trim(cache: dict[str, list[int]], before: int, held: int) -> int:
+        """Forget long pieces and those beyond the bound; the characters held now.
+
+        ``before`` pieces of ``held`` characters were kept by the last call. Pieces seen
+        first stay, among them the frequent ones.
+        """
+        for piece in list(islice(cache, before, None)):
+            if len(piece) > CACHE_PIECE or held + len(piece) > CACHE_CHARS:
+                del cache[piece]
+            else:
+                held += len(piece)
+        return held
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text. The texts are held together: give bounded slices."""
         cut = [self._pieces(t or "") for t in texts]
+        sizes = len(self.pre_tokens), len(self.chunks)
         if missing := set(chain.from_iterable(cut)).difference(self.chunks):
             self._learn(missing)
         get = self.chunks.__getitem__
         out = [list(chain.from_iterable(map(get, pieces))) for pieces in cut]
-        self._trim(self.pre_tokens)
-        self._trim(self.chunks)
+        self.held = [self._trim(c, n, h) for c, n, h in zip((self.pre_tokens, self.chunks), sizes, self.held)]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -225,7 +236,7 @@ def codec(path: str, pattern: str) -> Codec:
     return store[key]
 
 
-def _mapped(df: DataFrame, schema: str, rows: Callable[[Codec, list], list[tuple]], path: str, pattern: str) -> DataFrame:
+def _mapped(df: DataFrame, schema: StructType, rows: Callable[[Codec, list], list[tuple]], path: str, pattern: str) -> DataFrame:
     want = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +252,8 @@ def _mapped(df: DataFrame, schema: str, rows: Callable[[Codec, list], list[tuple
     return df.mapInArrow(sliced, schema)
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f"id {df.schema[id_col].dataType.simpleString()}"
+def _texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataType]:
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), df.schema[id_col].dataType
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
@@ -257,14 +268,13 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -
     def work(own: Codec, texts: list[str | None]) -> list[tuple]:
         return [(len(ids), ids, hashlib.sha256(own.decode(ids)).hexdigest()) for ids in own.encode_all(texts)]
 
-    return _mapped(rows, f"{kind}, n_tokens bigint, ids array<int>, decoded_sha256 string", work, path, pattern).withColumnRenamed("id", id_col)
+    return _mapped(rows, with_id(kind, "n_tokens bigint, ids array<int>, decoded_sha256 string"), work, path, pattern).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, path: str, pattern: str) -> DataFrame:
     """(id, decoded binary) of ids made by ``encode``; null ids give empty bytes."""
-    kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    schema = f"id {kind}, decoded binary"
+    schema = with_id(df.schema[id_col].dataType, "decoded binary")
     want = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,5 +289,5 @@ def decode(df: DataFrame, id_col: str, ids_col: str, path: str, pattern: str) ->
 def round_trip(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of ``encode`` and ``decode`` in one pass."""
     rows, kind = _texts(df, id_col, text_col)
-    schema = f"{kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = with_id(kind, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return _mapped(rows, schema, lambda own, texts: [own.digests(ids) for ids in own.encode_all(texts)], path, pattern).withColumnRenamed("id", id_col)

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 from isobar.session import scratch_path
 
@@ -54,6 +54,16 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
+def with_id(kind: DataType, rest: str) -> StructType:
+    """Schema of a column ``id`` of any type, whatever its inner names, before those of ``rest``."""
+    return StructType([StructField("id", kind), *StructType.fromDDL(rest).fields])
+
+
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` and ``select`` take it, dots and marks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
