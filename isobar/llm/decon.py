@@ -4,23 +4,28 @@ A window is ten consecutive words of a benchmark item (a shorter item is one win
 five-word shingles are put in order of rarity; a text that holds the window holds its
 rarest shingle, so only that necessary prefix is looked up. A hit fixes where the window
 would start; starts outside the text are bounded away, and the words in between are
-compared one by one. The benchmark is cut into blocks of bounded size; each block is one
-more pass inside the same scan of the texts, so its size never has to fit at once.
+compared one by one. A benchmark up to a checked size is an index that every task holds;
+beyond, shingles of the texts and the windows' rarest ones meet in a shuffle join, so its
+size never has to fit at once, on the driver or in a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from isobar.llm.common import arrow_schema, text_slices, worker_store
+from isobar.llm.common import arrow_schema, stored, text_slices, with_id, worker_store
+from isobar.operators.joins import hot_shares, salted_join, sized_join
 
 WINDOW, SHINGLE = 10, 5
-BLOCK_WORDS = 1_000_000  # benchmark words in one broadcast index, some 60 MB
+#: Largest benchmark, in words and bytes, that is one broadcast index of some 60 MB.
+BLOCK_WORDS, BLOCK_BYTES = 1_000_000, 16 << 20
 _SEGMENT = 2_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
@@ -37,7 +42,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def _segments(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Items cut into overlapping runs of words that hold the same windows."""
-    schema = "item string, words array<binary>, n int"
+    schema = "item string, words array<binary>, n int, size bigint"
     want = arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +51,7 @@ def _segments(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words = words_of(text)
                 rows = [words[a : a + _SEGMENT + WINDOW - 1] for a in range(0, max(len(words) - WINDOW + 1, min(len(words), 1)), _SEGMENT)]
                 if rows:
-                    yield pa.RecordBatch.from_pylist([{"item": item, "words": r, "n": len(r)} for r in rows], schema=want)
+                    yield pa.RecordBatch.from_pylist([{"item": item, "words": r, "n": len(r), "size": sum(map(len, r))} for r in rows], schema=want)
 
     return benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(cut, schema)
 
@@ -60,7 +65,7 @@ def _codes(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 
 
 class WindowIndex:
-    """Windows of one benchmark block under their rarest shingles."""
+    """Windows of a benchmark under their rarest shingles."""
 
     def __init__(self, segments: list[tuple[str | None, list[bytes]]]):
         self.vocab: dict[bytes, int] = {}
@@ -165,55 +170,161 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _row_digest(text: str | None) -> str:
+    return hashlib.md5((text or "").encode()).hexdigest()
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word; equal words are hashed once."""
+    of = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    return np.array([of[w] for w in words], np.uint64)
+
+
+def _windows(segments: DataFrame) -> DataFrame:
+    """(wid, item, size, words, codes) of every window; ``codes`` are those of its shingles."""
+    schema = "wid string, item string, size int, words array<binary>, codes array<bigint>"
+    want = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size = min(WINDOW, len(words))
+                k = min(SHINGLE, size)
+                codes = _codes(_hashes(words), np.arange(len(words) - k + 1), k).view(np.int64)
+                rows = []
+                for a in range(len(words) - size + 1):
+                    own = words[a : a + size]
+                    wid = hashlib.md5(b" ".join(own)).hexdigest()
+                    rows.append({"wid": wid, "item": item, "size": size, "words": own, "codes": codes[a : a + size - k + 1].tolist()})
+                yield pa.RecordBatch.from_pylist(rows, schema=want)
+
+    return segments.select("item", "words").mapInArrow(run, schema)
+
+
+def _prefixes(wins: DataFrame) -> DataFrame:
+    """(code, at, wid, size, words): every window under its rarest shingle, ties to the least code."""
+    each = wins.select("wid", F.posexplode("codes").alias("at", "code"))
+    rarity = each.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    ranked = sized_join(each, rarity, "code", "inner").groupBy("wid").agg(F.min(F.struct("n", "code", "at")).alias("p"))
+    return ranked.join(wins.select("wid", "size", "words"), "wid").select("p.code", "p.at", "wid", "size", "words")
+
+
+def _code_filter(prefix: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the codes' leading digits, 2^27 at most: when full it prunes less."""
+    bits = int(np.clip(np.ceil(np.log2(8 * max(prefix.count(), 1))), _FILTER_BITS, 27))
+    place = F.shiftrightunsigned("code", 64 - bits)
+    cells = prefix.select(F.shiftright(place, 6).alias("cell"), (place % 64).cast("int").alias("bit"))
+    found = cells.groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("word")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found["cell"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
+    return words, bits
+
+
+def _find_dealt(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """The join for a benchmark of any size: shingles of texts and windows meet in a shuffle.
+
+    Texts send only the shingles that pass a bit filter of the prefixes, each with the words
+    around it, so a window is verified where they meet. Equal texts send them once.
+    """
+    spark = rows.sparkSession
+    windows = stored(_windows(segments), "windows")
+    prefix = stored(_prefixes(windows.drop("item").dropDuplicates(["wid"])), "prefixes")
+    owners = windows.where("item is not null").select("wid", "item").distinct()
+    lengths = sorted(r[0] for r in prefix.select(F.least("size", F.lit(SHINGLE))).distinct().collect())
+    sent = spark.sparkContext.broadcast(_code_filter(prefix))
+
+    counted_as = with_id(rows.schema["id"].dataType, "n_words bigint, digest string")
+    counted_want = arrow_schema(counted_as)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, 1):
+            texts = part.column(1).to_pylist()
+            cols = [pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array([_row_digest(t) for t in texts])]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols], schema=counted_want)
+
+    near_as = "digest string, code bigint, place bigint, lead int, run array<binary>"
+    near_want = arrow_schema(near_as)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe, bits = sent.value
+        for part in text_slices(batches, 0):
+            for text in part.column(0).to_pylist():
+                words = words_of(text)
+                ids = _hashes(words)
+                for k in lengths:
+                    if len(words) < k:
+                        break
+                    codes = _codes(ids, np.arange(len(words) - k + 1), k)
+                    at = codes >> np.uint64(64 - bits)
+                    hit = np.flatnonzero(maybe[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                    for lo in range(0, len(hit), 4096):
+                        some = hit[lo : lo + 4096]
+                        lead = np.minimum(some, WINDOW - 1)
+                        runs = [words[p - b : p + WINDOW] for p, b in zip(some.tolist(), lead.tolist())]
+                        cols = [[_row_digest(text)] * len(some), codes[some].view(np.int64), some, lead, runs]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, near_want)], schema=near_want)
+
+    counted = stored(rows.mapInArrow(count, counted_as), "counted")
+    sought = stored(rows.select("text").mapInArrow(near, near_as).distinct(), "near")
+    met = salted_join(sought, prefix, "code", hot_shares(sought, "code"), "inner").where("lead >= at")
+    same = F.slice("run", F.greatest(F.col("lead") - F.col("at") + 1, F.lit(1)), F.col("size")) == F.col("words")
+    begin = F.col("place") - F.col("at")
+    found = stored(met.where(same).select("digest", "wid", begin.cast("int").alias("start"), (begin + F.col("size")).cast("int").alias("end")).distinct(), "found")
+
+    spans_as = "digest string, spans array<struct<start:int,end:int>>"
+    spans_want = arrow_schema(spans_as)
+
+    def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                whole = [{"start": a, "end": b} for a, b in _joined([(x["start"], x["end"]) for x in spans])]
+                yield pa.RecordBatch.from_pylist([{"digest": digest, "spans": whole}], schema=spans_want)
+
+    spans = found.groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(join_spans, spans_as)
+    held = stored(found.select("digest", "wid").distinct(), "held")
+    named = salted_join(held, owners, "wid", hot_shares(held, "wid"), "inner")
+    items = named.groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = spans.join(items, "digest", "left")
+    whole = salted_join(counted, hits, "digest", hot_shares(counted, "digest"), "left")
+    none = "cast(array() as {})".format
+    return whole.select(
+        "id", "n_words", F.coalesce("spans", F.expr(none("array<struct<start:int,end:int>>"))).alias("spans"),
+        F.coalesce("items", F.expr(none("array<string>"))).alias("items"),
+    )
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, spans, items) per row of ``docs``: hit word spans and occurring items.
 
     Null texts have no words; null and empty items hold no window. Rows with a null or
     repeated id stay rows of their own. An item with a null id hits words but is not named
-    among ``items``; items that share an id count once. Extra columns are not read.
+    among ``items``; items that share an id count once. Extra columns are not read. A
+    benchmark beyond ``BLOCK_WORDS`` words or ``BLOCK_BYTES`` is joined by a shuffle.
     """
-    spark = docs.sparkSession
     segments = _segments(benchmark, item_col, item_text_col)
-    total = segments.agg(F.sum("n")).first()[0] or 0
-    blocks = max(-(-total // BLOCK_WORDS), 1)
-    kind = docs.schema[id_col].dataType.simpleString()
-    hit = "spans array<struct<start:int,end:int>>, items array<string>"
-    carried = arrow_schema(f"id {kind}, text string, n_words bigint, {hit}")
-    schema = f"id {kind}, n_words bigint, {hit}"
-    last = arrow_schema(schema)
-
-    def scan(index, key: str, first: bool, final: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store = worker_store()
-            if store.get("decon key") != key:
-                store["decon index"], store["decon key"] = WindowIndex(index.value), key
-            own = store["decon index"]
-            for part in text_slices(batches, 1):
-                found = _hits(part.column(1).to_pylist(), own)
-                counts = [n for n, _, _ in found]
-                spans, items = [s for _, s, _ in found], [i for _, _, i in found]
-                if not first:
-                    spans = [_joined([(x["start"], x["end"]) for x in old] + new) for old, new in zip(part.column(3).to_pylist(), spans)]
-                    items = [new | set(old) for old, new in zip(part.column(4).to_pylist(), items)]
-                hits = [
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], last.field("spans").type),
-                    pa.array([sorted(i) for i in items], last.field("items").type),
-                ]
-                cols = [part.column(0)] + ([] if final else [part.column(1)]) + [pa.array(counts, pa.int64()), *hits]
-                yield pa.RecordBatch.from_arrays(cols, schema=last if final else carried)
-
-        return run
-
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for b in range(blocks):
-        block = segments.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == b) if blocks > 1 else segments
-        index = spark.sparkContext.broadcast([(r["item"], [bytes(w) for w in r["words"]]) for r in block.collect()])
-        final = b == blocks - 1
-        rows = rows.mapInArrow(
-            scan(index, uuid.uuid4().hex, b == 0, final),
-            schema if final else f"id {kind}, text string, n_words bigint, {hit}",
-        )
-    return rows.withColumnRenamed("id", id_col)
+    total = segments.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+    if (total["n"] or 0) > BLOCK_WORDS or (total["size"] or 0) > BLOCK_BYTES:
+        return _find_dealt(rows, segments).withColumnRenamed("id", id_col)
+    schema = with_id(docs.schema[id_col].dataType, "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>")
+    want = arrow_schema(schema)
+    key = uuid.uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast([(r["item"], [bytes(w) for w in r["words"]]) for r in segments.collect()])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = worker_store()
+        if store.get("decon key") != key:
+            store["decon index"], store["decon key"] = WindowIndex(sent.value), key
+        for part in text_slices(batches, 1):
+            found = _hits(part.column(1).to_pylist(), store["decon index"])
+            hits = [
+                pa.array([n for n, _, _ in found], pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], want.field("spans").type),
+                pa.array([sorted(i) for _, _, i in found], want.field("items").type),
+            ]
+            yield pa.RecordBatch.from_arrays([part.column(0), *hits], schema=want)
+
+    return rows.mapInArrow(scan, schema).withColumnRenamed("id", id_col)
 
 
 def hit_words() -> Column:
