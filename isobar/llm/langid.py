@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from isobar.llm.common import arrow_schema, text_slices
 
@@ -220,7 +221,7 @@ def predict(docs: DataFrame, model: Model, id_col: str, text_col: str, carry: di
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias(id_col), *[c.alias(n) for n, c in (carry or {}).items()])
     fields = [f for f in rows.schema.fields if f.name != "text"] if "text" != id_col else rows.schema.fields[1:]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    schema = StructType([*fields, *StructType.fromDDL("lang_pred string, score double").fields])
     want = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from isobar.llm.common import arrow_schema, stored, text_slices
+from isobar.llm.common import arrow_schema, stored, text_slices, with_id
 from isobar.llm.components import Forest, components, in_blocks
 
 SEED = 42
@@ -56,8 +56,7 @@ def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(id, fp bigint) per row; null texts have no words."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, fp bigint"
+    schema = with_id(docs.schema[id_col].dataType, "fp bigint")
     want = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

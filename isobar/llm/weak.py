@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from isobar.llm.common import arrow_schema, text_slices
+from isobar.llm.common import arrow_schema, text_slices, with_id
 
 GOOD, BAD, NONE = 1, 0, -1
 LABELLERS = ("symbols", "capitals", "tables", "repeats", "word_length", "function_words", "insults", "length")
@@ -178,8 +178,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     sample = sorted(((r["at"], r["value"], r["target"]) for r in drawn.mapInArrow(examples, schema).collect()), key=lambda r: (r[0], r[1]))
     weights = fit_linear([(np.array(a, np.int64), np.array(v)) for a, v, _ in sample], np.array([y for *_, y in sample]))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out_schema = f"id {kind}, votes array<int>, weak double, score double, keep boolean"
+    out_schema = with_id(docs.schema[id_col].dataType, "votes array<int>, weak double, score double, keep boolean")
     out_want = arrow_schema(out_schema)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,6 +54,19 @@ def test_bpe_rows(odd, none):
     assert bpe.encode(none, "doc_id", "text", PATH, PATTERN).count() == 0
 
 
+def test_bpe_memory_is_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 2_000)
+    own = bpe.Codec(bpe.read_ranks(PATH), PATTERN)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzäöß"
+    for size in (8, 40, 5_000, 8):
+        texts = [" ".join("".join(rng.choices(letters, k=size)) for _ in range(60)) for _ in range(3)]
+        assert [own.decode(ids).decode() for ids in own.encode_all(texts)] == texts
+        assert own.encode_all(texts) == own.encode_all(texts)
+        for cache, held in zip((own.pre_tokens, own.chunks), own.held):
+            assert sum(map(len, cache)) == held <= 2_000 and max(map(len, cache), default=0) <= bpe.CACHE_PIECE
+
+
 def test_bpe_merges_like_a_plain_scan():
     ranks = bpe.read_ranks(PATH)
     pairs = [ranks.get(bytes((x, y))) for x in range(256) for y in range(256)]
@@ -169,15 +182,51 @@ def test_decontamination_rows(spark, odd, none, monkeypatch):
     items = [(10, ROWS[0][1]), (11, "A"), (12, ""), (13, None), (None, "cat sat on"), (10, "sat on the mat")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = {1: (14, ["10", "11"]), None: (14, ["10", "11"]), 2: (0, []), 3: (0, []), 5: (1, ["11"]), 7: (0, []), 8: (0, [])}
-    for words in (1_000_000, 5):  # one block, and several
+    for words in (1_000_000, 5):  # one index, and the shuffle join
         monkeypatch.setattr(decon, "BLOCK_WORDS", words)
         got = decon.find(odd, bench).select("doc_id", decon.hit_words().alias("n"), "items").collect()
         assert len(got) == len(ROWS)
         assert [(r.doc_id, r.n, r.items) for r in got if r.doc_id in want and (r.n, r.items) != want[r.doc_id]] == []
-    assert decon.find(none, bench).count() == 0
+        assert decon.find(none, bench).count() == 0
     assert decon.find(odd, bench.limit(0)).where(decon.hit_words() > 0).count() == 0
 
 
+def test_decontamination_by_shuffle_equals_a_plain_scan(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(12)]  # few words, so windows repeat and shingles tie
+
+    def run(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    items = [(i, run(rng.choice((1, 3, 4, 5, 9, 10, 11, 40)))) for i in range(60)]
+    hot = run(30)
+    items += [(100 + i, hot) for i in range(20)]
+    texts = [(i, run(rng.choice((0, 2, 9, 10, 50, 300)))) for i in range(40)]
+    texts += [(100 + i, run(5) + rng.choice(items)[1] + run(5)) for i in range(40)]
+    texts += [(200 + i, run(i % 7) + hot) for i in range(60)] + [(300, hot)] * 30
+
+    def plain(words):
+        hit, found = set(), set()
+        for item, own in items:
+            size = min(10, len(own))
+            for a in range(len(own) - size + 1):
+                for at in range(len(words) - size + 1):
+                    if words[at : at + size] == own[a : a + size]:
+                        hit.update(range(at, at + size))
+                        found.add(str(item))
+        return len(words), len(hit), tuple(sorted(found))
+
+    docs = spark.createDataFrame([(i, " ".join(w).upper()) for i, w in texts], "doc_id bigint, text string").repartition(5)
+    bench = spark.createDataFrame([(i, ", ".join(w)) for i, w in items], "item_id bigint, text string")
+    want = sorted((i, *plain(w)) for i, w in texts)
+    for bound in ("BLOCK_WORDS", "BLOCK_BYTES"):
+        with monkeypatch.context() as patch:
+            patch.setattr(decon, bound, 10)
+            got = decon.find(docs, bench).select("doc_id", "n_words", decon.hit_words().alias("n_hit"), "items", "spans").collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in got) == want
+        assert all(r.spans == sorted(r.spans) and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:])) for r in got)
+
+
 def test_language_rows(spark, odd, none):
     model = langid.train(spark.createDataFrame([("en", "the cat and the dog"), ("de", "der hund und die katze"), (None, "x"), ("en", None)], "lang string, text string"), "lang", "text")
     got = langid.predict(odd, model, "doc_id", "text").collect()
@@ -396,6 +445,15 @@ def test_stages_take_odd_rows(spark, odd, none):
     assert corpus_pipeline.byte_bpe(spark, none, sf).count() == 0
 
 
+def test_stages_take_odd_column_names(spark, odd):
+    table = odd.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1), "a.b": F.lit(1), "my col": F.lit(2), "a-b": F.lit(3), "x`y": F.lit(4)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, "/root/testdata/sf0.001")
+        assert out.columns == table.columns, name
+        assert {(r["a.b"], r["my col"], r["a-b"], r["x`y"]) for r in out.collect()} == {(1, 2, 3, 4)}, name
+    assert corpus_pipeline.byte_bpe(spark, table, "/root/testdata/sf0.001").count() == len(ROWS)
+
+
 def test_language_without_text_is_not_learned(spark):
     english = "The cat sat on the mat and looked at the dog for a while, and the dog looked at the cat."
     rows = [(1, english, "en"), (2, english + " Again.", "en"), (3, "", "xx"), (4, "", "xx"), (5, None, "yy")]
