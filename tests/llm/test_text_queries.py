@@ -11,11 +11,12 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 
 import __spark_entry__ as driver
-from isobar.llm import bpe
+from isobar.llm import bpe, pii, weak
 from isobar.llm.catalogue import BPE_RANKS, QUERIES
 from tools.check_queries import duck, same
 
@@ -128,10 +129,107 @@ def test_simhash(spark, docs):
     assert {d: (r.fingerprint, r.component_id) for d, r in got.items()} == {d: (f"{prints[d]:016x}", homes[d]) for d in ids}
 
 
-def test_pipeline(spark):
+def occurring(words, items):
+    """Whether any window of ten item words (or a whole shorter item) is in ``words``."""
+    held = {n: {tuple(words[a : a + n]) for a in range(len(words) - n + 1)} for n in range(1, 11)}
+    return any(tuple(own[a : a + n]) in held[n] for own in items if (n := min(10, len(own))) for a in range(len(own) - n + 1))
+
+
+def test_pipeline_equals_its_stages_in_plain_code(spark):
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    kept = {r.doc_id: r.text for r in given if r.text and regex.search(r"\p{L}", r.text)}
+    assert len(kept) == sum(bool(r.text and regex.search(r"\p{L}", r.text)) for r in given)
+    prints = {d: fingerprint(t) for d, t in kept.items()}
+    ids = sorted(kept)
+    homes = reach(ids, ((a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 4))
+    kept = {d: t for d, t in kept.items() if homes[d] == d}
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = {d: t for d, t in kept.items() if not occurring(words(t), items)}
+    assert 0 < len(clean) < len(kept) < len(given)
+
+    # The base spans by plain patterns; the learned kinds by the operator, which has tests of its own.
+    table = spark.createDataFrame(list(clean.items()), "doc_id bigint, text string")
+    added = {r.doc_id: [(s.start, s.end, f"<{k}>") for k in pii.ADDED for s in r[k] or []] for r in pii.find(table).collect()}
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(BPE_RANKS)), special_tokens={})
+    want = {}
+    for d, text in clean.items():
+        base = [(int(a), int(b), f"<{k}>") for k, a, b in (x.split(":") for x in base_spans(text))]
+        at, out = 0, []
+        for a, b, tag in sorted(base + added[d]):
+            if a >= at:
+                out += [text[at:a], tag]
+            at = max(at, b)
+        text = "".join(out) + text[at:]
+        want[d] = known.encode_ordinary(text), hashlib.sha256(text.encode()).hexdigest()
+
     out = driver.queries()["pipeline"](spark, SF).collect()
-    assert out and all(r.n_tokens == len(r.ids) for r in out)
-    assert len({r.doc_id for r in out}) == len(out)
+    assert len(out) == len(want) and all(r.n_tokens == len(r.ids) for r in out)
+    assert {r.doc_id: (r.ids, r.decoded_sha256) for r in out} == want
+
+
+def test_quality_equals_plain_steps(spark, docs):
+    """EM text by text, without patterns or arrays, and a scorer that keeps its weights by name."""
+    texts = {d: t or "" for d, t, _ in docs}
+    measured = {d: weak.measures(t) for d, t in texts.items()}
+    said = {d: weak.votes(m) for d, m in measured.items()}
+    labellers = range(len(weak.LABELLERS))
+    good, bad, prior = [0.998] * len(labellers), [0.15] * len(labellers), 0.85
+    post = {}
+
+    def within(x, low, high):
+        return min(max(x, low), high)
+
+    for _ in range(100):
+        for d, vote in said.items():
+            odds = math.log(prior / (1 - prior))
+            for k in labellers:
+                if vote[k] != weak.NONE:
+                    up = vote[k] == weak.GOOD
+                    odds += math.log((good[k] if up else 1 - good[k]) / (1 - bad[k] if up else bad[k]))
+            post[d] = 1 / (1 + math.exp(-odds))
+        prior = within((sum(post.values()) + 1) / (len(post) + 2), 0.05, 0.99)
+        for k in labellers:
+            heard = [d for d in said if said[d][k] != weak.NONE]
+            mass = sum(post[d] for d in heard)
+            right = sum(post[d] for d in heard if said[d][k] == weak.GOOD)
+            caught = sum(1 - post[d] for d in heard if said[d][k] == weak.BAD)
+            good[k] = within((right + 10) / (mass + 10), 0.995, 0.9995)
+            bad[k] = within((caught + 4) / (len(heard) - mass + 10), 0.02, 0.999)
+
+    def named(text, m):
+        counts = collections.Counter(zlib.crc32(w.encode()) % weak.FEATURES for w in text.lower().split())
+        norm = max(math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values())), 1e-9)
+        shapes = [*m[:7], math.log1p(m[7]) / 10, *m[8:], *map(math.sqrt, m[:4])]
+        return {**{h: math.log1p(counts[h]) / norm for h in sorted(counts)}, **{weak.FEATURES + j: x for j, x in enumerate(shapes)}}
+
+    rows_by_text = {texts[d]: (named(texts[d], measured[d]), post[d]) for d in texts}
+    lessons = sorted(rows_by_text.values(), key=lambda r: (list(r[0]), list(r[0].values())))
+    weight, steps = collections.defaultdict(float), collections.defaultdict(lambda: 1e-6)
+
+    def judged(x):
+        return 1 / (1 + math.exp(-within(sum(weight[h] * v for h, v in x.items()), -30, 30)))
+
+    order = np.random.default_rng(0).permutation(len(lessons))
+    for _ in range(6):
+        for i in order:
+            x = {**lessons[i][0], "always": 1.0}
+            miss = judged(x) - lessons[i][1]
+            for h, v in x.items():
+                steps[h] += (miss * v) ** 2
+                weight[h] -= 0.5 * miss * v / math.sqrt(steps[h])
+
+    got = rows(spark, "op1_quality")
+    assert set(got) == set(texts)
+    for d, r in got.items():
+        score = judged({**named(texts[d], measured[d]), "always": 1.0})
+        assert r.votes == ",".join(map(str, said[d]))
+        assert r.weak == pytest.approx(post[d], rel=1e-6, abs=1e-9) and r.score == pytest.approx(score, rel=1e-6, abs=1e-9)
+        if abs(mean := (post[d] + score) / 2 - 0.5) > 1e-6:
+            assert r.keep == (mean > 0)
 
 
 def test_quality_agrees_with_labels(spark):
