@@ -1,7 +1,6 @@
 """Order statistics without one big sort in one task.
 
-Average ranks, exact percentiles and gaps to the previous value all need the rows of
-a group in order. A window over the group would put a station holding a third of
+Average ranks and exact percentiles need the rows of a group in order. A window over the group would put a station holding a third of
 the data into a single task, so the work runs on a histogram instead:
 
 1. ``groupBy(group, value).count()`` is the only pass over the facts; map-side combine
@@ -14,7 +13,8 @@ the data into a single task, so the work runs on a histogram instead:
 
 The cuts only decide where rows are processed; results are exact. Measurements on a
 coarse grid have few distinct values however many rows there are, and then the
-histogram is tiny.
+histogram is tiny. Gaps between places on a whole-number axis (``previous_place``) need
+no histogram: the axis is cut into blocks, and each block carries one place to the next.
 """
 
 from __future__ import annotations
@@ -139,20 +139,6 @@ class Histogram:
             picked.append((lo + (hi - lo) * w).alias(name))
         return counts.groupBy(*self.by).agg(*aggs).select(*self.by, *picked)
 
-    def previous(self) -> DataFrame:
-        """(group..., value, _c, previous): the next smaller distinct value of the group."""
-        keyed = self._keyed()
-        keys = [*self.by, _SLICE]
-        w = Window.partitionBy(*keys).orderBy(self.value)
-        inside = keyed.withColumn("previous", F.lag(self.value).over(w))
-        if not self.cuts:
-            return inside.drop(_SLICE)
-        tops = keyed.groupBy(*keys).agg(F.max(self.value).alias("_top"))
-        whole = Window.partitionBy(*self.by) if self.by else Window.partitionBy(F.lit(0))
-        carried = tops.select(*keys, F.lag("_top").over(whole.orderBy(_SLICE)).alias("_carry"))
-        out = inside.join(carried, keys, "inner")
-        return out.withColumn("previous", F.coalesce("previous", "_carry")).drop("_carry", _SLICE)
-
 
 def histogram_of(
     counts: DataFrame,
@@ -259,9 +245,49 @@ def _between_brackets(rows: DataFrame, value: str, probs: dict[str, float], by:
     return ends.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, point)).alias(name) for i, name in enumerate(probs)])
 
 
-def previous_value(df: DataFrame, value: str, by: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
-    """(group..., value, _c, previous): the next smaller distinct value of the group."""
-    return histogram_of(value_counts(df, value, by), value, by, small).previous()
+def _in_blocks(rows: DataFrame, at: str, by: Sequence[str], small: int) -> tuple[Column, DataFrame] | None:
+    """A column that cuts the axis ``at`` into blocks of about ``small`` places, and (group..., _block, _top).
+
+    The width starts from the densest group's mean; while a block is too full, it is set
+    by the densest of those. The table holds a row per block that has rows, and is settled.
+    None where every group is small enough to be one block.
+    """
+    places, span = F.approx_count_distinct(at), F.max(at).cast("double") - F.min(at).cast("double") + 1
+    groups = rows.groupBy(*by).agg(places.alias("_k"), (places / span).alias("_d"))
+    fullest, dense = groups.agg(F.max("_k"), F.max("_d")).first()
+    if (fullest or 0) <= small:
+        return None
+    width = max(1, min(1 << 62, int(small / dense)))
+    while True:
+        # Whole-number division towards minus infinity, exact beyond 2^53.
+        block = F.expr(f"`{at}` div {width} - IF(`{at}` % {width} < 0, 1, 0)").alias("_block")
+        found = rows.groupBy(*by, block).agg(F.max(at).alias("_top"), places.alias("_k"), (places / span).alias("_d"))
+        tops = settle(found)
+        dense = tops.filter(F.col("_k") > 2 * small).agg(F.max("_d")).first()[0]
+        if width == 1 or dense is None:
+            return block, tops.drop("_k", "_d")
+        width = max(1, min(width // 2, int(small / dense)))
+
+
+def previous_place(df: DataFrame, at: str, by: Sequence[str], small: int = SMALL_DISTINCT) -> DataFrame:
+    """(group..., at, _c, previous): the next smaller distinct place of the group on a whole-number axis.
+
+    Equal places are folded before the shuffle, and a block of the axis holds few distinct
+    ones whatever its group holds. Each block looks back inside itself; only its last
+    place is carried to the next block that has rows, and only those are stored.
+    """
+    rows = present(df, [*by, at])
+    cut = _in_blocks(rows, at, by, small)
+    if cut is None:
+        counts = rows.groupBy(*by, at).agg(F.count(F.lit(1)).alias("_c"))
+        return counts.withColumn("previous", F.lag(at).over(Window.partitionBy(*by).orderBy(at)))
+    block, tops = cut
+    keys = [*by, "_block"]
+    counts = rows.groupBy(*by, block, at).agg(F.count(F.lit(1)).alias("_c"))
+    inside = counts.withColumn("previous", F.lag(at).over(Window.partitionBy(*keys).orderBy(at)))
+    carried = tops.select(*keys, F.lag("_top").over(Window.partitionBy(*by).orderBy("_block")).alias("_carry"))
+    out = inside.join(carried, keys)
+    return out.select(*by, at, "_c", F.coalesce("previous", "_carry").alias("previous"))
 
 
 def lowest_per_group(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from isobar.functions.null_safe import missing, percent, sample_skew, without_nan
 from isobar.functions.scalars import half_even, range_label
 from isobar.operators.joins import sized_join
-from isobar.operators.ordered import SMALL_DISTINCT, bracket_percentiles, previous_value
+from isobar.operators.ordered import SMALL_DISTINCT, bracket_percentiles, previous_place
 from isobar.session import settle
 
 
@@ -151,7 +151,7 @@ def time_deltas(df: DataFrame, key: str, ts: str, small: int = SMALL_DISTINCT) -
     ``copies - 1`` further rows at the same instant have a gap of zero.
     """
     stamped = df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    gaps = previous_value(stamped, "_us", [key], small)
+    gaps = previous_place(stamped, "_us", [key], small)
     delta = (F.col("_us") - F.col("previous")) / F.lit(1e6)
     return gaps.select(key, F.timestamp_micros("_us").alias(ts), F.col("_c").alias("copies"), delta.alias("delta_seconds"))
 

@@ -13,6 +13,7 @@ from isobar.operators.ordered import (
     exact_percentiles,
     histogram_of,
     lowest_per_group,
+    previous_place,
     value_counts,
     value_ranks,
 )
@@ -66,19 +67,24 @@ def test_percentiles_whatever_the_cuts(spark, values, cuts):
     assert np.allclose([row.a, row.b, row.c], np.quantile(values, [0.25, 0.5, 0.9]))
 
 
-def test_previous_value_across_slices(spark):
-    rows = [("a", 1), ("a", 5), ("a", 5), ("a", 9), ("b", 20), ("b", 2)]
-    df = spark.createDataFrame(rows, "g string, v long")
-    for cuts in ([], [2.0, 5.0, 7.0]):
-        hist = Histogram(value_counts(df, "v", ["g"]), "v", ("g",), cuts)
-        got = {(r.g, r.v): (r.previous, r["_c"]) for r in hist.previous().collect()}
-        assert got == {
-            ("a", 1): (None, 1),
-            ("a", 5): (1, 2),
-            ("a", 9): (5, 1),
-            ("b", 2): (None, 1),
-            ("b", 20): (2, 1),
-        }
+@pytest.mark.parametrize("small", [0, 1, 7, 10**6])
+def test_previous_place_whatever_the_blocks(spark, small):
+    rng = np.random.default_rng(small)
+    groups = {
+        "steady": list(range(-500, 500, 5)),
+        "burst": [-(2**60), *rng.integers(0, 40, 300).tolist(), 2**60 + 1, 2**60 + 3],
+        "copies": [8] * 200 + [9],
+        "one": [-3],
+    }
+    data = [(g, v) for g, values in groups.items() for v in values] + [(None, 1), ("one", None)]
+    df = spark.createDataFrame(data, "g string, v long").repartition(4)
+    got = sorted((r.g, r.v, r["_c"], r.previous) for r in previous_place(df, "v", ["g"], small).collect())
+    want = []
+    for g, values in sorted(groups.items()):
+        places = sorted(set(values))
+        want += [(g, v, values.count(v), before) for before, v in zip([None, *places], places)]
+    assert got == want
+    assert previous_place(df.limit(0), "v", ["g"], small).count() == 0
 
 
 def test_lowest_per_group_is_exact(spark):
