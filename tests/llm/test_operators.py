@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq_file
 import public_tokenizers
 import pytest
@@ -47,6 +48,45 @@ def test_score_of_long_tokens():
     assert 0.5 <= scorer.known < 1
 
 
+def test_tokens_of_columns():
+    texts = ["  Hello WORLD\x0b x\x1cy É é  z\x85q ", None, "", "a b A\tb\n\r c", "\x00 A\x00b", "ÀB  "]
+    plain = ["xx YY", "  Hello WORLD q ", "a  b", "C d"] * 9
+    for column in (pa.array(texts), pa.array(texts).slice(2, 3), pa.array(plain).slice(2), pa.array(plain).slice(1, 5)):
+        sizes, codes, words = mixing.coded_tokens(column)
+        found, ends = [words[int(i)].as_py() for i in codes], np.cumsum(sizes)
+        assert [found[e - n : e] for e, n in zip(ends, sizes)] == [mixing.tokens(t) for t in column.to_pylist()]
+
+
+def test_kinds_are_means_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "KINDS", 1)
+    monkeypatch.setattr(mixing, "START_TEXTS", 3, raising=False)
+    texts = [f"text {n} of {'many zebras' if n % 7 else 'some quick foxes ' * 3} {n * n}" for n in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = sum(mixing._shape(t).astype(np.float64) for t in texts)
+    for layout in (docs.repartition(3), docs.repartition(7)):
+        (centre,) = mixing.fit_kinds(layout, "t", len(texts))
+        assert np.allclose(centre, whole / np.linalg.norm(whole), atol=1e-4)
+
+
+def test_mixer_learns_from_every_word(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_WORDS", 100)
+    words = [f"word{n * 7919 % 1000}x{n}".encode() for n in range(350)]
+    rows = spark.createDataFrame([(w, 1 + len(w) % 3, len(w) % 2) for w in words] + [(mixing.END, 9, 0)], "word binary, k0 bigint, k1 bigint")
+    rows = rows.withColumn("n", F.col("k0") + F.col("k1"))
+    speller = mixing._spelling_counts(rows, 2)
+    plain = mixing.Speller(speller.ones, speller.seen)
+    mixing._learn_weights(rows.repartition(5), speller, 2, 351)
+    dealt = rows.where(F.length("word") > 1).select("word", "k0", "k1", F.pmod(F.xxhash64("word"), F.lit(4)).alias("run"), F.xxhash64("word", F.lit(1)).alias("at"))
+    runs, total = {}, 0
+    for r in sorted(dealt.collect(), key=lambda r: (r.run, r.at)):
+        runs.setdefault(r.run, []).append(r)
+    for own in runs.values():
+        one = mixing.Speller(plain.ones, plain.seen)
+        one.learn([bytes(r.word) for r in own], np.array([int(r.k1 > r.k0) for r in own]), limit=7168)
+        total = total + len(own) * one.weights.astype(np.float64)
+    assert np.allclose(speller.weights, total / len(words), atol=1e-6) and not np.allclose(speller.weights, plain.weights)
+
+
 def test_bpe_rows(odd, none):
     ids = bpe.encode(odd, "doc_id", "text", PATH, PATTERN)
     back = bpe.decode(ids, "doc_id", "ids", PATH, PATTERN).collect()
