@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from isobar.functions.null_safe import guarded_corr, missing, safe_corr, without_nan
+from isobar.functions.null_safe import guarded_corr, safe_corr, without_nan
 from isobar.functions.tails import pearson_p
-from isobar.operators.joins import BROADCAST_ROWS, salted_join, shuffle_width
+from isobar.operators.joins import BROADCAST_ROWS, shuffle_width
 from isobar.operators.moments import corr_of_moments, pair_moments
 from isobar.operators.ordered import SMALL_DISTINCT, value_ranks
 from isobar.session import settle
@@ -43,64 +45,116 @@ def matrix_form(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.orderBy(at).withColumnRenamed("x", "variable")
 
 
-def attach_ranks(
-    df: DataFrame, columns: Sequence[str], small: int = SMALL_DISTINCT
-) -> tuple[DataFrame, list[float], dict[str, int]]:
-    """Append the average rank of every column as ``<column>__rank``.
+#: Slices of a long column's axis for every partition of the shuffle.
+_SLICES = 4
 
-    Also returns the mean rank and the number of distinct values of each column.
 
-    One pass makes the value tables of all columns. Each is joined back on its value:
-    broadcast while its counted size allows, which for measurements on a coarse grid
-    is always, else by a shuffle join with the frequent values salted.
+def _cut_axes(numbers: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Append the slice of each column's value, a non-decreasing function of it; (table, slice column by column).
+
+    Axes are cut at approximate quantiles. An even slice holds one value, the cut itself; an
+    odd one the values up to the next cut, about as many rows in each whatever the shape of
+    the data. A value that alone fills several slices is a cut.
     """
-    numbers = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    tall = numbers.select(*columns).unpivot([], list(columns), "variable", "value")
-    ranks = settle(value_ranks(tall, "value", ["variable"], small=small))
-    found = ranks.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("n")).collect()
-    sizes = {r.variable: r for r in found}
-    # A value is frequent above an even partition's rows, so a column has at most as many as there are partitions.
-    share = (F.col("_c") / F.col("n")).alias("share")
-    often = ranks.select("variable", "value", share).filter(F.col("share") > 1.0 / shuffle_width(df)).collect()
-    out = numbers
-    for c in columns:
-        own = ranks.filter(F.col("variable") == c)
-        lookup = own.select(F.col("value").alias(c), F.col("avg_rank").alias(f"{c}__rank"))
-        if c not in sizes or sizes[c].distinct <= BROADCAST_ROWS:
-            out = out.join(F.broadcast(lookup), c, "left")
-        else:
-            out = salted_join(out, lookup, c, {r.value: r.share for r in often if r.variable == c}, "left")
-    middle = [(sizes[c].n + 1) / 2.0 if c in sizes else 0.0 for c in columns]
-    return out, middle, {c: sizes[c].distinct if c in sizes else 0 for c in columns}
+    if not columns:
+        return numbers, {}
+    n = max(2, _SLICES * shuffle_width(numbers))
+    probs = [i / n for i in range(1, n)]
+    found = numbers.agg(*[F.percentile_approx(c, probs, max(1_000, 10 * n)) for c in columns]).first()
+    out, names = numbers, {}
+    for c, cuts in zip(columns, found):
+        # A column without finite cuts is one slice between two that are empty or infinite.
+        inner = sorted({v for v in cuts if math.isfinite(v)}) or [0.0]
+        splits = [float("-inf"), *inner, float("inf")]
+        # Rows without the value get no slice.
+        axis = out.withColumn("_axis", F.coalesce(c, F.lit(inner[0])))
+        cut = Bucketizer(splits=splits, inputCol="_axis", outputCol="_at").transform(axis)
+        above = F.col(c) > F.element_at(F.lit(splits), F.col("_at").cast("int") + 1)
+        names[c] = f"{c}__slice"
+        out = cut.withColumn(names[c], F.col("_at") * 2 + above.cast("int")).drop("_axis", "_at")
+    return out, names
+
+
+def _rank_in_slices(rows: DataFrame, column: str, slice_col: str, sizes: dict[int, tuple[float, int]]) -> DataFrame:
+    """Append the average rank as ``<column>__rank``; the rows are shuffled and sorted once, by slice.
+
+    ``sizes`` gives the rows before a slice and in it. An even slice holds one value, whose rank is
+    known from these, so its rows may lie in many tasks.
+    """
+    wide = max(sizes, default=0) + 1
+    before, inside = (F.lit([float(sizes.get(i, (0.0, 0))[k]) for i in range(wide)]) for k in (0, 1))
+    at = F.col(slice_col).cast("int")
+    even = at % 2 == 0
+    dealt = rows.withColumn("_deal", F.when(even, F.spark_partition_id()).otherwise(F.lit(-1)))
+    order = Window.partitionBy(slice_col, "_deal").orderBy(column)
+    # The default frame goes up to the last row of equal value.
+    middle = (F.rank().over(order) + F.count(F.lit(1)).over(order)) / F.lit(2.0)
+    own = F.when(even, (F.element_at(inside, at + 1) + 1) / F.lit(2.0)).otherwise(middle)
+    return dealt.withColumn(f"{column}__rank", F.element_at(before, at + 1) + own).drop("_deal")
 
 
 def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], small: int = SMALL_DISTINCT) -> DataFrame:
     """(x, y, n, rho): Pearson of average ranks over the complete rows of each pair.
 
     Pairs without gaps share one set of ranks. Pairs that touch columns with gaps are
-    ranked on the rows where those columns are set, one pass per combination of them.
+    ranked on the rows where those columns are set, once per combination of them.
+    Columns of up to about ``BROADCAST_ROWS`` distinct values meet their ranks in a broadcast
+    join; the rows are sorted by each longer one, slice by slice.
     """
     return _spearman(df, pairs, small)[0]
 
 
 def _spearman(df: DataFrame, pairs: Sequence[Pair], small: int) -> tuple[DataFrame, dict[str, int]]:
-    """The table above and the distinct counts of columns ranked on all their rows."""
+    """The table above and the distinct counts of short columns ranked on all their rows."""
     cols = list(dict.fromkeys(c for pair in pairs for c in pair))
-    gaps = df.agg(*[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    holed = {c for i, c in enumerate(cols) if gaps[i]}
+    # Adding zero makes one value of 0.0 and -0.0.
+    numbers = without_nan(df.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in cols]), cols)
+    seen = [(F.count_if(F.col(c).isNull()), F.approx_count_distinct(c)) for c in cols]
+    first = numbers.agg(*[s for both in seen for s in both]).first()
+    holed = {c for i, c in enumerate(cols) if first[2 * i]}
+    keyed, slices = _cut_axes(numbers, [c for i, c in enumerate(cols) if first[2 * i + 1] > BROADCAST_ROWS])
     groups: dict[frozenset, list[Pair]] = {}
     for x, y in pairs:
         groups.setdefault(frozenset({x, y} & holed), []).append((x, y))
+
+    # One pass counts the values of short columns and the slices of long ones for all combinations.
+    places = {}
+    for g, (needed, wanted) in enumerate(groups.items()):
+        for c in dict.fromkeys(c for pair in wanted for c in pair):
+            value = F.col(slices.get(c, c))
+            for other in sorted(needed):
+                value = F.when(F.col(other).isNotNull(), value)
+            places[g, c] = value.alias(f"{g}_{c}")
+    names = {key: f"{key[0]}_{key[1]}" for key in places}
+    tall = keyed.select(*places.values()).unpivot([], list(names.values()), "variable", "value")
+    ranks = settle(value_ranks(tall, "value", ["variable"], small=small))
+    in_slices = [n for (_, c), n in names.items() if c in slices]
+    before = (F.col("avg_rank") - (F.col("_c") + 1) / F.lit(2.0)).alias("before")
+    sizes: dict[str, dict[int, tuple[float, int]]] = {n: {} for n in in_slices}
+    for r in ranks.filter(F.col("variable").isin(in_slices)).select("variable", F.col("value").cast("int").alias("at"), before, "_c").collect():
+        sizes[r["variable"]][r["at"]] = (r["before"], r["_c"])
+    found = ranks.filter(~F.col("variable").isin(in_slices)).groupBy("variable").agg(F.count(F.lit(1)).alias("k")).collect()
+    distinct = {r["variable"]: r["k"] for r in found}
+
     parts, known = [], {}
-    for needed, wanted in groups.items():
-        use = list(dict.fromkeys(c for pair in wanted for c in pair))
-        rows = df.select(*use)
+    for g, (needed, wanted) in enumerate(groups.items()):
+        use = [c for at, c in places if at == g]
+        rows = keyed
         for c in sorted(needed):
-            rows = rows.filter(~missing(df, c))
-        ranked, middle, distinct = attach_ranks(rows, use, small)
-        ranked = ranked.select(*[F.col(f"{c}__rank").alias(c) for c in use])
+            rows = rows.filter(F.col(c).isNotNull())
+        rows = rows.select(*use, *[slices[c] for c in use if c in slices])
+        for c in use:
+            if c not in slices:
+                own = ranks.filter(F.col("variable") == names[g, c])
+                lookup = own.select(F.col("value").alias(c), F.col("avg_rank").alias(f"{c}__rank"))
+                rows = rows.join(F.broadcast(lookup), c, "left").drop(c)
+                if needed == {c} & holed:
+                    known[c] = distinct.get(names[g, c], 0)
+        for c in use:
+            if c in slices:
+                rows = _rank_in_slices(rows, c, slices[c], sizes[names[g, c]]).drop(c, slices[c])
+        ranked = rows.select(*[F.col(f"{c}__rank").alias(c) for c in use])
         parts.append(_in_order(pearson_pairs(ranked, use), wanted))
-        known.update({c: n for c, n in distinct.items() if needed == {c} & holed})
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

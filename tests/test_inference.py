@@ -1,6 +1,7 @@
 """Tests and regressions against NumPy on small frames."""
 
 import math
+import re
 from statistics import NormalDist
 
 import numpy as np
@@ -179,6 +180,24 @@ def test_ranks_through_shuffle_join(spark, monkeypatch):
     assert math.isclose(got.rho, pdf.corr("spearman").loc["a", "b"], abs_tol=1e-12) and got.n == 800
 
 
+def test_long_columns_are_ranked_by_one_shuffle_each(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random(900) < 0.4, 0.0, rng.normal(size=900))
+    b, c = np.round(rng.normal(size=900), 1), rng.normal(size=900) + a
+    a[::9], b[:4], c[::7] = -0.0, [np.inf, np.inf, -np.inf, np.inf], np.nan
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c, "d": np.arange(900) % 3.0})
+    monkeypatch.setattr(correlation, "BROADCAST_ROWS", 10)
+    df = frame(spark, pdf).repartition(3)
+    found = correlation.spearman_all_pairs(df, list("abcd"))
+    for r in found.collect():
+        both = pdf[[r.x, r.y]].dropna()
+        want = np.corrcoef(both[r.x].rank(), both[r.y].rank())[0, 1]
+        assert math.isclose(r.r, want, abs_tol=1e-12) and r.n == len(both), (r.x, r.y)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # a and b on all rows, then on those that have c, and c; d has three values.
+    assert sorted(re.findall(r"Exchange hashpartitioning\(\S*?(\w)__slice", plan)) == list("aabbc") and "_salt" not in plan
+
+
 def test_line_fit(spark):
     x = np.arange(10.0)
     y = 3 * x + np.sin(x)
