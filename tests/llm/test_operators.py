@@ -87,6 +87,32 @@ def test_mixer_learns_from_every_word(spark, monkeypatch):
     assert np.allclose(speller.weights, total / len(words), atol=1e-6) and not np.allclose(speller.weights, plain.weights)
 
 
+def test_mixer_works_left_out_predictions_out_once(monkeypatch):
+    words = [f"w{n * 7919 % 1000}x{n % 50}".encode() for n in range(400)]
+    kind = np.arange(400) % 2
+    ones, seen = (np.zeros((len(mixing.ORDERS), 1 << mixing.SLOT_BITS), np.float32) for _ in range(2))
+    pieces = list(mixing._cut(words, 300))
+    for piece in pieces:
+        slots, bits, _ = mixing.bit_slots(piece, kind)
+        for o in range(len(mixing.ORDERS)):
+            np.add.at(ones[o], slots[o], bits)
+            np.add.at(seen[o], slots[o], 1)
+    plain = mixing.Speller(ones, seen).weights.astype(np.float64)
+    for piece in pieces:
+        slots, bits, _ = mixing.bit_slots(piece, kind)
+        n1, n = (np.stack([t[o][slots[o]] for o in range(len(mixing.ORDERS))]).astype(np.float64) for t in (ones, seen))
+        x = np.log((n1 - bits + 0.2) / (n - n1 - (1 - bits) + 0.2))
+        gate = np.where(n > 1, np.arange(len(mixing.ORDERS))[:, None], 0).max(0)
+        step = (bits - 1 / (1 + np.exp(-(plain[gate].T * x).sum(0)))) * np.clip(x, -8, 8)
+        for g in np.unique(gate):
+            plain[g] += 0.02 * step[:, gate == g].mean(1) * min(1.0, (gate == g).sum() / 64)
+    speller, log, calls = mixing.Speller(ones, seen), np.log, []
+    monkeypatch.setattr(np, "log", lambda *a, **k: calls.append(1) or log(*a, **k))
+    speller.learn(words, kind, limit=300)
+    assert np.allclose(speller.weights, plain, atol=1e-5) and np.abs(plain - 0.25).max() > 1e-3
+    assert len(calls) < len(pieces)
+
+
 def test_bpe_rows(odd, none):
     ids = bpe.encode(odd, "doc_id", "text", PATH, PATTERN)
     back = bpe.decode(ids, "doc_id", "ids", PATH, PATTERN).collect()
