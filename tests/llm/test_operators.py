@@ -87,6 +87,21 @@ def test_mixer_learns_from_every_word(spark, monkeypatch):
     assert np.allclose(speller.weights, total / len(words), atol=1e-6) and not np.allclose(speller.weights, plain.weights)
 
 
+def test_contexts_are_counted_over_all_tokens(spark):
+    """Every distinct word was counted once, in the kind with most of it."""
+    words = {b"maps": (3, 0), b"map": (1, 2), b"tea": (0, 5), b"rare": (1, 0)}
+    rows = [(w, sum(c), *c) for w, c in words.items()] + [(mixing.END, 4, 2, 2)]
+    speller = mixing._spelling_counts(spark.createDataFrame(rows, "word binary, n bigint, k0 bigint, k1 bigint").repartition(3), 2)
+    ones, seen = (np.zeros((len(mixing.ORDERS), 1 << mixing.SLOT_BITS)) for _ in range(2))
+    tokens = [(w, k) for w, c in words.items() for k in (0, 1) for _ in range(c[k])]
+    for pieces in mixing._cut([w for w, _ in tokens], 1 << 16):
+        slots, bits, _ = mixing.bit_slots(pieces, np.array([k for _, k in tokens]))
+        for o in range(len(mixing.ORDERS)):
+            np.add.at(ones[o], slots[o], bits)
+            np.add.at(seen[o], slots[o], 1)
+    assert len(tokens) == 12 and (speller.ones == ones).all() and (speller.seen == seen).all()
+
+
 def test_mixer_works_left_out_predictions_out_once(monkeypatch):
     words = [f"w{n * 7919 % 1000}x{n % 50}".encode() for n in range(400)]
     kind = np.arange(400) % 2
