@@ -5,7 +5,8 @@ residual is coded in subspaces. A vector also probes the other lists whose borde
 near enough to for a partner to lie beyond. In a list, table lookups give the distance
 between the query and a coded vector; the code's own error, which is stored, bounds the
 true distance from below, so the filter loses no pair. What remains is reranked by exact
-cosine in double precision.
+cosine in double precision. The rows of the lists, with their codes, are packed to blocks that
+tasks read in pairs, so disk holds a vector a few times, however many lists it probes.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from isobar.llm.common import arrow_schema, stored
-from isobar.llm.components import Forest, components, in_blocks
+from isobar.llm.common import arrow_schema, small_batches, stored
+from isobar.llm.components import Forest, components
 
 #: Both quantisers are fitted on about so many vectors, drawn by a hash of their content.
 SAMPLE_VECTORS = 20_000
 SUBSPACE, CODEWORDS = 8, 64
-BLOCK = 1_024
+#: Rows and bytes of vectors in a block, and blocks that a task holds while it meets others.
+BLOCK, BLOCK_BYTES, PART_BLOCKS = 2_048, 1 << 20, 64
 _ROUNDS = 8
 
 
@@ -57,15 +60,12 @@ class Quantiser:
     def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _nearest(x, self.coarse)
 
-    def probes(self, x: np.ndarray, home: np.ndarray, square: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, lists): later lists whose border lies within ``margin`` of the vector.
-
-        A pair in two lists is looked for from the earlier list into the later one.
-        """
-        apart = np.sqrt(np.maximum(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2), 1e-30))
-        gap = (square - square[np.arange(len(x)), home][:, None]) / (2 * apart[home])
-        later = np.arange(len(self.coarse)) > home[:, None]
-        return np.nonzero(later & (gap <= margin))
+    def reaches(self, x: np.ndarray, home: np.ndarray, other: int, margin: float) -> np.ndarray:
+        """Where the list ``other`` is a later one whose border lies within ``margin`` of the vector."""
+        near, far = self.coarse[home], self.coarse[other]
+        apart = np.sqrt(np.maximum(((far - near) ** 2).sum(1), 1e-30))
+        gap = (((x - far) ** 2).sum(1) - ((x - near) ** 2).sum(1)) / (2 * apart)
+        return (other > home) & (gap <= margin)
 
     def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals and the distance between each residual and its code."""
@@ -101,32 +101,47 @@ def _classes(rows: DataFrame) -> DataFrame:
     )
 
 
-def _pair_task(own: Quantiser, cols: dict[str, np.ndarray], limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, linked copies, root rows) of one task: members and queries of two blocks."""
-    n = len(cols["node"])
-    v, member = cols["v"], np.flatnonzero(cols["member"])
-    unit = _unit(v)
-    rest = unit - own.coarse[cols["list"][0]]
-    codes, error = own.encode(rest[member])
-    copies, found = cols["n"], np.zeros(n, np.int64)
-    forest, reach = Forest(n), math.sqrt(max(2 - 2 * limit, 0))
-    split = cols["i"][0] != cols["j"][0]
-    side = cols["own"]
-    norm = np.sqrt((v * v).sum(1))
-    for lo in range(0, n, 256):
-        q = np.arange(lo, min(lo + 256, n))
-        near = own.distances(rest[q], codes) <= reach + error + 1e-3
-        near &= ~cols["member"][q][:, None] | (q[:, None] < member[None])  # members meet once
-        near &= (side[q][:, None] != side[member][None]) | (not split)
-        a, b = np.nonzero(near)
-        for at in range(0, len(a), 1 << 15):
-            x, y = q[a[at : at + (1 << 15)]], member[b[at : at + (1 << 15)]]
-            cosine = (v[x] * v[y]).sum(1) / (norm[x] * norm[y])
-            ok = cosine >= limit
-            x, y = x[ok], y[ok]
-            np.add.at(found, x, copies[y])
-            np.add.at(found, y, copies[x])
-            forest.link(x, y)
+class _Rows:
+    """Rows of a block in order of their lists, as a task reads them."""
+
+    def __init__(self, own: Quantiser, packed: dict, kind: type):
+        self.lists, self.node, self.n = (np.frombuffer(packed[c], t) for c, t in (("lists", np.int32), ("node", np.int64), ("n", np.int64)))
+        self.v = np.frombuffer(packed["v"], kind).reshape(-1, own.dim).astype(np.float64)
+        self.codes, self.error = np.frombuffer(packed["codes"], np.uint8).reshape(len(self.node), -1), np.frombuffer(packed["error"])
+        self.unit, self.norm = _unit(self.v), np.sqrt((self.v * self.v).sum(1))
+
+    def segments(self) -> Iterator[tuple[int, int, int]]:
+        """(list, begin, end) of its lists."""
+        at = [0, *(np.flatnonzero(np.diff(self.lists)) + 1).tolist(), len(self.lists)]
+        return ((int(self.lists[lo]), lo, hi) for lo, hi in zip(at, at[1:]))
+
+
+def _pair_task(own: Quantiser, left: _Rows, right: _Rows | None, limit: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, linked copies, root rows) over the rows of two blocks, or the pairs inside one.
+
+    A pair in two lists is looked for from the earlier list into the later one.
+    """
+    sides = [left] if right is None else [left, right]
+    starts, n = [0, len(left.node)], sum(len(side.node) for side in sides)
+    found, forest, reach = np.zeros(n, np.int64), Forest(n), math.sqrt(max(2 - 2 * limit, 0))
+    for i, j in [(0, 0)] if right is None else [(0, 1), (1, 0)]:
+        ask, into = sides[i], sides[j]
+        for number, lo, hi in into.segments():
+            asked = np.flatnonzero(own.reaches(ask.unit, ask.lists, number, margin) | ((ask.lists == number) & (i <= j)))
+            for at in range(0, len(asked), 256):
+                q = asked[at : at + 256]
+                near = own.distances(ask.unit[q] - own.coarse[number], into.codes[lo:hi]) <= reach + into.error[lo:hi] + 1e-3
+                if right is None:  # rows of one list meet once
+                    near &= (ask.lists[q] != number)[:, None] | (q[:, None] < np.arange(lo, hi))
+                a, b = np.nonzero(near)
+                for k in range(0, len(a), 1 << 15):
+                    x, y = q[a[k : k + (1 << 15)]], lo + b[k : k + (1 << 15)]
+                    cosine = (ask.v[x] * into.v[y]).sum(1) / (ask.norm[x] * into.norm[y])
+                    ok = cosine >= limit
+                    x, y = x[ok], y[ok]
+                    np.add.at(found, x + starts[i], into.n[y])
+                    np.add.at(found, y + starts[j], ask.n[x])
+                    forest.link(x + starts[i], y + starts[j])
     hit = np.flatnonzero(found)
     return hit, found[hit], forest.up[hit]
 
@@ -155,58 +170,82 @@ def _links_of_dim(classes: DataFrame, dim: int, limit: float, margin: float, tot
         drawn = classes.select("v").limit(1).toArrow()["v"].combine_chunks()
     lists = int(min(max(2 ** round(math.log2(math.sqrt(max(total, 1)) / 8)), 1), 4096))
     quantiser = Quantiser(_unit(_vectors(drawn, dim)), lists)
-    fields = "node bigint, label string, n bigint, v array<double>"
-    placed_schema = fields + ", list int, member boolean"
+    single = classes.schema["v"].dataType.elementType.typeName() == "float"
+    kind, size = (np.float32 if single else np.float64), int(min(max(BLOCK_BYTES // (8 * dim), 16), BLOCK))
+    placed_schema = "label string, list int, node bigint, n bigint, v binary, codes binary, error double"
     placed_want = arrow_schema(placed_schema)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                x = _unit(_vectors(part.column(3), dim))
-                home, square = quantiser.home(x)
-                row, other = quantiser.probes(x, home, square, margin)
-                rows = np.concatenate([np.arange(len(x)), row])
-                target = np.concatenate([home, other]).astype(np.int32)
-                member = np.arange(len(rows)) < len(x)
-                for at in range(0, len(rows), 2048):
-                    take = pa.array(rows[at : at + 2048])
-                    cols = [c.take(take) for c in part.columns] + [pa.array(target[at : at + 2048]), pa.array(member[at : at + 2048])]
-                    yield pa.RecordBatch.from_arrays(cols, schema=placed_want)
-
-    source = classes.select("node", F.col("label").cast("string").alias("label"), "n", F.col("v").cast("array<double>").alias("v"))
-    placed = stored(source.mapInArrow(place, placed_schema), "lists")
-    keys = ["label", "list"]
-    dealt = in_blocks(placed, keys, F.xxhash64("node"), BLOCK)
-    order = [*keys, "i", "j"]
-    tasks = dealt.select(*order, "own", "node", "n", "member", "v").repartition(*order).sortWithinPartitions(*order)
-    schema = "node bigint, extra bigint, root bigint"
-    want = arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        at = None
-
-        def done():
-            cols = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            hit, extra, root = _pair_task(quantiser, cols, limit)
-            return pa.RecordBatch.from_arrays([pa.array(cols["node"][hit]), pa.array(extra), pa.array(cols["node"][root])], schema=want)
+                v = _vectors(part.column(3), dim)
+                unit = _unit(v)
+                home = quantiser.home(unit)[0]
+                codes, error = quantiser.encode(unit - quantiser.coarse[home])
+                packed = [pa.array([r.tobytes() for r in c], pa.binary()) for c in (v.astype(kind), codes.astype(np.uint8))]
+                cols = [part.column(1), pa.array(home.astype(np.int32)), part.column(0), part.column(2), *packed, pa.array(error)]
+                yield pa.RecordBatch.from_arrays(cols, schema=placed_want)
+
+    held = F.col("v") if single else F.col("v").cast("array<double>").alias("v")
+    source = classes.select("node", F.col("label").cast("string").alias("label"), "n", held)
+    salt = F.pmod(F.xxhash64("node"), F.lit(-(-total // (1 << 20)) or 1))
+    placed = source.mapInArrow(place, placed_schema).repartition("label", "list", salt).sortWithinPartitions("label", "list")
+    names = ["lists", "node", "n", "v", "codes", "error"]
+    block_schema = "label string, b bigint, " + ", ".join(f"{c} binary" for c in names)
+    block_want = arrow_schema(block_schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a label, up to ``size`` of them, as one row; a list's rows stand together."""
+        held, rows, label = [], 0, None
+        number = TaskContext.get().partitionId() << 32
+
+        def done() -> pa.RecordBatch:
+            nonlocal number
+            table = pa.Table.from_batches(held)
+            numbers = [np.asarray(table[c]).tobytes() for c in ("list", "node", "n")]
+            texts = [b"".join(table[c].to_pylist()) for c in ("v", "codes")]
+            number += 1
+            found = [label, number, *numbers, *texts, np.asarray(table["error"]).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(found, block_want)], schema=block_want)
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "list", "i", "j"))))
-            begin = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
-            whole = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "i", "j", "own", "node", "n", "member")}
-            whole["v"] = _vectors(batch.column("v"), dim)
-            for lo, hi in zip(begin, begin[1:]):
-                if at is not None and keys[lo] != at:
+            labels, at = batch.column(0).to_pylist(), 0
+            while at < len(labels):
+                if held and (labels[at] != label or rows == size):
                     yield done()
-                    held = []
-                at = keys[lo]
-                held.append({k: c[lo:hi] for k, c in whole.items()})
+                    held, rows = [], 0
+                label, end = labels[at], at
+                while end < len(labels) and labels[end] == label and rows + end - at < size:
+                    end += 1
+                held.append(batch.slice(at, end - at))
+                rows, at = rows + end - at, end
         if held:
             yield done()
 
-    return tasks.mapInArrow(run, schema)
+    schema = "node bigint, extra bigint, root bigint"
+    want = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in range(batch.num_rows):
+                row = {c: batch.column(k)[pair].as_py() for k, c in enumerate(batch.schema.names)}
+                left = _Rows(quantiser, row, kind)
+                right = None if row["b"] == row["b2"] else _Rows(quantiser, {c: row[f"{c}2"] for c in names}, kind)
+                hit, extra, root = _pair_task(quantiser, left, right, limit, margin)
+                node = left.node if right is None else np.concatenate([left.node, right.node])
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(extra), pa.array(node[root])], schema=want)
+
+    spark = classes.sparkSession
+    blocks = stored(placed.mapInArrow(pack, block_schema), "blocks")
+    # Every task pairs one part of the blocks with another, so no vector is written per pair of blocks.
+    count = blocks.count()
+    wide = max(math.isqrt(4 * spark.sparkContext.defaultParallelism), -(-count // PART_BLOCKS))
+    spread = blocks.repartition(max(1, min(wide, count)))
+    other = spread.select(*[F.col(c).alias(f"{c}2") for c in blocks.columns])
+    pairs = spread.hint("shuffle_replicate_nl").join(other.hint("shuffle_replicate_nl"), (F.col("label") == F.col("label2")) & (F.col("b") <= F.col("b2")))
+    with small_batches(spark, 4):
+        return stored(pairs.select("b", *names, "b2", *[f"{c}2" for c in names]).mapInArrow(run, schema), "found")
 
 
 def near_duplicates(
@@ -230,7 +269,7 @@ def near_duplicates(
     total = classes.count()
     if margin is None:
         margin = math.sqrt(max(2 - 2 * limit, 0)) + 1e-6  # rounding
-    found = stored(links(classes, limit, margin, total), "found")
+    found = links(classes, limit, margin, total)
     extra = found.groupBy("node").agg(F.sum("extra").alias("extra"))
     placed = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     homes = classes.select("k1", "k2", "node", "n", "low").join(placed, "node", "left").join(extra, "node", "left")

@@ -2,6 +2,7 @@
 
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ import corpus_pipeline
 from isobar.llm import bpe, chat, decon, langid, mixing, pii, pq, simhash, urls, weak
 from isobar.llm.catalogue import BPE_RANKS
 from isobar.llm.components import Forest, components
+from isobar.session import shared_root
 
 from .conftest import ROWS
 
@@ -500,6 +502,20 @@ def test_embedding_recall_on_noisy_copies(spark):
     assert want.sum() > 5000 and (found <= want).all() and found.sum() / want.sum() >= 0.99
 
 
+def test_embedding_probes_are_not_written(spark):
+    """A vector was written, as doubles, once for each list that it probes and again for each pair of blocks."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(4000, 64)).astype(np.float32)
+    v[:50] = v[50:100] * 2 + 0.01
+    table = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>, label int")
+    root = Path(shared_root(spark).removeprefix("file:"))
+    before = {p.name for p in root.iterdir()}
+    got = {r.vec_id: r.n_links for r in pq.near_duplicates(table).collect()}
+    assert all(got[i] == got[i + 50] == 1 for i in range(50)) and sum(got.values()) == 100
+    written = sum(f.stat().st_size for p in root.iterdir() if p.name not in before for f in p.rglob("*.parquet"))
+    assert written < 4 * v.nbytes
+
+
 def test_embedding_links_along_few_directions(spark):
     rng = np.random.default_rng(2)
     angle, label = rng.random(1200) * 2 * np.pi, rng.integers(2, size=1200)
